@@ -160,7 +160,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, rows: in
     hits = nodes.filter("registers is not null").select("node", F.explode(F.array(*band)).alias("x")).select("node", "x.band", "x.bucket")
     lean = nodes.select("node", "n", "registers")
     likely = dealt(into_units(hits, chunk, ("band",)).join(lean, "node").withColumn("group", F.col("node")))
-    likely = stage(likely.mapInArrow(_flag(sketch, least), "unit long, band int, side int, other int, node long"), "sketch-likely")
+    likely = stage(likely.mapInArrow(_flag(sketch, least), "unit long, band long, side long, other long, node long"), "sketch-likely")
     # Texts of the rows with a likely partner, a node's text being that of its smallest doc_id.
     some = likely.select("node").distinct().join(nodes, "node").select("node", "n", "registers", "first", "set_key")
     texts = some.join(docs, F.col("first") == F.col("doc_id")).select("node", "n", "registers", "text", "set_key")
@@ -171,7 +171,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, rows: in
     component = stage(connected_components(links), "sketch-components")
     # The other bands matter only where they join what is still apart.
     rest = likely.filter(F.col("band") >= first_bands).join(component, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component")
-    again = dealt(rest.join(lean, "node")).mapInArrow(_flag(sketch, least), "unit long, band int, side int, other int, node long")
+    again = dealt(rest.join(lean, "node")).mapInArrow(_flag(sketch, least), "unit long, band long, side long, other long, node long")
     again = again.join(component, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component").join(texts, "node")
     more = stage(dealt(again).mapInArrow(verify, "a long, b long"), "sketch-links")
     component = stage(connected_components(links.union(more)), "sketch-components")
