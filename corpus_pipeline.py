@@ -16,7 +16,7 @@ from geostream.llm.common import fold_ascii, held_out, label_sample, stage, tabl
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is 0.5 or more. Labels are those of rows whose crc32(doc_id) mod 3 is not 1."""
     labels = table(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id"), 3, 1))
-    model = quality.fit(label_sample(docs, labels, "quality", {0: 1500, 1: 1500}))
+    model = quality.fit(label_sample(docs, labels, "quality", {0: 1500, 1: 3500}))
     name = "score_" + "_".join(docs.columns)  # no column of docs has it
     return quality.score(docs, model, tuple(docs.columns), name).filter(F.col(name) >= 0.5).select(*docs.columns)
 

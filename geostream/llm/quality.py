@@ -133,10 +133,10 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), na
     return docs.mapInArrow(_score(shared, name, with_text), schema)
 
 
-def classify(docs: DataFrame, labels: DataFrame, column: str = "quality", modulus: int = 3, remainder: int = 1, per_label: int = 1500, **params) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, column: str = "quality", modulus: int = 3, remainder: int = 1, bad_docs: int = 1500, good_docs: int = 3500, **params) -> DataFrame:
     """doc_id, held_out, score, predicted. Labels are learned only from rows whose crc32(doc_id) mod modulus is not remainder,
-    about per_label of either label."""
+    about bad_docs labelled 0 and good_docs labelled 1."""
     known = labels.filter(~held_out(F.col("doc_id"), modulus, remainder))
-    model = fit(label_sample(docs, known, column, {0: per_label, 1: per_label}), **params)
+    model = fit(label_sample(docs, known, column, {0: bad_docs, 1: good_docs}), **params)
     marked = docs.select("doc_id", held_out(F.col("doc_id"), modulus, remainder).alias("held_out"), "text")
     return score(marked, model, ("doc_id", "held_out")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
