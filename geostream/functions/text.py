@@ -40,8 +40,10 @@ def first_token(text: Column) -> Column:
 
 
 def windows_relative(path: Column) -> Column:
-    """C:\\a\\b -> a/b; leading separators go, a drive letter goes."""
-    return F.regexp_replace(F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), r"^[A-Za-z]:", ""), r"^/+", "")
+    r"""D:\\Backups\\f.22o -> D/Backups/f.22o: the drive letter becomes a folder, leading separators go."""
+    slashed = F.replace(path, F.lit("\\"), F.lit("/"))
+    drive = F.concat(F.upper(F.substring(slashed, 1, 1)), F.lit("/"), F.regexp_replace(F.substring(slashed, 3, 1 << 20), r"^/+", ""))
+    return F.regexp_replace(F.when(F.substring(slashed, 2, 1) == ":", drive).otherwise(slashed), r"^/+", "")
 
 
 def size_mb(size: Column) -> Column:

@@ -26,14 +26,13 @@ def catalog_files(spark: SparkSession, root: str) -> DataFrame:
 
 
 def is_observation_file(name: Column, variant: str = "ingestion") -> Column:
-    """Observation files by name, in any case: short names (.24o, .24d, with .gz or .Z) and long ones (.rnx, .crx).
+    """Observation files by extension in any case.
 
-    ingestion takes all of them, validator plain ones only, coverage short names only.
+    ingestion: .rnx, .crx, .gz, .zip, .Z and two-digit years with o or d; validator: .rnx, .obs, .rxo and years with o;
+    coverage: years with o.
     """
-    low = F.lower(name)
-    plain = F.regexp_like(low, F.lit(r"^[a-z0-9]{4}[0-9]{3}[a-z0-9]\.[0-9]{2}[od]$"))
-    packed = F.regexp_like(low, F.lit(r"\.[0-9]{2}[od](\.(gz|z))?$|\.(rnx|crx)(\.gz)?$"))
-    return {"ingestion": packed, "validator": plain | F.regexp_like(low, F.lit(r"_[mg]o\.rnx$")), "coverage": F.regexp_like(low, F.lit(r"^[a-z0-9]{4}[0-9]{3}[a-z0-9]\.[0-9]{2}[od](\.(gz|z))?$"))}[variant]
+    patterns = {"ingestion": r"\.(rnx|crx|gz|zip|z|[0-9]{2}[od])$", "validator": r"\.(rnx|obs|rxo|[0-9]{2}o)$", "coverage": r"\.[0-9]{2}o$"}
+    return F.regexp_like(F.lower(name), F.lit(patterns[variant]))
 
 
 def matches_session(name: Column, year: int, session: str) -> Column:
