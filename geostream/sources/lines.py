@@ -11,14 +11,14 @@ def read_lines(spark: SparkSession, path: str, glob: str | None = None, until: s
 
     Files are the unit of reading, so that lines keep their numbers; these corpora hold many small files.
     """
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-    files = (reader.option("pathGlobFilter", glob) if glob else reader).text(path)
+    reader = spark.read.option("recursiveFileLookup", True)
+    files = (reader.option("pathGlobFilter", glob) if glob else reader).text(path, wholetext=True)
     text = F.substring_index("value", until, 1) if until else F.col("value")
     return files.select(F.col("_metadata.file_name").alias("file_name"), F.posexplode(F.split(text, "\r?\n")).alias("pos", "line")).select("file_name", (F.col("pos") + 1).alias("line_no"), "line")
 
 
 def whole_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """(file_name, text) of each file."""
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-    files = (reader.option("pathGlobFilter", glob) if glob else reader).text(path)
+    reader = spark.read.option("recursiveFileLookup", True)
+    files = (reader.option("pathGlobFilter", glob) if glob else reader).text(path, wholetext=True)
     return files.select(F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("text"))

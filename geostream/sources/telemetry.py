@@ -22,9 +22,9 @@ def read_nmea(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
 
 def stream_nmea(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
     """The same of files that land in a folder, as a stream; files_per_trigger bounds what a batch admits."""
-    reader = spark.readStream.option("wholetext", True)
+    reader = spark.readStream
     reader = reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader
-    files = reader.text(path)
+    files = reader.text(path, wholetext=True)
     lines = files.select(F.col("_metadata.file_name").alias("file_name"), F.posexplode(F.split("value", "\r?\n")).alias("pos", "line"))
     return lines.select("file_name", (F.col("pos") + 1).alias("line_no"), F.trim("line").alias("sentence")).filter("sentence != ''")
 
