@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,6 +105,23 @@ def extract_name_fields(df: DataFrame, name: str = "name") -> DataFrame:
     return df.withColumn("fields", out)
 
 
+def for_each_classified(df: DataFrame, fn: Callable[[dict], None]) -> DataFrame:
+    """One row (done, failed): fn called for each classified row, as a dict, on executors; a failure is counted and the scan goes on."""
+    def run(batches):
+        done = failed = 0
+        for batch in batches:
+            for row in batch.to_dict("records"):
+                try:
+                    fn(row)
+                    done += 1
+                except Exception:  # noqa: BLE001  whatever a callback raises is counted
+                    failed += 1
+        yield pd.DataFrame({"done": [done], "failed": [failed]})
+
+    counts = df.filter("category is not null").mapInPandas(run, "done long, failed long")
+    return counts.agg(F.coalesce(F.sum("done"), F.lit(0)).alias("done"), F.coalesce(F.sum("failed"), F.lit(0)).alias("failed"))
+
+
 def dispatchable(df: DataFrame) -> DataFrame:
     """GNSS files that aren't inside an archive."""
     return df.filter(F.col("category").isin(*GNSS) & ~F.coalesce("in_archive", F.lit(False)))

@@ -84,6 +84,11 @@ def read_stations(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.STATIONS).json(path)
 
 
+def read_processing_status(spark: SparkSession, path: str) -> DataFrame:
+    """Station-year status with ranges of available days."""
+    return spark.read.schema(schemas.PROCESSING_STATUS).parquet(path)
+
+
 def read_kin_series(spark: SparkSession, path: str) -> DataFrame:
     """CSV of yyyy-MM-dd HH:mm:ss, east, north, up."""
     return spark.read.schema(schemas.KIN_SERIES).csv(path, timestampFormat="yyyy-MM-dd HH:mm:ss")
