@@ -60,7 +60,39 @@ QUERIES = {f.__name__: f for f in (op1_quality, op2_near_duplicates, op3_mixing,
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+
+def _url_sql(depth: int = 3) -> str:
+    """The URL filter with its default rules and parameters."""
+    fits = lambda host, path: f"(host = '{host}' OR host LIKE '%.{host}') AND path LIKE '{path}%'"
+    rule = " ".join(f"WHEN {fits(*text.split('/', 1)[:1], '/' + text.split('/', 1)[1])} THEN '{text}'" for text, _ in sorted(url_filter.RULES, key=lambda x: (-len(x[0]), x[0])))
+    says = " ".join(f"WHEN '{text}' THEN '{verdict}'" for text, verdict in url_filter.RULES)
+    steps, last = [], "t0"
+    for k in range(1, depth + 1):
+        shape = f"list_extract(segments, {k + 1})"
+        steps.append(f"""a{k} AS (SELECT *, CASE WHEN regexp_full_match({shape}, '[0-9]+(\\.[A-Za-z0-9]+)?') OR regexp_full_match({shape}, '[0-9a-f-]{{16,}}') THEN '*' ELSE {shape} END AS part FROM {last}),
+b{k} AS (SELECT host, template, part, sum(n) AS pages, count(*) OVER (PARTITION BY host, template) AS siblings FROM a{k} WHERE part IS NOT NULL AND part <> '*' GROUP BY 1, 2, 3),
+t{k} AS (SELECT a.host, a.path, a.n, a.blocked, a.segments, a.template || CASE WHEN a.part IS NULL THEN '' WHEN b.pages >= 5 OR b.siblings <= 3 OR a.part = '' THEN '/' || a.part ELSE '/*' END AS template FROM a{k} a LEFT JOIN b{k} b ON a.host = b.host AND a.template = b.template AND a.part = b.part)""")
+        last = f"t{k}"
+    return f"""
+WITH p AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+r AS (SELECT *, CASE {rule} END AS rule FROM h),
+s AS (SELECT *, CASE rule {says} END AS ruled FROM r),
+t0 AS (SELECT host, path, string_split(path, '/') AS segments, count(*) AS n, count(*) FILTER (WHERE ruled = 'block') AS blocked, '' AS template FROM s GROUP BY 1, 2, 3),
+{", ".join(steps)},
+f AS (SELECT host, path, n, blocked, template || CASE WHEN len(segments) > {depth + 1} THEN '/**' ELSE '' END AS template FROM {last}),
+c AS (SELECT host, template, sum(n)::DOUBLE AS pages, sum(blocked)::DOUBLE AS blocked, regexp_replace(template, '/[^/]*$', '') AS parent FROM f GROUP BY 1, 2),
+g AS (SELECT *, blocked / pages AS share, lag(blocked / pages) OVER o AS p0, lag(pages) OVER o AS n0 FROM c WINDOW o AS (PARTITION BY host, parent ORDER BY blocked / pages, template)),
+q AS (SELECT *, (blocked + p0 * n0) / (pages + n0) AS pooled FROM g),
+z AS (SELECT *, sum(CASE WHEN abs(share - p0) > 1.96::DOUBLE * sqrt(pooled * (1 - pooled) * (1 / pages + 1 / n0)) + 1e-12 OR p0 IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY host, parent ORDER BY share, template) AS branch FROM q),
+v AS (SELECT host, template, (sum(blocked) OVER b + 2 * (SELECT (sum(blocked) + 0.5) / (sum(pages) + 1) FROM c)) / (sum(pages) OVER b + 2) >= 0.5 AS rejected FROM z WINDOW b AS (PARTITION BY host, parent, branch))
+SELECT page_id, s.host, s.path, rule, coalesce(ruled, CASE WHEN rejected THEN 'block' ELSE 'allow' END) AS verdict
+FROM s LEFT JOIN f ON s.host = f.host AND s.path = f.path LEFT JOIN v ON f.host = v.host AND f.template = v.template"""
+
+
 ORACLE_SQL = {
+    "op5_url_filter": _url_sql(),
     "op3_mixing": r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
