@@ -46,13 +46,17 @@ def to_local(epochs: DataFrame, ref: str | None = None, origin: str = "fixed_fir
 def assign_segments(series: DataFrame, offsets: DataFrame, station: str = "station", t: str = "t") -> DataFrame:
     """series with segment: how many distinct offset dates of its station lie strictly inside the series and at or before t.
 
-    Dates join as marker rows and a running count over the station's order replaces an inequality join.
+    Dates join as marker rows; windows over the station's rows find which are inside and count them, so that one shuffle
+    by station serves this and all that follows by station and segment.
     """
-    span = series.groupBy(station).agg(F.min(t).alias("t_min"), F.max(t).alias("t_max"))
-    cuts = offsets.select(F.col("station").alias(station), F.col("date").alias(t)).distinct().join(span, station).filter((F.col(t) > F.col("t_min")) & (F.col(t) < F.col("t_max")))
-    both = series.withColumn("is_cut", F.lit(0)).unionByName(cuts.select(station, t, F.lit(1).alias("is_cut")), allowMissingColumns=True)
+    cuts = offsets.select(F.col("station").alias(station), F.col("date").alias(t)).distinct().withColumn("is_cut", F.lit(1))
+    both = series.withColumn("is_cut", F.lit(0)).unionByName(cuts, allowMissingColumns=True)
+    whole = Window.partitionBy(station)
+    own = F.when(F.col("is_cut") == 0, F.col(t))
+    inside = (F.col("is_cut") == 1) & (F.col(t) > F.min(own).over(whole)) & (F.col(t) < F.max(own).over(whole))
     order = Window.partitionBy(station).orderBy(t, F.desc("is_cut")).rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("segment", F.sum("is_cut").over(order).cast("int")).filter("is_cut = 0").drop("is_cut")
+    both = both.withColumn("is_inside", F.coalesce(inside, F.lit(False)).cast("int"))
+    return both.withColumn("segment", F.sum("is_inside").over(order).cast("int")).filter("is_cut = 0").drop("is_cut", "is_inside")
 
 
 def demean(df: DataFrame, cols: Sequence[str] = ENU, by: str = "station") -> DataFrame:
@@ -62,8 +66,8 @@ def demean(df: DataFrame, cols: Sequence[str] = ENU, by: str = "station") -> Dat
 
 def flag_iqr(df: DataFrame, by: Sequence[str], cols: Sequence[str] = ENU, k: float = 3.0) -> DataFrame:
     """df with is_outlier: any component outside q1 - k IQR ... q3 + k IQR of its group (exact, interpolated quartiles)."""
-    fences = df.groupBy(*by).agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))).alias(f"_q_{c}") for c in cols])
-    joined = df.join(fences, list(by))
+    group = Window.partitionBy(*by)
+    joined = df.withColumns({f"_q_{c}": F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))).over(group) for c in cols})
     out = F.lit(False)
     for c in cols:
         low, high = F.get(f"_q_{c}", F.lit(0)), F.get(f"_q_{c}", F.lit(1))
@@ -132,12 +136,11 @@ def review_fit(series: DataFrame, cols: Sequence[str] = ENU) -> DataFrame:
 
 def flag_residual_iqr(series: DataFrame, cols: Sequence[str] = ENU, k: float = 3.0) -> DataFrame:
     """series with residual (3-D, from each component's line, cm) and is_outlier: over k IQR, none with under 4 points or IQR 0."""
-    fits = series.groupBy("station").agg(F.count("*").alias("_n"), *[f(c, "t").alias(f"_{name}_{c}") for c in cols for name, f in (("a", F.regr_slope), ("b", F.regr_intercept))])
-    joined = series.join(fits, "station")
+    whole = Window.partitionBy("station")
+    joined = series.withColumns({"_n": F.count("*").over(whole)} | {f"_{name}_{c}": f(c, "t").over(whole) for c in cols for name, f in (("a", F.regr_slope), ("b", F.regr_intercept))})
     off = [F.col(c) - (F.coalesce(F.col(f"_a_{c}"), F.lit(0.0)) * F.col("t") + F.coalesce(F.col(f"_b_{c}"), F.col(c))) for c in cols]
     joined = joined.withColumn("residual", F.sqrt(sum((x * x for x in off[1:]), off[0] * off[0])) * 100)
-    spread = joined.groupBy("station").agg((F.percentile("residual", F.lit(0.75)) - F.percentile("residual", F.lit(0.25))).alias("_iqr"))
-    joined = joined.join(spread, "station")
+    joined = joined.withColumn("_iqr", F.percentile("residual", F.lit(0.75)).over(whole) - F.percentile("residual", F.lit(0.25)).over(whole))
     out = (F.col("_n") >= 4) & (F.col("_iqr") > 0) & (F.abs("residual") > k * F.col("_iqr"))
     return joined.withColumn("is_outlier", out).select(*series.columns, "residual", "is_outlier")
 
