@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geostream.llm.common import Forest, Shingler, connected_components, mix64, stage
+from geostream.llm.common import Shingler, connected_components, mix64, stage
 from geostream.llm.units import by_unit, dealt, into_units, longs
 
 
@@ -40,22 +40,22 @@ class SetSketch:
     def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return np.maximum(a, b)
 
-    def jaccard(self, above: np.ndarray, below: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, grid: int = 201) -> np.ndarray:
-        """Most likely similarity, given how many of a's registers are above and below b's, and both set sizes."""
+    def likely(self, above: np.ndarray, below: np.ndarray, n_a, n_b, least: float) -> np.ndarray:
+        """Whether the most likely similarity is at least least, given how many of a's registers are above and below b's,
+        and both set sizes.
+
+        The log-likelihood of the three counts is concave in the similarity, so its slope at least tells.
+        """
         u = n_a / (n_a + n_b)
         v = 1 - u
-        most = np.minimum(u / v, v / u)
-        best, best_j = np.full(len(u), -np.inf), np.zeros(len(u))
-        equal = self.size - above - below
-        shrink = (self.base - 1) / self.base
-        for step in range(grid):
-            j = most * step / (grid - 1)
-            more = np.clip(-np.log1p(-np.clip(u - v * j, 0, 1) * shrink) / np.log(self.base), 1e-12, 1)
-            less = np.clip(-np.log1p(-np.clip(v - u * j, 0, 1) * shrink) / np.log(self.base), 1e-12, 1)
-            log = above * np.log(more) + below * np.log(less) + equal * np.log(np.clip(1 - more - less, 1e-12, 1))
-            better = log > best
-            best[better], best_j[better] = log[better], j[better]
-        return best_j
+        shrink, log_b = (self.base - 1) / self.base, np.log(self.base)
+        x, y = u - v * least, v - u * least
+        possible = (x >= 0) & (y >= 0)
+        x, y = np.maximum(x, 0), np.maximum(y, 0)
+        more, less = -np.log1p(-x * shrink) / log_b, -np.log1p(-y * shrink) / log_b
+        d_more, d_less = -v * shrink / (1 - x * shrink) / log_b, -u * shrink / (1 - y * shrink) / log_b
+        slope = (self.size - above - below) * -(d_more + d_less) / np.maximum(1 - more - less, 1e-12) + above * d_more / np.maximum(more, 1e-12) + below * d_less / np.maximum(less, 1e-12)
+        return possible & (slope >= 0)
 
 
 def _sketch(sketch: SetSketch, width: int):
@@ -73,27 +73,29 @@ def _sketch(sketch: SetSketch, width: int):
     return run
 
 
-def _near(sketch: SetSketch, registers: list, n: list, group: list, side: list, other: list, least: float, block: int = 128):
-    """Pairs (i, j, estimate) of a unit's rows that may be similar and whose groups differ."""
-    reg = np.frombuffer(b"".join(registers), np.int16).reshape(len(registers), -1)
-    n, group, side = np.array(n, np.float64), np.array(group), np.array(side)
-    two = side[0] != other[0]
-    out = []
-    for i in range(0, len(reg), block):
-        for j in range(i, len(reg), block):
-            a, b = reg[i : i + block, None], reg[None, j : j + block]
-            equal = (a == b).sum(2)
-            maybe = (equal >= (least - 0.15) * sketch.size) & (group[i : i + block, None] != group[None, j : j + block])
-            if two:
-                maybe &= side[i : i + block, None] != side[None, j : j + block]
-            x, y = np.nonzero(maybe)
-            x, y = x[x + i < y + j], y[x + i < y + j]
-            if len(x):
-                above = (reg[i + x] > reg[j + y]).sum(1)
-                est = sketch.jaccard(above, sketch.size - equal[x, y] - above, n[i + x], n[j + y], 101)
-                near = est >= least
-                out.append((i + x[near], j + y[near], est[near]))
-    return tuple(np.concatenate(z) for z in zip(*out)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+class _Unit:
+    """Rows of a unit; finds the likely partners of one row at a time among those asked for."""
+
+    def __init__(self, sketch: SetSketch, registers: list, n: list, side: list, other: list, least: float):
+        self.sketch, self.least = sketch, least
+        self.registers = np.frombuffer(b"".join(registers), np.int16).reshape(len(registers), -1)
+        self.n = np.array(n, np.float64)
+        self.side = np.array(side) if side[0] != other[0] else None  # two chunks: only pairs across them
+
+    def partners(self, i: int, rows: np.ndarray) -> np.ndarray:
+        """Those of rows that are likely similar to row i, the likeliest first."""
+        if self.side is not None:
+            rows = rows[self.side[rows] != self.side[i]]
+        if not len(rows):
+            return rows
+        there, own = self.registers[rows], self.registers[i]
+        equal = (there == own).sum(1)
+        rows, there, equal = (x[equal >= (self.least - 0.15) * self.sketch.size] for x in (rows, there, equal))
+        if not len(rows):
+            return rows
+        above = (own > there).sum(1)
+        good = self.sketch.likely(above, self.sketch.size - equal - above, self.n[i], self.n[rows], self.least)
+        return rows[good][np.argsort(-equal[good], kind="stable")]
 
 
 def _flag(sketch: SetSketch, least: float):
@@ -101,39 +103,51 @@ def _flag(sketch: SetSketch, least: float):
     names = ("unit", "band", "side", "other", "node", "n", "registers", "group")
 
     def run(batches):
-        for unit, band, side, other, node, n, registers, group in by_unit(batches, names):
-            i, j, _ = _near(sketch, registers, n, group, side, other, least)
-            rows = np.union1d(i, j)
-            if len(rows):
-                yield longs([np.array(x)[rows] for x in (unit, band, side, other, node)], ["unit", "band", "side", "other", "node"])
+        out: list[np.ndarray] = []
+        for columns in by_unit(batches, names):
+            _, _, side, other, _, n, registers, group = columns
+            size = len(n)
+            if size < 2:
+                continue
+            unit, group, found = _Unit(sketch, registers, n, side, other, least), np.array(group), np.zeros(size, bool)
+            for i in range(size - 1):
+                # A pair of rows that both have a partner already tells nothing new.
+                rest = np.arange(i + 1, size)
+                rest = rest[(group[rest] != group[i]) & ~(found[rest] & found[i])]
+                near = unit.partners(i, rest)
+                if len(near):
+                    found[near] = found[i] = True
+            if found.any():
+                out.append(np.array([np.array(x, np.int64)[found] for x in columns[:5]]))
+        if out:
+            yield longs(list(np.concatenate(out, axis=1)), ["unit", "band", "side", "other", "node"])
 
     return run
 
 
 def _verify(sketch: SetSketch, least: float, width: int, numerator: int, denominator: int):
-    """Links of a unit on full sets, as a forest: a pair that its other links already join needs no test."""
-    names = ("side", "other", "node", "n", "registers", "group", "text")
+    """Links of a unit on full sets, as a forest: rows that other links join already need no test."""
+    names = ("side", "other", "n", "registers", "group", "text")
 
     def run(batches):
-        shingler = Shingler(width)
-        for side, other, node, n, registers, group, text in by_unit(batches, names):
-            i, j, est = _near(sketch, registers, n, group, side, other, least)
-            if not len(i):
+        shingler, edges = Shingler(width), []
+        for side, other, n, registers, group, text in by_unit(batches, names):
+            size = len(n)
+            if size < 2:
                 continue
-            sets = list(shingler.rows(pa.array(text, pa.string())))
-            forest, first = Forest(len(node)), {}
-            for k, g in enumerate(group):
-                forest.join(k, first.setdefault(g, k))
-            edges = []
-            for k in np.argsort(-est, kind="stable").tolist():
-                a, b = int(i[k]), int(j[k])
-                if forest.root(a) != forest.root(b):
-                    common = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
-                    if denominator * common >= numerator * (len(sets[a]) + len(sets[b]) - common):
-                        forest.join(a, b)
-                        edges.append((group[a], group[b]))
-            if edges:
-                yield longs(list(zip(*edges)), ["a", "b"])
+            unit, label, sets = _Unit(sketch, registers, n, side, other, least), np.array(group), None
+            for i in range(size - 1):
+                rest = np.arange(i + 1, size)
+                for j in unit.partners(i, rest[label[rest] != label[i]]).tolist():
+                    if label[i] == label[j]:
+                        continue
+                    sets = list(shingler.rows(pa.array(text, pa.string()))) if sets is None else sets
+                    common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if denominator * common >= numerator * (len(sets[i]) + len(sets[j]) - common):
+                        edges.append((group[i], group[j]))
+                        label[label == label[j]] = label[i]
+        if edges:
+            yield longs(list(zip(*edges)), ["a", "b"])
 
     return run
 
@@ -174,8 +188,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, rows: in
     again = dealt(rest.join(lean, "node")).mapInArrow(_flag(sketch, least), "unit long, band long, side long, other long, node long")
     again = again.join(component, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component").join(texts, "node")
     more = stage(dealt(again).mapInArrow(verify, "a long, b long"), "sketch-links")
-    component = stage(connected_components(links.union(more)), "sketch-components")
-    of_node = nodes.join(component, "node", "left").select("set_key", "first", F.coalesce("component", "node").alias("component"))
+    # Those links join components, or nodes that had none.
+    wider = stage(connected_components(more).select(F.col("node").alias("part"), F.col("component").alias("whole")), "sketch-components")
+    of_node = nodes.select("node", "set_key", "first").join(component, "node", "left").withColumn("part", F.coalesce("component", "node"))
+    of_node = of_node.join(wider, "part", "left").select("set_key", "first", F.coalesce("whole", "part").alias("component"))
     smallest = of_node.groupBy("component").agg(F.min("first").alias("component_id"))
     of_set = of_node.join(smallest, "component").select("set_key", "component_id")
     linked = known.select("doc_id", "n_shingles", "set_key").join(of_set, "set_key").select("doc_id", "n_shingles", "component_id")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -23,9 +23,13 @@ def into_units(hits: DataFrame, chunk: int, keep: tuple[str, ...] = ()) -> DataF
     return rows.select(unit.alias("unit"), "bucket", "side", "other", "node", *keep)
 
 
-def dealt(rows: DataFrame, unit: Column | str = "unit") -> DataFrame:
-    """The rows of each unit together, in one task and in order."""
-    return rows.repartition(unit).sortWithinPartitions(unit)
+def dealt(rows: DataFrame, unit: str = "unit") -> DataFrame:
+    """The rows of each unit together, in one task and in order.
+
+    As many tasks as spark.sql.shuffle.partitions: the work behind them is CPU, which sizes in bytes don't tell.
+    """
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(tasks, unit).sortWithinPartitions(unit)
 
 
 def by_unit(batches, names: tuple[str, ...], unit: str = "unit"):

@@ -132,12 +132,12 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
     words = 32
     while words < 4096 and words * words * 32 < classes.count() * listed:
         words *= 2
-    known = stage(classes.select("node", "n", "vector").repartition("node").mapInArrow(_decode(words, tables, listed, least), "node long, n long, vector binary, filters array<long>"), "vector-filters")
+    known = stage(dealt(classes.select("node", "n", "vector"), "node").mapInArrow(_decode(words, tables, listed, least), "node long, n long, vector binary, filters array<long>"), "vector-filters")
     hits = known.select(F.explode("filters").alias("bucket"), "node")
     meet = into_units(hits, chunk).join(known, "node")
     found = stage(dealt(meet).mapInArrow(_compare(threshold), "node long, links long, root long"), "vector-links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    component = connected_components(found.filter("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")))
+    component = stage(connected_components(found.filter("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))), "vector-components")
     joined = classes.select("node", "first").join(component, "node")
     smallest = joined.groupBy("component").agg(F.min("first").alias("component_id"))
     of_node = joined.join(smallest, "component").select("node", "component_id")
