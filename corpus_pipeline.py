@@ -6,13 +6,31 @@ and returns rows with those columns; the last returns pieces of sequences.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geostream.llm import exact_dedup, mixing, near_dup, packing, quality
-from geostream.llm.common import fold_ascii, held_out, label_sample, stage, table
+from geostream.llm.common import captured, held_out, label_sample, release, stage, table
+
+
+_staged: list[str] = []
+
+
+def _scratch(work):
+    """Tables that a stage has staged go when the next one begins: by then its result is written."""
+
+    @wraps(work)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark, _staged)
+        with captured(_staged):
+            return work(spark, docs, sf_dir)
+
+    return run
 
 
+@_scratch
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is 0.5 or more. Labels are those of rows whose crc32(doc_id) mod 3 is not 1."""
     labels = table(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id"), 3, 1))
@@ -21,26 +39,27 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.score(docs, model, tuple(docs.columns), name).filter(F.col(name) >= 0.5).select(*docs.columns)
 
 
+@_scratch
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts, the one with the largest doc_id; of its repetitions, one."""
-    kept = exact_dedup.exact_groups(docs).filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha"))
-    sha = F.sha2(fold_ascii(F.coalesce("text", F.lit(""))), 256)
-    chosen = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (sha == F.col("kept_sha")))
-    return chosen.dropDuplicates(["kept_id", "kept_sha"]).select(*docs.columns)
+    return exact_dedup.exact_survivors(docs)
 
 
+@_scratch
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near-duplicates, the one with the smallest doc_id. Rows that share a doc_id stay or go together."""
     kept = near_dup.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
 
 
+@_scratch
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     mixed = mixing.mix(docs).filter("mix_copies > 0")
     return mixed.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("mix_copies"))).alias("mix_copy")).select(*docs.columns)
 
 
+@_scratch
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 2048 ids, with their ids."""
     return packing.pack(docs)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +25,32 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_captured: list[list[str]] = []
+
+
+@contextmanager
+def captured(paths: list[str]):
+    """Within it, the paths of staged tables are added to paths."""
+    _captured.append(paths)
+    try:
+        yield
+    finally:
+        _captured.pop()
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Delete staged tables that nothing reads any more, and forget them."""
+    for path in paths:
+        there = spark._jvm.org.apache.hadoop.fs.Path(path)
+        there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+    paths.clear()
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it again: lineage ends here and a lost executor costs no recomputation."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    for paths in _captured:
+        paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -158,45 +182,29 @@ class Shingler:
                     yield np.zeros(0, np.uint64)
 
 
-class Forest:
-    """Union-find over row numbers of one task."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
-
-    def join(self, i: int, j: int) -> bool:
-        i, j = self.root(i), self.root(j)
-        if i == j:
-            return False
-        self.up[max(i, j)] = min(i, j)
-        return True
-
-
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, task_edges: int = 250_000) -> DataFrame:
     """(node, component) of the nodes of edges (a, b), component being the smallest node reached.
 
     Rounds of large-star and small-star: each is joins and partial aggregates of edges, so that neither a hub nor a
-    whole component has to fit a task; each round is checkpointed in the shared folder.
+    whole component has to fit a task; each round is checkpointed in the shared folder. Up to task_edges edges are dealt
+    to one task, which spares the shuffles of each round. edges: a staged table.
     """
     shared_dir(edges.sparkSession)
-    now = edges.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).filter("lo < hi").distinct().checkpoint()
+    now = edges.coalesce(1) if edges.count() <= task_edges else edges
+    now = now.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).filter("lo < hi").distinct().checkpoint()
     state = None
     while True:
         seen = now.agg(F.count("*"), F.bit_xor(F.xxhash64("lo", "hi"))).first()
         if tuple(seen) == state or not seen[0]:
             break
         state = tuple(seen)
-        both = now.select(F.col("lo").alias("u"), F.col("hi").alias("v")).union(now.select("hi", "lo"))
+        both = now.select(F.explode(F.array(F.struct(F.col("lo").alias("u"), F.col("hi").alias("v")), F.struct(F.col("hi").alias("u"), F.col("lo").alias("v")))).alias("x")).select("x.*")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("m").alias("lo"), F.col("v").alias("hi")).distinct()
         first = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(first, "hi").filter("lo > m").select(F.col("m").alias("lo"), F.col("lo").alias("hi"))
-        now = small.union(first.select("m", "hi")).distinct().checkpoint()
-    roots = now.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct()
-    return now.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(roots)
+        joined = large.join(first, "hi")
+        # (m, lo) of the others and (m, hi) of each row: what hangs on hi moves to its smallest neighbour.
+        moved = joined.select(F.explode(F.array(F.struct(F.col("m").alias("lo"), F.col("lo").alias("hi")), F.struct(F.col("m").alias("lo"), F.col("hi").alias("hi")))).alias("x")).select("x.*")
+        now = moved.filter("lo < hi").distinct().checkpoint()
+    pairs = F.explode(F.array(F.struct(F.col("hi").alias("node"), F.col("lo").alias("component")), F.struct(F.col("lo").alias("node"), F.col("lo").alias("component"))))
+    return now.select(pairs.alias("x")).select("x.*").distinct()

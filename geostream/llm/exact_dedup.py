@@ -15,21 +15,35 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from geostream.llm.common import stage
 
 _FOLD = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _SIGN = 1 << 63
 
-ROWS = "kind int, doc_id long, row long, rep long, key long, sha string, n long, best long, best_row long, text binary"
+#: Rows that tasks write: a member (kind 0) for each row, an entry (kind 1) for each class of equal texts of a task.
+_LONGS = ("kind", "doc_id", "row", "rep", "key", "n", "best", "best_row")
+_NAMES = ("kind", "doc_id", "row", "rep", "key", "sha", "n", "best", "best_row", "text")
+ROWS = StructType([StructField(x, LongType() if x in _LONGS else StringType() if x == "sha" else BinaryType()) for x in _NAMES])
 
 
 def _better(a: tuple, b: tuple) -> tuple:
-    """Of (doc_id or None, row) the one that stays: the largest doc_id, then the first row."""
+    """Of (doc_id or None, row, ...) the one that stays: the largest doc_id, then the first row."""
     return max(a, b, key=lambda x: (x[0] is not None, x[0] or 0, -x[1]))
 
 
-def _fold_task(keep_bytes: int, digest):
+def _batch(rows: list, schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows) if rows else [[]] * len(schema), schema)], schema=schema)
+
+
+def _fold_task(keep_bytes: int, digest, schema: pa.Schema):
+    """Batches doc_id, text and the columns that the surviving row keeps, if any -> ROWS and those columns.
+
+    With such columns only entries are written, and the folded text is left to be made again from the kept one.
+    """
+
     def run(batches):
         from pyspark import TaskContext
 
@@ -38,25 +52,25 @@ def _fold_task(keep_bytes: int, digest):
         held = 0
 
         def flush():
-            rows = [(1, None, None, rep, key, None, n, best[0], best[1], text) for key, chain in seen.items() for text, rep, n, best, _ in chain]
-            return _rows(rows)
+            return _batch([(1, None, None, rep, key, None, n, best[0], best[1], None if best[2:] else text, *best[2:]) for key, chain in seen.items() for text, rep, n, best, _ in chain], schema)
 
         for batch in batches:
             members = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for doc, text, *rest in zip(*(c.to_pylist() for c in batch.columns)):
                 text = (text or "").encode().translate(_FOLD)
                 key, row = digest(text) - _SIGN, base + count
                 count += 1
                 chain = seen.setdefault(key, [])
                 own = next((x for x in chain if x[0] == text), None)
                 if own is None:
-                    own = [text, row, 0, (doc, row), hashlib.sha256(text).hexdigest()]
+                    own = [text, row, 0, (doc, row, *rest), hashlib.sha256(text).hexdigest()]
                     chain.append(own)
-                    held += len(text) + 400
+                    held += (1 + len(rest) // 2) * len(text) + 400
                 own[2] += 1
-                own[3] = _better(own[3], (doc, row))
-                members.append((0, doc, row, own[1], None, own[4], None, None, None, None))
-            yield _rows(members)
+                own[3] = _better(own[3], (doc, row, *rest))
+                if not rest:
+                    members.append((0, doc, row, own[1], None, own[4], None, None, None, None))
+            yield _batch(members, schema)
             if held > keep_bytes:
                 yield flush()
                 seen.clear()
@@ -66,12 +80,6 @@ def _fold_task(keep_bytes: int, digest):
     return run
 
 
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-    names = [x.split()[0] for x in ROWS.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows) if rows else [[]] * 10, kinds)], names)
-
-
 def directory(counts: dict[int, int], depth: int, capacity: int) -> np.ndarray:
     """Bucket of each of the 2**depth hash prefixes, given the number of keys that each has.
 
@@ -95,12 +103,12 @@ def directory(counts: dict[int, int], depth: int, capacity: int) -> np.ndarray:
 
 
 def _chain_task(batches):
-    """Rows sorted by key: the chain of the key at hand is held, one text for each class of equal texts."""
-    names = ["rep", "keep_id", "keep_row", "group_size", "lead"]
+    """Entries sorted by key: the chain of the key at hand is held, one text for each class of equal texts."""
+    names = ["rep", "keep_id", "keep_row", "group_size"]
     key, chain, members = None, [], []
 
     def close():
-        return [(rep, own[1][0], own[1][1], own[2], own[3]) for rep, own in members]
+        return [(rep, own[1][0], own[1][1], own[2]) for rep, own in members]
 
     for batch in batches:
         out = []
@@ -110,12 +118,49 @@ def _chain_task(batches):
                 key, chain, members = k, [], []
             own = next((x for x in chain if x[0] == text), None)
             if own is None:
-                chain.append(own := [text, (best, best_row), 0, rep])
+                chain.append(own := [text, (best, best_row), 0])
             own[1], own[2] = _better(own[1], (best, best_row)), own[2] + n
             members.append((rep, own))
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*out) if out else [[]] * 5)], names)
-    out = close()
-    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*out) if out else [[]] * 5)], names)
+        yield _batch(out, _CHAINED)
+    yield _batch(close(), _CHAINED)
+
+
+_CHAINED = pa.schema([(x, pa.int64()) for x in ("rep", "keep_id", "keep_row", "group_size")])
+
+
+def _keep_task(schema: pa.Schema, text_at: int):
+    """The same walk, yielding of each class the columns of the row that stays; the one at text_at is folded to compare."""
+
+    def run(batches):
+        key, chain = None, []
+        for batch in batches:
+            out = []
+            for k, best, best_row, *rest in zip(*(c.to_pylist() for c in batch.columns)):
+                text = (rest[text_at] or "").encode().translate(_FOLD)
+                if k != key:
+                    out += [own[1][2:] for own in chain]
+                    key, chain = k, []
+                own = next((x for x in chain if x[0] == text), None)
+                if own is None:
+                    chain.append([text, (best, best_row, *rest)])
+                else:
+                    own[1] = _better(own[1], (best, best_row, *rest))
+            yield _batch(out, schema)
+        yield _batch([own[1][2:] for own in chain], schema)
+
+    return run
+
+
+def _index(entries: DataFrame, bucket_keys: int, max_depth: int) -> DataFrame:
+    """Entries dealt to the owners of their buckets and sorted by key. The directory has 2**max_depth prefixes at most."""
+    spark = entries.sparkSession
+    # The top bits of the unsigned key, which is held less 2**63.
+    prefix = F.shiftrightunsigned(F.col("key").bitwiseXOR(F.lit(-_SIGN)), 64 - max_depth).cast("int")
+    counts = {r[0]: r[1] for r in entries.groupBy(prefix.alias("p")).count().collect()}
+    buckets = directory(counts, max_depth, bucket_keys)
+    lookup = spark.createDataFrame([(p, int(buckets[p])) for p in counts], "p int, bucket int")
+    placed = entries.withColumn("p", prefix).join(F.broadcast(lookup), "p").drop("p")
+    return placed.repartition(int(buckets.max()) + 1, "bucket").sortWithinPartitions("bucket", "key").drop("bucket")
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_keys: int = 2000, max_depth: int = 18, keep_bytes: int = 64 << 20, digest=xxhash.xxh3_64_intdigest) -> DataFrame:
@@ -125,17 +170,22 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     doc_id as smaller than any other. No rows: no rows. Other columns are ignored. bucket_keys: entries that a bucket
     holds before it is split. digest: text bytes -> unsigned 64-bit key, any; equal keys of different texts only chain.
     """
-    spark = docs.sparkSession
-    rows = stage(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_fold_task(keep_bytes, digest), ROWS), "exact-index")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = stage(rows.mapInArrow(_fold_task(keep_bytes, digest, to_arrow_schema(ROWS)), ROWS), "exact-index")
     entries = rows.filter("kind = 1").select("key", "rep", "n", "best", "best_row", "text")
-    # The top bits of the unsigned key, which is held less 2**63: at most 2**max_depth counts.
-    prefix = F.shiftrightunsigned(F.col("key").bitwiseXOR(F.lit(-_SIGN)), 64 - max_depth).cast("int")
-    counts = {r[0]: r[1] for r in entries.groupBy(prefix.alias("p")).count().collect()}
-    buckets = directory(counts, max_depth, bucket_keys)
-    owners = int(buckets.max()) + 1
-    # One row for each prefix in use, at most 2**max_depth.
-    lookup = spark.createDataFrame([(p, int(buckets[p])) for p in counts], "p int, bucket int")
-    placed = entries.withColumn("p", prefix).join(F.broadcast(lookup), "p").drop("p")
-    chained = placed.repartition(owners, "bucket").sortWithinPartitions("bucket", "key", "rep").drop("bucket").mapInArrow(_chain_task, "rep long, keep_id long, keep_row long, group_size long, lead long")
+    chained = _index(entries, bucket_keys, max_depth).mapInArrow(_chain_task, "rep long, keep_id long, keep_row long, group_size long")
     members = rows.filter("kind = 0").select("doc_id", "row", "rep", F.col("sha").alias("text_sha256"))
     return members.join(chained, "rep").select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256")
+
+
+def exact_survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_keys: int = 2000, max_depth: int = 18, keep_bytes: int = 64 << 20, digest=xxhash.xxh3_64_intdigest) -> DataFrame:
+    """The rows that exact_groups keeps, with all their columns, straight from the owners of the index."""
+    own = [(f"keep_{i}", f) for i, f in enumerate(docs.schema.fields)]
+    schema = StructType([*ROWS.fields, *(StructField(name, f.dataType, True) for name, f in own)])
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *[F.col(f"`{f.name}`").alias(name) for name, f in own])
+    rows = stage(rows.mapInArrow(_fold_task(keep_bytes, digest, to_arrow_schema(schema)), schema), "exact-index")
+    names = [name for name, _ in own]
+    entries = rows.select("key", "best", "best_row", *names)
+    kept = StructType(schema.fields[len(ROWS) :])
+    out = _index(entries, bucket_keys, max_depth).mapInArrow(_keep_task(to_arrow_schema(kept), docs.columns.index(text_col)), kept)
+    return out.select(*[F.col(name).alias(f.name) for name, f in own])
