@@ -160,13 +160,12 @@ def best_by_rchi(scored: DataFrame, by: Sequence[str] = (), order: str = "grid_i
 
 def bootstrap(df: DataFrame, n_draws: int, size: int, seed: int = 1, order: str = "sites") -> DataFrame:
     """(draw, place, row of df) with replacement: the row's number is md5(seed:draw:place) modulo the row count, so that draws repeat."""
-    total = Window.partitionBy()
-    numbered = df.withColumn("_row", F.row_number().over(Window.orderBy(order)) - 1).withColumn("_n", F.count("*").over(total))
+    numbered = df.withColumn("_row", F.row_number().over(Window.orderBy(order)) - 1)
     draws = df.sparkSession.range(n_draws * size).select(F.floor(F.col("id") / size).cast("int").alias("draw"), (F.col("id") % size).cast("int").alias("place"))
     key = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "draw", "place").cast("binary")), 1, 8), 16, 10).cast("long")
     n = numbered.agg(F.count("*").alias("_size"))
     picked = draws.withColumn("_key", key).crossJoin(F.broadcast(n)).withColumn("_row", (F.col("_key") % F.col("_size")).cast("int"))  # one row
-    return picked.join(F.broadcast(numbered.drop("_n")), "_row").drop("_row", "_key", "_size")
+    return picked.join(numbered, "_row").drop("_row", "_key", "_size")
 
 
 def with_reference(draws: DataFrame, ref: DataFrame) -> DataFrame:
