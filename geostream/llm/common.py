@@ -115,7 +115,7 @@ class Shingler:
     without words has none.
     """
 
-    def __init__(self, width: int = 5, block: int = 1 << 20):
+    def __init__(self, width: int = 5, block: int = 1 << 18):
         self.width, self.block = width, block
         rng = np.random.default_rng(20240229)
         self.byte = rng.integers(1, 1 << 63, size=256, dtype=np.uint64)
@@ -190,7 +190,8 @@ def connected_components(edges: DataFrame, task_edges: int = 250_000) -> DataFra
     to one task, which spares the shuffles of each round. edges: a staged table.
     """
     shared_dir(edges.sparkSession)
-    now = edges.coalesce(1) if edges.count() <= task_edges else edges
+    few = edges.count() <= task_edges
+    now = edges.coalesce(1) if few else edges
     now = now.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).filter("lo < hi").distinct().checkpoint()
     state = None
     while True:
@@ -198,6 +199,7 @@ def connected_components(edges: DataFrame, task_edges: int = 250_000) -> DataFra
         if tuple(seen) == state or not seen[0]:
             break
         state = tuple(seen)
+        now = now.coalesce(1) if few else now
         both = now.select(F.explode(F.array(F.struct(F.col("lo").alias("u"), F.col("hi").alias("v")), F.struct(F.col("hi").alias("u"), F.col("lo").alias("v")))).alias("x")).select("x.*")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("m").alias("lo"), F.col("v").alias("hi")).distinct()
@@ -207,4 +209,4 @@ def connected_components(edges: DataFrame, task_edges: int = 250_000) -> DataFra
         moved = joined.select(F.explode(F.array(F.struct(F.col("m").alias("lo"), F.col("lo").alias("hi")), F.struct(F.col("m").alias("lo"), F.col("hi").alias("hi")))).alias("x")).select("x.*")
         now = moved.filter("lo < hi").distinct().checkpoint()
     pairs = F.explode(F.array(F.struct(F.col("hi").alias("node"), F.col("lo").alias("component")), F.struct(F.col("lo").alias("node"), F.col("lo").alias("component"))))
-    return now.select(pairs.alias("x")).select("x.*").distinct()
+    return (now.coalesce(1) if few else now).select(pairs.alias("x")).select("x.*").distinct()
