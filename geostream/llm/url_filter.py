@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from geostream.llm.common import fold_ascii
+from geostream.llm.common import fold_ascii, stage
 
 #: (host and path prefix, verdict); a rule holds for its host and all subdomains.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
@@ -38,7 +38,10 @@ def with_rule(pages: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFrame:
 
 
 def templates(pages: DataFrame, depth: int, least_pages: int) -> DataFrame:
-    """(host, path, template): of rows (host, path, n), each path's template of at most depth segments."""
+    """Rows (host, path, n) with each path's template of at most depth segments.
+
+    Each level of the tree is staged: the next one reads it twice.
+    """
     tree = pages.withColumn("segments", F.split("path", "/")).withColumn("template", F.lit(""))
     for level in range(1, depth + 1):
         part = F.get("segments", F.lit(level))
@@ -50,9 +53,9 @@ def templates(pages: DataFrame, depth: int, least_pages: int) -> DataFrame:
         kept = children.join(siblings, ["host", "template"]).filter((F.col("pages") >= least_pages) | (F.col("siblings") <= 3)).select("host", "template", "part", F.lit(True).alias("literal"))
         tree = tree.join(kept, ["host", "template", "part"], "left")
         step = F.when(F.col("part").isNull(), F.lit("")).when(F.col("literal") | (F.col("part") == ""), F.concat(F.lit("/"), F.col("part"))).otherwise(F.lit("/*"))
-        tree = tree.withColumn("template", F.concat("template", step)).drop("literal", "part")
+        tree = stage(tree.withColumn("template", F.concat("template", step)).drop("literal", "part"), "url-tree")
     longer = F.when(F.size("segments") > depth + 1, F.lit("/**")).otherwise(F.lit(""))
-    return tree.select("host", "path", F.concat("template", longer).alias("template"))
+    return tree.withColumn("template", F.concat("template", longer)).drop("segments")
 
 
 def template_verdicts(counts: DataFrame, threshold: float, prior_pages: float, z: float) -> DataFrame:
@@ -85,9 +88,8 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, depth: int
     pages = pages.drop("host", "path", "rule", "template", "purity", "verdict", "ruled", "rejected")
     ruled = with_rule(with_parts(pages), rules)
     # Everything below works on distinct (host, path) with counts, partially aggregated before any shuffle.
-    known = ruled.groupBy("host", "path").agg(F.count("*").alias("n"), F.count_if(F.col("ruled") == "block").alias("blocked"))
-    tree = templates(known.select("host", "path", "n"), depth, least_pages)
-    placed = known.join(tree, ["host", "path"])
+    known = stage(ruled.groupBy("host", "path").agg(F.count("*").alias("n"), F.count_if(F.col("ruled") == "block").alias("blocked")), "url-paths")
+    placed = templates(known, depth, least_pages)
     verdicts = template_verdicts(placed.groupBy("host", "template").agg(F.sum("n").alias("pages"), F.sum("blocked").alias("blocked")), threshold, prior_pages, z)
     of_path = placed.join(verdicts, ["host", "template"]).select("host", "path", "template", "purity", "rejected")
     verdict = F.coalesce("ruled", F.when(F.col("rejected"), F.lit("block")).otherwise(F.lit("allow")))
