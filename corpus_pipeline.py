@@ -45,10 +45,15 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_survivors(docs)
 
 
+#: Documents of the corpus link from a similarity of 80 %. A pair there shares none of 25 bands of 4 registers with a
+#: probability of 2e-6; the slack is 5 standard deviations of its estimate.
+NEAR = {"percent": 80, "rows": 4, "bands": 25, "slack": 0.2}
+
+
 @_scratch
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near-duplicates, the one with the smallest doc_id. Rows that share a doc_id stay or go together."""
-    kept = near_dup.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    kept = near_dup.near_duplicates(docs, **NEAR).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
 
 

@@ -56,6 +56,18 @@ def test_near_stage(stages):
     assert Counter(x[0] for x in stages[3]) == Counter(expected) and len(stages[3]) < len(stages[2])
 
 
+def test_near_stage_links_from_80_percent(spark):
+    r, rows = random.Random(12), []
+    for g in range(240):
+        base = prose(r, 94, "abcdefghijklmnop").split()
+        changed = 7 + g % 5  # (90 - k) / (90 + k): 0.86, 0.84, 0.82, 0.80 and 0.78
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(base[:-changed] + prose(r, changed, "qrstuvwxyz").split()))]
+    docs = spark.createDataFrame([(*x, None, "a", 1, 0.1) for x in rows], COLUMNS).repartition(3)
+    got = Counter(x.doc_id for x in corpus_pipeline.near_stage(spark, docs, "").collect())
+    expected = {doc for doc, _, component in near_brute(rows, percent=80) if doc == component}
+    assert got == Counter(expected) and len(expected) < len({doc for doc, _, component in near_brute(rows) if doc == component})
+
+
 def test_mixing_stage(stages):
     size, total, target = mix_brute(stages[3])
     taken = defaultdict(int)
