@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,7 +33,7 @@ def terms(text: str) -> np.ndarray:
         out[: 1 << BITS] = np.sqrt(np.bincount(at, minlength=1 << BITS))
     low = np.bincount(np.minimum(code, 128), minlength=129)
     words, lines = text.split(), text.split("\n")
-    common = max(map(words.count, {*words[:3], *words[len(words) // 2 : len(words) // 2 + 3], *words[-3:]})) if words else 0
+    times = Counter(words)
     shapes = (
         low[65:91].sum() / n,
         low[48:58].sum() / n,
@@ -39,8 +41,8 @@ def terms(text: str) -> np.ndarray:
         (low[32] + low[9:14].sum()) / n,
         min(1.0, n / len(lines) / 2000),
         1 - len(set(lines)) / len(lines),
-        1 - len(set(words)) / max(1, len(words)),
-        common / max(1, len(words)),
+        1 - len(times) / max(1, len(words)),
+        max(times.values(), default=0) / max(1, len(words)),
         np.count_nonzero(out[: 1 << BITS]) / min(n, 1 << BITS),
     )
     out[(1 << BITS) + np.arange(SHAPES) * BINS + np.minimum((np.sqrt(np.array(shapes)) * BINS).astype(int), BINS - 1)] = 1

@@ -279,6 +279,16 @@ def test_quality(spark):
     assert {x.doc_id: x.score for x in got}[901] == 0
 
 
+def test_most_frequent_word_counts_every_word():
+    r = random.Random(9)
+    for share in (0.1, 0.3, 0.6, 0.9):
+        text = [f"w{i}" for i in range(300)]
+        for i in r.sample([i for i in range(5, 295) if not 145 <= i < 158], int(270 * share)):
+            text[i] = "stuffed"  # neither first, nor in the middle, nor last
+        bins = quality.terms(" ".join(text))[(1 << quality.BITS) + 7 * quality.BINS :][: quality.BINS]
+        assert bins.tolist().index(1) == int(math.sqrt(text.count("stuffed") / 300) * quality.BINS)
+
+
 def test_neighbours_are_exact():
     rng = np.random.default_rng(2)
     counts = rng.poisson(0.05, (60, quality.WIDTH)).astype(np.float32)
