@@ -362,6 +362,17 @@ def test_licences(spark):
     assert all(got[i].license is None for i in got if i % 10 or i >= 500)
 
 
+def test_licences_over_wrapped_lines(spark):
+    r = random.Random(10)
+    rows = [(i, "\n".join(prose(r, 12) for _ in range(4))) for i in range(60)]
+    by = "This work is licensed under a Creative\nCommons Attribution 4.0 International License"
+    rows += [(100, f"{prose(r, 9)}\n{by}\n{prose(r, 9)}"), (101, by.replace("Creative\n", "Creative\n\n")), (102, "\n".join(by.split())), (103, f"Released under the MIT License.\n{prose(r, 9)}\n\n{by}"), (104, by.replace("\n", " "))]
+    got = {x.doc_id: x for x in license_scan.scan(docs(spark, rows).repartition(2)).collect()}
+    assert {i: got[i].licenses for i in range(100, 105)} == {100: ["cc-by"], 101: [], 102: ["cc-by"], 103: ["cc-by", "mit"], 104: ["cc-by"]}
+    assert [got[i].n_paragraphs for i in range(100, 105)] == [1, 0, 1, 2, 1]
+    assert all(got[i].license is None and got[i].licenses == [] for i in range(60))
+
+
 # --- vectors ---
 
 
