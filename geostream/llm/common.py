@@ -16,10 +16,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; only where it is unset (a local session) one under the temp folder."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session gets one of its own; a cluster has to name it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = f"file://{tempfile.gettempdir()}/checkpoints"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: on a cluster it has to name a folder that all machines share")
+        base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.sparkContext.setCheckpointDir(base)
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -38,21 +40,33 @@ def captured(paths: list[str]):
         _captured.pop()
 
 
+def _path(spark: SparkSession, path: str):
+    """(file system, path) of a path in the JVM."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsc.hadoopConfiguration()), there
+
+
 def release(spark: SparkSession, paths: list[str]) -> None:
     """Delete staged tables that nothing reads any more, and forget them."""
     for path in paths:
-        there = spark._jvm.org.apache.hadoop.fs.Path(path)
-        there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+        system, there = _path(spark, path)
+        system.delete(there, True)
     paths.clear()
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it again: lineage ends here and a lost executor costs no recomputation."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    """Write df to the shared folder and read it again: lineage ends here and a lost executor costs no recomputation.
+
+    The table goes when the application ends, or earlier by release.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     for paths in _captured:
         paths.append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    system, there = _path(spark, path)
+    system.deleteOnExit(there)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -182,31 +196,86 @@ class Shingler:
                     yield np.zeros(0, np.uint64)
 
 
-def connected_components(edges: DataFrame, task_edges: int = 250_000) -> DataFrame:
+def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges between the nodes a and b, as an edge from each node to the smallest that it reaches by them."""
+    nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = place[: len(a)], place[len(a) :]
+    least = np.arange(len(nodes))
+    while True:
+        new = least.copy()
+        low = np.minimum(least[x], least[y])
+        for end in (x, y, least[x], least[y]):
+            np.minimum.at(new, end, low)
+        new = new[new]
+        if (new == least).all():
+            break
+        least = new
+    own = np.flatnonzero(least != np.arange(len(nodes)))
+    return nodes[own], nodes[least[own]]
+
+
+def _contract(block: int):
+    """Edges (hi, lo) of a task as stars, block edges at a time."""
+
+    def run(batches):
+        held, size = [], 0
+
+        def close():
+            hi, lo = _stars(*np.concatenate(held, axis=1))
+            return pa.RecordBatch.from_arrays([pa.array(hi, pa.int64()), pa.array(lo, pa.int64())], ["hi", "lo"])
+
+        for batch in batches:
+            pairs = np.array([c.to_numpy(zero_copy_only=False) for c in batch.columns], np.int64)
+            pairs = pairs[:, pairs[0] != pairs[1]]
+            if pairs.size:
+                held.append(pairs)
+                size += pairs.shape[1]
+            if size > block:
+                yield close()
+                held, size = [], 0
+        if held:
+            yield close()
+
+    return run
+
+
+def _lower(batches):
+    """Edges sorted by (hi, lo): each hi keeps the one to its smallest lo (own), its other lo get one to that."""
+    last = least = before = None
+    for batch in batches:
+        own, nodes, tops = [], [], []
+        for hi, lo in zip(batch.column("hi").to_pylist(), batch.column("lo").to_pylist()):
+            if hi != last:
+                own.append(True)
+                nodes.append(hi)
+                tops.append(lo)
+                last, least = hi, lo
+            elif lo != before:
+                own.append(False)
+                nodes.append(lo)
+                tops.append(least)
+            before = lo
+        yield pa.RecordBatch.from_arrays([pa.array(own, pa.bool_()), pa.array(nodes, pa.int64()), pa.array(tops, pa.int64())], ["own", "hi", "lo"])
+
+
+def connected_components(edges: DataFrame, block: int = 1 << 20) -> DataFrame:
     """(node, component) of the nodes of edges (a, b), component being the smallest node reached.
 
-    Rounds of large-star and small-star: each is joins and partial aggregates of edges, so that neither a hub nor a
-    whole component has to fit a task; each round is checkpointed in the shared folder. Up to task_edges edges are dealt
-    to one task, which spares the shuffles of each round. edges: a staged table.
+    In each round a task replaces its edges by stars, so that a node has at most one edge downwards in each block of a
+    task, however many neighbours it has; then the edges of a node meet, sorted, and it keeps the smallest, to which the
+    others now lead; then edges that end at a node with an edge of its own are led on to that one's end. Rounds end when
+    all edges are stars. Edges into a hub are never gathered: they stay with their other ends, and the join that leads
+    them on has one row for each node at most, which Spark broadcasts if it is small and else splits by skew. Nothing
+    that grows with the input has to fit a task or reaches the driver. A round with its result is a staged table.
     """
-    shared_dir(edges.sparkSession)
-    few = edges.count() <= task_edges
-    now = edges.coalesce(1) if few else edges
-    now = now.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).filter("lo < hi").distinct().checkpoint()
-    state = None
+    todo = edges.select(F.col("a").cast("long").alias("hi"), F.col("b").cast("long").alias("lo"))
     while True:
-        seen = now.agg(F.count("*"), F.bit_xor(F.xxhash64("lo", "hi"))).first()
-        if tuple(seen) == state or not seen[0]:
+        stars = todo.mapInArrow(_contract(block), "hi long, lo long").repartition("hi").sortWithinPartitions("hi", "lo")
+        now = stage(stars.mapInArrow(_lower, "own boolean, hi long, lo long"), "components")
+        ends = now.filter("own").select(F.col("hi").alias("end"), F.col("lo").alias("next"))
+        led = now.join(ends, F.col("lo") == F.col("end"), "left")
+        if led.filter("next is not null or not own").isEmpty():
             break
-        state = tuple(seen)
-        now = now.coalesce(1) if few else now
-        both = now.select(F.explode(F.array(F.struct(F.col("lo").alias("u"), F.col("hi").alias("v")), F.struct(F.col("hi").alias("u"), F.col("lo").alias("v")))).alias("x")).select("x.*")
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("m").alias("lo"), F.col("v").alias("hi")).distinct()
-        first = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        joined = large.join(first, "hi")
-        # (m, lo) of the others and (m, hi) of each row: what hangs on hi moves to its smallest neighbour.
-        moved = joined.select(F.explode(F.array(F.struct(F.col("m").alias("lo"), F.col("lo").alias("hi")), F.struct(F.col("m").alias("lo"), F.col("hi").alias("hi")))).alias("x")).select("x.*")
-        now = moved.filter("lo < hi").distinct().checkpoint()
-    pairs = F.explode(F.array(F.struct(F.col("hi").alias("node"), F.col("lo").alias("component")), F.struct(F.col("lo").alias("node"), F.col("lo").alias("component"))))
-    return (now.coalesce(1) if few else now).select(pairs.alias("x")).select("x.*").distinct()
+        todo = led.select("hi", F.coalesce("next", "lo").alias("lo"))
+    found = now.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
+    return found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())

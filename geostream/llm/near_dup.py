@@ -3,7 +3,8 @@
 A document is the set of its word shingles. Register j of its sketch is floor(1 - log_b(x)), x being the smallest of the
 set's exponentially distributed hashes by function j, truncated to [0, q + 1]; sketches of parts merge by maximum. Bands
 of registers propose pairs, the likelihood of the three counts (registers above, below, equal) estimates their
-similarity, and pairs near the threshold are verified on the full sets.
+similarity, and pairs near the threshold are verified on the full sets. Sets are compared as sets of 64-bit hashes of
+their shingles, and are taken for equal if their sizes and 128-bit fingerprints are.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geostream.llm.common import Shingler, connected_components, mix64, stage
-from geostream.llm.units import by_unit, dealt, into_units, longs
+from geostream.llm.units import by_unit, cross_units, dealt, home_units, longs
 
 
 class SetSketch:
@@ -65,79 +66,94 @@ def _sketch(sketch: SetSketch, width: int):
             sizes, keys, registers = [], [], []
             for own in shingler.rows(batch.column(1)):
                 sizes.append(len(own))
-                # Two sums over the set are its 128-bit fingerprint.
-                keys.append(np.array([mix64(own).sum(dtype=np.uint64), mix64(own ^ np.uint64(0xA0761D6478BD642F)).sum(dtype=np.uint64), len(own)], np.uint64).tobytes())
+                keys.append(_fingerprint(own))
                 registers.append(sketch.registers(own).tobytes() if len(own) > 1 else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(registers, pa.binary())], ["doc_id", "n_shingles", "set_key", "registers"])
 
     return run
 
 
+def _fingerprint(own: np.ndarray) -> bytes:
+    """128-bit fingerprint of a set, two sums over it, and its size."""
+    return np.array([mix64(own).sum(dtype=np.uint64), mix64(own ^ np.uint64(0xA0761D6478BD642F)).sum(dtype=np.uint64), len(own)], np.uint64).tobytes()
+
+
 class _Unit:
-    """Rows of a unit; finds the likely partners of one row at a time among those asked for."""
+    """Rows of a unit of one band; finds the likely partners of one row at a time among those that it has to meet here.
 
-    def __init__(self, sketch: SetSketch, registers: list, n: list, side: list, other: list, least: float):
-        self.sketch, self.least = sketch, least
+    A pair meets in the first band that it shares only. Rows of other chunks of the bucket (side 2) meet those at home;
+    of two strays, the one with the smaller node is the guest.
+    """
+
+    def __init__(self, sketch: SetSketch, rows: int, least: float, band: int, registers: list, n: list, node: list, side: list):
+        self.sketch, self.rows, self.least, self.band = sketch, rows, least, band
         self.registers = np.frombuffer(b"".join(registers), np.int16).reshape(len(registers), -1)
-        self.n = np.array(n, np.float64)
-        self.side = np.array(side) if side[0] != other[0] else None  # two chunks: only pairs across them
+        self.n, self.node, self.side = np.array(n, np.float64), np.array(node), np.array(side)
+        guests = np.flatnonzero(self.side == 2)
+        self.turns = guests.tolist() if len(guests) else range(len(n) - 1)
+        self.cross = bool(len(guests))
+
+    def others(self, i: int) -> np.ndarray:
+        """Rows that row i has to meet in its turn."""
+        if not self.cross:
+            return np.arange(i + 1, len(self.n))
+        return np.flatnonzero((self.side == 0) | ((self.side == 1) & (self.node > self.node[i])))
 
     def partners(self, i: int, rows: np.ndarray) -> np.ndarray:
         """Those of rows that are likely similar to row i, the likeliest first."""
-        if self.side is not None:
-            rows = rows[self.side[rows] != self.side[i]]
         if not len(rows):
             return rows
         there, own = self.registers[rows], self.registers[i]
-        equal = (there == own).sum(1)
-        rows, there, equal = (x[equal >= (self.least - 0.15) * self.sketch.size] for x in (rows, there, equal))
+        same = there == own
+        equal = same.sum(1)
+        keep = equal >= (self.least - 0.15) * self.sketch.size
+        rows, there, same, equal = rows[keep], there[keep], same[keep], equal[keep]
         if not len(rows):
             return rows
         above = (own > there).sum(1)
         good = self.sketch.likely(above, self.sketch.size - equal - above, self.n[i], self.n[rows], self.least)
-        return rows[good][np.argsort(-equal[good], kind="stable")]
+        bands = same[good].reshape(-1, self.sketch.size // self.rows, self.rows).all(2)
+        first = bands[:, self.band] & ~bands[:, : self.band].any(1)
+        return rows[good][first][np.argsort(-equal[good][first], kind="stable")]
 
 
-def _flag(sketch: SetSketch, least: float):
+def _flag(sketch: SetSketch, rows: int, least: float):
     """Keep the rows of each unit that have a likely partner outside their group."""
-    names = ("unit", "band", "side", "other", "node", "n", "registers", "group")
+    names = ("unit", "band", "side", "node", "n", "registers", "group")
 
     def run(batches):
         out: list[np.ndarray] = []
         for columns in by_unit(batches, names):
-            _, _, side, other, _, n, registers, group = columns
-            size = len(n)
-            if size < 2:
+            _, band, side, node, n, registers, group = columns
+            if len(n) < 2:
                 continue
-            unit, group, found = _Unit(sketch, registers, n, side, other, least), np.array(group), np.zeros(size, bool)
-            for i in range(size - 1):
+            unit, group, found = _Unit(sketch, rows, least, band[0], registers, n, node, side), np.array(group), np.zeros(len(n), bool)
+            for i in unit.turns:
                 # A pair of rows that both have a partner already tells nothing new.
-                rest = np.arange(i + 1, size)
-                rest = rest[(group[rest] != group[i]) & ~(found[rest] & found[i])]
-                near = unit.partners(i, rest)
+                rest = unit.others(i)
+                near = unit.partners(i, rest[(group[rest] != group[i]) & ~(found[rest] & found[i])])
                 if len(near):
                     found[near] = found[i] = True
             if found.any():
-                out.append(np.array([np.array(x, np.int64)[found] for x in columns[:5]]))
+                out.append(np.array([np.array(x, np.int64)[found] for x in (*columns[:4], group)]))
         if out:
-            yield longs(list(np.concatenate(out, axis=1)), ["unit", "band", "side", "other", "node"])
+            yield longs(list(np.concatenate(out, axis=1)), ["unit", "band", "side", "node", "group"])
 
     return run
 
 
-def _verify(sketch: SetSketch, least: float, width: int, numerator: int, denominator: int):
+def _verify(sketch: SetSketch, rows: int, least: float, width: int, numerator: int, denominator: int):
     """Links of a unit on full sets, as a forest: rows that other links join already need no test."""
-    names = ("side", "other", "n", "registers", "group", "text")
+    names = ("band", "side", "node", "n", "registers", "group", "text")
 
     def run(batches):
         shingler, edges = Shingler(width), []
-        for side, other, n, registers, group, text in by_unit(batches, names):
-            size = len(n)
-            if size < 2:
+        for band, side, node, n, registers, group, text in by_unit(batches, names):
+            if len(n) < 2:
                 continue
-            unit, label, sets = _Unit(sketch, registers, n, side, other, least), np.array(group), None
-            for i in range(size - 1):
-                rest = np.arange(i + 1, size)
+            unit, label, sets = _Unit(sketch, rows, least, band[0], registers, n, node, side), np.array(group), None
+            for i in unit.turns:
+                rest = unit.others(i)
                 for j in unit.partners(i, rest[label[rest] != label[i]]).tolist():
                     if label[i] == label[j]:
                         continue
@@ -152,6 +168,18 @@ def _verify(sketch: SetSketch, least: float, width: int, numerator: int, denomin
     return run
 
 
+def _own_text(width: int):
+    """Keep the rows whose text has the node's set (a doc_id may be repeated with other texts)."""
+
+    def run(batches):
+        shingler = Shingler(width)
+        for batch in batches:
+            same = [key == _fingerprint(own) for key, own in zip(batch.column("set_key").to_pylist(), shingler.rows(batch.column("text")))]
+            yield batch.filter(pa.array(same, pa.bool_())).select(["node", "text"])
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, rows: int = 5, bands: int = 20, first_bands: int = 4, slack: float = 0.15, chunk: int = 512) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row.
 
@@ -161,8 +189,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, rows: in
     node from the start, so that copies are neither compared nor paired. A row without doc_id takes part in no link: its
     component_id is null and it is kept. Rows that repeat a doc_id with equal texts agree. No rows: no rows; other columns
     are ignored. bands * rows registers: a pair at 85 % shares no band with a probability of 1e-5. slack: how far the
-    estimate may lie below the threshold for a pair to be verified (4 standard deviations of it). Buckets have no cap: see
-    units.into_units.
+    estimate may lie below the threshold for a pair to be verified (4 standard deviations of it).
+
+    Buckets have no cap. Their rows meet in units of about chunk rows; in a larger bucket, what its largest component does
+    not hold then meets the other chunks (see units), so that a bucket of near copies costs in proportion to its rows. A
+    large bucket of texts that share a band but don't link costs the square of its rows by chunk.
     """
     sketch, threshold = SetSketch(rows * bands), percent / 100
     least = threshold - slack
@@ -170,42 +201,44 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, rows: in
     sets = stage(docs.mapInArrow(_sketch(sketch, width), "doc_id long, n_shingles long, set_key binary, registers binary"), "sketches")
     known = sets.filter("n_shingles > 0 and doc_id is not null")
     nodes = stage(known.groupBy("set_key").agg(F.min("doc_id").alias("first"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers")).withColumn("node", F.monotonically_increasing_id()), "sketch-nodes")
+    lean = nodes.select("node", "n", "registers")
     band = [F.struct(F.lit(k).alias("band"), F.xxhash64(F.substring("registers", 2 * rows * k + 1, 2 * rows), F.lit(k)).alias("bucket")) for k in range(bands)]
     hits = nodes.filter("registers is not null").select("node", F.explode(F.array(*band)).alias("x")).select("node", "x.band", "x.bucket")
-    lean = nodes.select("node", "n", "registers")
-    likely = dealt(into_units(hits, chunk, ("band",)).join(lean, "node").withColumn("group", F.col("node")))
-    likely = stage(likely.mapInArrow(_flag(sketch, least), "unit long, band long, side long, other long, node long"), "sketch-likely")
-    # Texts of the rows with a likely partner, a node's text being that of its smallest doc_id.
-    some = likely.select("node").distinct().join(nodes, "node").select("node", "n", "registers", "first", "set_key")
-    texts = some.join(docs, F.col("first") == F.col("doc_id")).select("node", "n", "registers", "text", "set_key")
-    texts = stage(texts.mapInArrow(_own_text(width), "node long, n long, registers binary, text string").dropDuplicates(["node"]), "sketch-texts")
-    verify = _verify(sketch, least, width, percent, 100)
-    front = likely.filter(F.col("band") < first_bands).join(texts, "node").withColumn("group", F.col("node"))
-    links = stage(dealt(front).mapInArrow(verify, "a long, b long"), "sketch-links")
-    component = stage(connected_components(links), "sketch-components")
+    homes = stage(home_units(hits, chunk, ("band",)), "sketch-homes")
+
+    def flagged(units: DataFrame) -> DataFrame:
+        """Rows of units (unit, band, side, node, group) with a likely partner in another group."""
+        return dealt(units.join(lean, "node")).mapInArrow(_flag(sketch, rows, least), "unit long, band long, side long, node long, group long")
+
+    def texts_of(units: DataFrame) -> DataFrame:
+        """The text of each node, that of its smallest doc_id."""
+        some = units.select("node").distinct().join(nodes.select("node", "first", "set_key"), "node")
+        texts = some.join(docs, F.col("first") == F.col("doc_id")).select("node", "text", "set_key")
+        return stage(texts.mapInArrow(_own_text(width), "node long, text string").dropDuplicates(["node"]), "sketch-texts")
+
+    def links(units: DataFrame, texts: DataFrame) -> DataFrame:
+        return dealt(units.join(lean, "node").join(texts, "node")).mapInArrow(_verify(sketch, rows, least, width, percent, 100), "a long, b long")
+
+    def grouped(units: DataFrame, component: DataFrame) -> DataFrame:
+        """units with the component of each node as its group."""
+        return units.drop("group").join(component, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component")
+
+    def joined(component: DataFrame, more: DataFrame) -> DataFrame:
+        return stage(connected_components(component.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)), "sketch-components")
+
+    likely = stage(flagged(homes.select("unit", "band", F.lit(0).alias("side"), "node", F.col("node").alias("group"))), "sketch-likely")
+    texts = texts_of(likely)
+    component = stage(connected_components(links(likely.filter(F.col("band") < first_bands), texts)), "sketch-components")
     # The other bands matter only where they join what is still apart.
-    rest = likely.filter(F.col("band") >= first_bands).join(component, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component")
-    again = dealt(rest.join(lean, "node")).mapInArrow(_flag(sketch, least), "unit long, band long, side long, other long, node long")
-    again = again.join(component, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component").join(texts, "node")
-    more = stage(dealt(again).mapInArrow(verify, "a long, b long"), "sketch-links")
-    # Those links join components, or nodes that had none.
-    wider = stage(connected_components(more).select(F.col("node").alias("part"), F.col("component").alias("whole")), "sketch-components")
-    of_node = nodes.select("node", "set_key", "first").join(component, "node", "left").withColumn("part", F.coalesce("component", "node"))
-    of_node = of_node.join(wider, "part", "left").select("set_key", "first", F.coalesce("whole", "part").alias("component"))
+    rest = flagged(grouped(likely.filter(F.col("band") >= first_bands), component))
+    component = joined(component, links(rest, texts))
+    large = homes.filter("chunks > 1 and deal = 0")
+    if not large.isEmpty():
+        across = stage(flagged(cross_units(grouped(large, component), chunk, ("band",))), "sketch-across")
+        component = joined(component, links(across, texts_of(across)))
+    of_node = nodes.select("node", "set_key", "first").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = of_node.groupBy("component").agg(F.min("first").alias("component_id"))
     of_set = of_node.join(smallest, "component").select("set_key", "component_id")
     linked = known.select("doc_id", "n_shingles", "set_key").join(of_set, "set_key").select("doc_id", "n_shingles", "component_id")
     lone = sets.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionByName(lone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-
-
-def _own_text(width: int):
-    """Keep the rows whose text has the node's set (a doc_id may be repeated with other texts)."""
-
-    def run(batches):
-        shingler = Shingler(width)
-        for batch in batches:
-            same = [np.frombuffer(key, np.uint64)[0] == mix64(own).sum(dtype=np.uint64) and len(own) == n for key, n, own in zip(batch.column("set_key").to_pylist(), batch.column("n").to_pylist(), shingler.rows(batch.column("text")))]
-            yield batch.filter(pa.array(same, pa.bool_())).select(["node", "n", "registers", "text"])
-
-    return run

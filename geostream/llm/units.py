@@ -23,6 +23,36 @@ def into_units(hits: DataFrame, chunk: int, keep: tuple[str, ...] = ()) -> DataF
     return rows.select(unit.alias("unit"), "bucket", "side", "other", "node", *keep)
 
 
+def home_units(hits: DataFrame, chunk: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(unit, bucket, chunks, deal, chunk, node, *keep): rows of buckets with two rows at least, in units of about chunk rows.
+
+    A bucket of up to chunk rows is one unit. A larger one is dealt into chunks twice, each time anew: rows that belong
+    together thus become one component although no unit sees all of them. A row is in two units at most.
+    """
+    sizes = hits.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
+    rows = hits.join(sizes, "bucket").withColumn("chunks", F.ceil(F.col("size") / chunk).cast("int"))
+    rows = rows.withColumn("deal", F.explode(F.sequence(F.lit(0), F.least(F.col("chunks") - 1, F.lit(1)))))
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("node", "bucket", "deal"), F.col("chunks")).cast("int"))
+    return rows.select(F.xxhash64("bucket", "deal", "chunk").alias("unit"), "bucket", "chunks", "deal", "chunk", "node", *keep)
+
+
+def cross_units(homes: DataFrame, chunk: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(unit, side, chunk, node, group, *keep) in which the rows of a bucket meet those of its other chunks, for components.
+
+    homes: rows of one deal with their group. Rows of the bucket's largest group needn't meet each other. The others, its
+    strays, are dealt into chunks of their own, and each such chunk (side 2) meets each chunk of the bucket (side 0 the
+    largest group, 1 strays). n rows with s strays make about 2 n s / chunk + n rows: in proportion to n where the bucket
+    is one group but for some strays.
+    """
+    groups = homes.groupBy("bucket", "group").agg(F.count("*").alias("n"))
+    largest = groups.groupBy("bucket").agg(F.max_by("group", F.struct("n", "group")).alias("largest"), (F.sum("n") - F.max("n")).alias("strays")).filter("strays > 0")
+    rows = homes.join(largest, "bucket").withColumn("parts", F.ceil(F.col("strays") / chunk).cast("int")).withColumn("side", (F.col("group") != F.col("largest")).cast("int"))
+    at_home = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("host", F.col("chunk"))
+    guests = rows.filter("side = 1").withColumn("side", F.lit(2)).withColumn("part", F.pmod(F.xxhash64("node", "bucket", F.lit(7)), F.col("parts")).cast("int"))
+    guests = guests.withColumn("host", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).filter("host != chunk")
+    return at_home.unionByName(guests).select(F.xxhash64("bucket", "host", "part").alias("unit"), "side", "chunk", "node", "group", *keep)
+
+
 def dealt(rows: DataFrame, unit: str = "unit") -> DataFrame:
     """The rows of each unit together, in one task and in order.
 
