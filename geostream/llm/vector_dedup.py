@@ -23,7 +23,7 @@ class ProductCode:
     def __init__(self, dim: int, words: int, tables: int, listed: float, least: int, seed: int = 11):
         rng = np.random.default_rng([seed, dim])
         self.words, self.tables, self.least, self.half = words, tables, least, max(1, dim // 2)
-        halves = [rng.standard_normal((tables, words, size)) for size in (self.half, max(1, dim - self.half))]
+        halves = [rng.standard_normal((tables, words, size), np.float32) for size in (self.half, max(1, dim - self.half))]
         self.left, self.right = (x / np.linalg.norm(x, axis=2, keepdims=True) for x in halves)
         # Each direction has length sqrt(2); its product with a random unit vector has variance 2 / dim.
         self.height = NormalDist().inv_cdf(1 - min(0.5, listed / words**2)) * (2 / dim) ** 0.5
@@ -62,7 +62,7 @@ def _decode(words: int, tables: int, listed: float, least: int):
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
                 code = codes.setdefault(dim, ProductCode(dim, words, tables, listed, least))
                 for i, own in zip(rows, code.decode(x)):
-                    filters[i] = own * 4099 + dim % 4099  # vectors of different length never meet
+                    filters[i] = (own << 28) + dim  # vectors of different length never meet
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), batch.column("n").cast(pa.int64()), pa.array([v.astype("<f8").tobytes() for v in vectors], pa.binary()), pa.array(filters, pa.list_(pa.int64()))], ["node", "n", "vector", "filters"])
 
     return run
@@ -115,6 +115,18 @@ def _compare(threshold: float):
     return run
 
 
+def code_size(classes: int, listed: float, tables: int) -> tuple[int, int]:
+    """(words, tables) for a number of different vectors: filters list about 32 each, and tables make up for narrower caps.
+
+    With twice as many words a pair at the threshold shares a filter of one table less often; a table more for each
+    eightfold of words keeps the recall from falling.
+    """
+    words = 32
+    while words * words * 32 < classes * listed:
+        words *= 2
+    return words, tables + max(0, int(np.log(words / 64) / np.log(8) + 1e-9))
+
+
 def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = 2, listed: float = 10.0, least: int = 6, chunk: int = 1024) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row.
 
@@ -122,16 +134,17 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
     vectors are compared once and counted as often as they occur, repeated rows included. A vector that is null, empty,
     zero or holds null or non-finite components links with nothing; vectors of different length neither. component_id is
     the smallest vec_id reachable (of rows without id: the smallest there is, else null). No rows: no rows; other columns
-    are ignored. listed: filters of a table that list a random vector on average; tables and listed set the recall,
-    chunk the rows that meet in a task.
+    are ignored. listed: filters of a table that list a random vector on average; tables (for few vectors, see code_size)
+    and listed set the recall, chunk the rows that meet in a task. A task holds the codes, 4 * tables * words * length bytes.
+
+    Exact link counts need every pair within a cluster of near but different vectors: n of them are sent to n / chunk units
+    in each filter that lists them, and n * n products are computed there. No counts are estimated to avoid that.
     """
     rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("vector"))
     fine = F.forall("vector", lambda v: v.isNotNull() & (F.abs(v) < float("inf"))) & F.exists("vector", lambda v: v != 0)
     rows = rows.withColumn("fine", F.coalesce(fine, F.lit(False)))
     classes = stage(rows.filter("fine").groupBy("vector").agg(F.min("vec_id").alias("first"), F.count("*").alias("n")).withColumn("node", F.monotonically_increasing_id()), "vector-classes")
-    words = 32
-    while words < 4096 and words * words * 32 < classes.count() * listed:
-        words *= 2
+    words, tables = code_size(classes.count(), listed, tables)
     known = stage(dealt(classes.select("node", "n", "vector"), "node").mapInArrow(_decode(words, tables, listed, least), "node long, n long, vector binary, filters array<long>"), "vector-filters")
     hits = known.select(F.explode("filters").alias("bucket"), "node")
     meet = into_units(hits, chunk).join(known, "node")
