@@ -52,19 +52,23 @@ def _count(bits: int):
     return run
 
 
-def fit(labelled: DataFrame, bits: int = 14, docs_per_language: int = 2000, smoothing: float = 0.5) -> tuple[list[str], np.ndarray]:
+def fit(labelled: DataFrame, bits: int = 14, docs_per_language: int = 2000, smoothing: float = 0.5, most_languages: int = 2000) -> tuple[list[str], np.ndarray]:
     """Languages and their log-probabilities, a row of 2**bits for each.
 
-    labelled: text and lang, lang not null. Counts are taken from about docs_per_language whole documents of each
-    language, those with the smallest hashes, and summed by Spark; the driver gets at most 2**bits numbers a language.
+    labelled: doc_id, text and lang, lang not null. Counts are taken from about docs_per_language whole documents of each
+    language, those whose ids and texts have the smallest hashes (copies under other ids enter apart), and summed by Spark;
+    the driver gets at most 2**bits numbers a language. Over most_languages different values of lang are an error: the
+    table would not be a broadcast of bounded size.
     """
-    labelled = labelled.select("text", "lang").filter("lang is not null")
-    sizes = {r[0]: r[1] for r in labelled.groupBy("lang").count().collect()}
+    labelled = labelled.select("doc_id", "text", "lang").filter("lang is not null")
+    sizes = {r[0]: r[1] for r in labelled.groupBy("lang").count().limit(most_languages + 1).collect()}
+    if len(sizes) > most_languages:
+        raise ValueError(f"more than {most_languages} languages")
     if not sizes:
         return [], np.zeros((0, 1 << bits), np.float32)
     shares = F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, min(1.0, docs_per_language / n))])
-    sample = labelled.filter((F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / float(1 << 20)) < F.element_at(shares, F.col("lang")))
-    counts = sample.mapInArrow(_count(bits), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    sample = labelled.filter((F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / float(1 << 20)) < F.element_at(shares, F.col("lang")))
+    counts = sample.select("text", "lang").mapInArrow(_count(bits), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(sizes)
     table = np.full((len(langs), 1 << bits), smoothing)
     row = {lang: i for i, lang in enumerate(langs)}
@@ -111,7 +115,7 @@ def predict(docs: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame:
     """doc_id, held_out (as given, else null), lang_pred and score of every row, by its whole text.
 
     und with score 0 if the text is null or has no letter, or if nothing was learned. Ties go to the first language by
-    name. Repeated rows get the same answer; no rows: no rows; other columns are ignored.
+    name. A very long text counts with all its n-grams. Repeated rows get the same answer; no rows: no rows; other columns are ignored.
     """
     if "held_out" not in docs.columns:
         docs = docs.withColumn("held_out", F.lit(None).cast("boolean"))
