@@ -1,7 +1,7 @@
 """Exact dedup by an extendible-hash index on shared files.
 
-Each task first folds its own copies: a row whose normalised bytes it has already seen points to that row, after a
-comparison of the bytes. What is left (at most one row for each text and task) goes into the index: a directory of hash
+A first scan counts the hash prefixes of all texts, from which the directory is made. Then each task folds its own copies: a row whose normalised bytes it has already seen points to that row, after a
+comparison of the bytes. What is left (at most one row for each text and task) goes into the index: the directory of hash
 prefixes is doubled until no bucket is overfull, an owner task takes each bucket, a contiguous range of hash keys, and
 walks the chain of each key comparing bytes, so that a collision of hashes never merges different texts.
 """
@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
 from geostream.llm.common import stage
 
@@ -25,8 +25,8 @@ _SIGN = 1 << 63
 
 #: Rows that tasks write: a member (kind 0) for each row, an entry (kind 1) for each class of equal texts of a task.
 _LONGS = ("kind", "doc_id", "row", "rep", "key", "n", "best", "best_row")
-_NAMES = ("kind", "doc_id", "row", "rep", "key", "sha", "n", "best", "best_row", "text")
-ROWS = StructType([StructField(x, LongType() if x in _LONGS else StringType() if x == "sha" else BinaryType()) for x in _NAMES])
+_NAMES = ("kind", "bucket", "doc_id", "row", "rep", "key", "sha", "n", "best", "best_row", "text")
+ROWS = StructType([StructField(x, LongType() if x in _LONGS else IntegerType() if x == "bucket" else StringType() if x == "sha" else BinaryType()) for x in _NAMES])
 
 
 def _better(a: tuple, b: tuple) -> tuple:
@@ -38,9 +38,29 @@ def _batch(rows: list, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows) if rows else [[]] * len(schema), schema)], schema=schema)
 
 
-def _fold_task(keep_bytes: int, digest, schema: pa.Schema):
+def _folded(text: str | None) -> bytes:
+    return (text or "").encode().translate(_FOLD)
+
+
+def _count_task(depth: int, digest):
+    """Number of texts by the first depth bits of their keys."""
+
+    def run(batches):
+        counts = np.zeros(1 << depth, np.int64)
+        for batch in batches:
+            keys = np.array([digest(_folded(text)) for text in batch.column(0).to_pylist()], np.uint64)
+            np.add.at(counts, (keys >> np.uint64(64 - depth)).astype(np.int64), 1)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(counts[at], pa.int64())], ["prefix", "n"])
+
+    return run
+
+
+def _fold_task(keep_bytes: int, digest, schema: pa.Schema, shared):
     """Batches doc_id, text and the columns that the surviving row keeps, if any -> ROWS and those columns.
 
+    shared: the directory, a bucket for each hash prefix.
+
     With such columns only entries are written, and the folded text is left to be made again from the kept one.
     """
 
@@ -51,13 +71,16 @@ def _fold_task(keep_bytes: int, digest, schema: pa.Schema):
         seen: dict[int, list] = {}
         held = 0
 
+        buckets = shared.value
+        shift = 64 - (len(buckets) - 1).bit_length()
+
         def flush():
-            return _batch([(1, None, None, rep, key, None, n, best[0], best[1], None if best[2:] else text, *best[2:]) for key, chain in seen.items() for text, rep, n, best, _ in chain], schema)
+            return _batch([(1, int(buckets[(key + _SIGN) >> shift]), None, None, rep, key, None, n, best[0], best[1], None if best[2:] else text, *best[2:]) for key, chain in seen.items() for text, rep, n, best, _ in chain], schema)
 
         for batch in batches:
             members = []
             for doc, text, *rest in zip(*(c.to_pylist() for c in batch.columns)):
-                text = (text or "").encode().translate(_FOLD)
+                text = _folded(text)
                 key, row = digest(text) - _SIGN, base + count
                 count += 1
                 chain = seen.setdefault(key, [])
@@ -69,7 +92,7 @@ def _fold_task(keep_bytes: int, digest, schema: pa.Schema):
                 own[2] += 1
                 own[3] = _better(own[3], (doc, row, *rest))
                 if not rest:
-                    members.append((0, doc, row, own[1], None, own[4], None, None, None, None))
+                    members.append((0, None, doc, row, own[1], None, own[4], None, None, None, None))
             yield _batch(members, schema)
             if held > keep_bytes:
                 yield flush()
@@ -136,7 +159,7 @@ def _keep_task(schema: pa.Schema, text_at: int):
         for batch in batches:
             out = []
             for k, best, best_row, *rest in zip(*(c.to_pylist() for c in batch.columns)):
-                text = (rest[text_at] or "").encode().translate(_FOLD)
+                text = _folded(rest[text_at])
                 if k != key:
                     out += [own[1][2:] for own in chain]
                     key, chain = k, []
@@ -151,16 +174,15 @@ def _keep_task(schema: pa.Schema, text_at: int):
     return run
 
 
-def _index(entries: DataFrame, bucket_keys: int, max_depth: int) -> DataFrame:
-    """Entries dealt to the owners of their buckets and sorted by key. The directory has 2**max_depth prefixes at most."""
-    spark = entries.sparkSession
-    # The top bits of the unsigned key, which is held less 2**63.
-    prefix = F.shiftrightunsigned(F.col("key").bitwiseXOR(F.lit(-_SIGN)), 64 - max_depth).cast("int")
-    counts = {r[0]: r[1] for r in entries.groupBy(prefix.alias("p")).count().collect()}
-    buckets = directory(counts, max_depth, bucket_keys)
-    lookup = spark.createDataFrame([(p, int(buckets[p])) for p in counts], "p int, bucket int")
-    placed = entries.withColumn("p", prefix).join(F.broadcast(lookup), "p").drop("p")
-    return placed.repartition(int(buckets.max()) + 1, "bucket").sortWithinPartitions("bucket", "key").drop("bucket")
+def _directory(rows: DataFrame, bucket_keys: int, max_depth: int, digest) -> np.ndarray:
+    """The directory of rows (doc_id, text, ...), from one count for each of the 2**max_depth prefixes at most."""
+    counted = rows.select("text").mapInArrow(_count_task(max_depth, digest), "prefix int, n long").groupBy("prefix").agg(F.sum("n").alias("n")).toPandas()
+    return directory(dict(zip(counted["prefix"].tolist(), counted["n"].tolist())), max_depth, bucket_keys)
+
+
+def _owned(entries: DataFrame, buckets: np.ndarray) -> DataFrame:
+    """Entries dealt to the owners of their buckets and sorted by key; each owner has one bucket."""
+    return entries.repartitionById(int(buckets.max()) + 1, "bucket").sortWithinPartitions("key").drop("bucket")
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_keys: int = 2000, max_depth: int = 18, keep_bytes: int = 64 << 20, digest=xxhash.xxh3_64_intdigest) -> DataFrame:
@@ -171,21 +193,29 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     holds before it is split. digest: text bytes -> unsigned 64-bit key, any; equal keys of different texts only chain.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = stage(rows.mapInArrow(_fold_task(keep_bytes, digest, to_arrow_schema(ROWS)), ROWS), "exact-index")
-    entries = rows.filter("kind = 1").select("key", "rep", "n", "best", "best_row", "text")
-    chained = _index(entries, bucket_keys, max_depth).mapInArrow(_chain_task, "rep long, keep_id long, keep_row long, group_size long")
+    buckets = _directory(rows, bucket_keys, max_depth, digest)
+    shared = docs.sparkSession.sparkContext.broadcast(buckets)
+    rows = stage(rows.mapInArrow(_fold_task(keep_bytes, digest, to_arrow_schema(ROWS), shared), ROWS), "exact-index")
+    entries = rows.filter("kind = 1").select("bucket", "key", "rep", "n", "best", "best_row", "text")
+    chained = _owned(entries, buckets).mapInArrow(_chain_task, "rep long, keep_id long, keep_row long, group_size long")
     members = rows.filter("kind = 0").select("doc_id", "row", "rep", F.col("sha").alias("text_sha256"))
     return members.join(chained, "rep").select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256")
 
 
 def exact_survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_keys: int = 2000, max_depth: int = 18, keep_bytes: int = 64 << 20, digest=xxhash.xxh3_64_intdigest) -> DataFrame:
-    """The rows that exact_groups keeps, with all their columns, straight from the owners of the index."""
+    """The rows that exact_groups keeps, with all their columns, straight from the owners of the index; nothing is staged.
+
+    Nulls, empty and very long texts, repeated rows and ties are as in exact_groups; columns keep their names, whatever they
+    are. No rows: no rows.
+    """
     own = [(f"keep_{i}", f) for i, f in enumerate(docs.schema.fields)]
     schema = StructType([*ROWS.fields, *(StructField(name, f.dataType, True) for name, f in own)])
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *[F.col(f"`{f.name}`").alias(name) for name, f in own])
-    rows = stage(rows.mapInArrow(_fold_task(keep_bytes, digest, to_arrow_schema(schema)), schema), "exact-index")
+    buckets = _directory(rows, bucket_keys, max_depth, digest)
+    shared = docs.sparkSession.sparkContext.broadcast(buckets)
     names = [name for name, _ in own]
-    entries = rows.select("key", "best", "best_row", *names)
+    rows = rows.mapInArrow(_fold_task(keep_bytes, digest, to_arrow_schema(schema), shared), schema)
+    entries = rows.select("bucket", "key", "best", "best_row", *names)
     kept = StructType(schema.fields[len(ROWS) :])
-    out = _index(entries, bucket_keys, max_depth).mapInArrow(_keep_task(to_arrow_schema(kept), docs.columns.index(text_col)), kept)
+    out = _owned(entries, buckets).mapInArrow(_keep_task(to_arrow_schema(kept), docs.columns.index(text_col)), kept)
     return out.select(*[F.col(name).alias(f.name) for name, f in own])
