@@ -62,33 +62,33 @@ _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghij
 
 
 
-def _url_sql(depth: int = 3) -> str:
-    """The URL filter with its default rules and parameters."""
+def _url_sql() -> str:
+    """The URL filter with its default rules and parameters, the purity by recursion over the depth of the tree."""
     fits = lambda host, path: f"(host = '{host}' OR host LIKE '%.{host}') AND path LIKE '{path}%'"
     rule = " ".join(f"WHEN {fits(*text.split('/', 1)[:1], '/' + text.split('/', 1)[1])} THEN '{text}'" for text, _ in sorted(url_filter.RULES, key=lambda x: (-len(x[0]), x[0])))
     says = " ".join(f"WHEN '{text}' THEN '{verdict}'" for text, verdict in url_filter.RULES)
-    steps, last = [], "t0"
-    for k in range(1, depth + 1):
-        shape = f"list_extract(segments, {k + 1})"
-        steps.append(f"""a{k} AS (SELECT *, CASE WHEN regexp_full_match({shape}, '[0-9]+(\\.[A-Za-z0-9]+)?') OR regexp_full_match({shape}, '[0-9a-f-]{{16,}}') THEN '*' ELSE {shape} END AS part FROM {last}),
-b{k} AS (SELECT host, template, part, sum(n) AS pages, count(*) OVER (PARTITION BY host, template) AS siblings FROM a{k} WHERE part IS NOT NULL AND part <> '*' GROUP BY 1, 2, 3),
-t{k} AS (SELECT a.host, a.path, a.n, a.blocked, a.segments, a.template || CASE WHEN a.part IS NULL THEN '' WHEN b.pages >= 5 OR b.siblings <= 3 OR a.part = '' THEN '/' || a.part ELSE '/*' END AS template FROM a{k} a LEFT JOIN b{k} b ON a.host = b.host AND a.template = b.template AND a.part = b.part)""")
-        last = f"t{k}"
     return f"""
-WITH p AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+WITH RECURSIVE p AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 h AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
 r AS (SELECT *, CASE {rule} END AS rule FROM h),
 s AS (SELECT *, CASE rule {says} END AS ruled FROM r),
-t0 AS (SELECT host, path, string_split(path, '/') AS segments, count(*) AS n, count(*) FILTER (WHERE ruled = 'block') AS blocked, '' AS template FROM s GROUP BY 1, 2, 3),
-{", ".join(steps)},
-f AS (SELECT host, path, n, blocked, template || CASE WHEN len(segments) > {depth + 1} THEN '/**' ELSE '' END AS template FROM {last}),
-c AS (SELECT host, template, sum(n)::DOUBLE AS pages, sum(blocked)::DOUBLE AS blocked, regexp_replace(template, '/[^/]*$', '') AS parent FROM f GROUP BY 1, 2),
-g AS (SELECT *, blocked / pages AS share, lag(blocked / pages) OVER o AS p0, lag(pages) OVER o AS n0 FROM c WINDOW o AS (PARTITION BY host, parent ORDER BY blocked / pages, template)),
-q AS (SELECT *, (blocked + p0 * n0) / (pages + n0) AS pooled FROM g),
-z AS (SELECT *, sum(CASE WHEN abs(share - p0) > 1.96::DOUBLE * sqrt(pooled * (1 - pooled) * (1 / pages + 1 / n0)) + 1e-12 OR p0 IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY host, parent ORDER BY share, template) AS branch FROM q),
-v AS (SELECT host, template, (sum(blocked) OVER b + 2 * (SELECT (sum(blocked) + 0.5) / (sum(pages) + 1) FROM c)) / (sum(pages) OVER b + 2) >= 0.5 AS rejected FROM z WINDOW b AS (PARTITION BY host, parent, branch))
-SELECT page_id, s.host, s.path, rule, coalesce(ruled, CASE WHEN rejected THEN 'block' ELSE 'allow' END) AS verdict
-FROM s LEFT JOIN f ON s.host = f.host AND s.path = f.path LEFT JOIN v ON f.host = v.host AND f.template = v.template"""
+k AS (SELECT host, path, count(*) AS n, count(ruled) AS l, count(*) FILTER (WHERE ruled = 'block') AS b FROM s WHERE host <> '' GROUP BY 1, 2),
+e AS (SELECT host, path, n, unnest(range(2, len(parts) + 1)) AS d, parts FROM (SELECT *, string_split(regexp_replace(path, '/$', ''), '/') AS parts FROM k)),
+w AS (SELECT host, path, n, d, parts[d] AS part, regexp_full_match(parts[d], '[0-9]+(\\.[A-Za-z0-9]+)?') OR regexp_full_match(parts[d], '[0-9a-f-]{{16,}}') AS varies FROM e),
+c AS (SELECT host, d, part, sum(n) AS pages, count(*) OVER (PARTITION BY host, d) AS kinds FROM w WHERE NOT varies GROUP BY 1, 2, 3),
+t AS (SELECT w.host, w.path, string_agg(CASE WHEN c.pages >= 5 OR c.kinds <= 3 THEN w.part ELSE '*' END, '/' ORDER BY w.d) AS tail FROM w LEFT JOIN c ON w.host = c.host AND w.d = c.d AND w.part = c.part AND NOT varies GROUP BY 1, 2),
+f AS (SELECT k.*, coalesce('/' || tail, '') AS template FROM k LEFT JOIN t USING (host, path)),
+g AS (SELECT host, template, sum(l) AS l, sum(b) AS b FROM f GROUP BY 1, 2),
+x AS (SELECT host, template, l, b, unnest(range(1, len(string_split(template, '/')) + 1)) AS d, string_split(template, '/') AS parts FROM g),
+o AS (SELECT host, d, array_to_string(parts[1:d], '/') AS node, array_to_string(parts[1:d - 1], '/') AS parent, sum(l)::DOUBLE AS l, sum(b)::DOUBLE AS b FROM x GROUP BY 1, 2, 3, 4),
+q AS (SELECT o.*, u.l - o.l AS rl, u.b - o.b AS rb, u.b / u.l AS s FROM o LEFT JOIN o u ON u.host = o.host AND u.d = o.d - 1 AND u.node = o.parent),
+y AS (SELECT host, d, node, parent, l, b, coalesce(CASE WHEN l > 0 AND rl > 0 THEN abs(b / l - rb / rl) > 1.96::DOUBLE * sqrt(s * (1 - s) * (1 / l + 1 / rl)) + 1e-12 END, FALSE) AS differs FROM q),
+m AS (SELECT host, d, node, parent, sum(l) OVER v AS l, sum(b) OVER v AS b FROM y WINDOW v AS (PARTITION BY host, d, parent, CASE WHEN differs THEN node END)),
+z(host, d, node, purity) AS (
+  SELECT host, d, node, (b + 1.5::DOUBLE * (SELECT (sum(b) + 0.5) / (sum(l) + 1) FROM g)::DOUBLE) / (l + 2) FROM m WHERE d = 1
+  UNION ALL SELECT m.host, m.d, m.node, (m.b + 1.5::DOUBLE * z.purity) / (m.l + 2) FROM m JOIN z ON m.host = z.host AND m.d = z.d + 1 AND m.parent = z.node)
+SELECT page_id, s.host, s.path, rule, coalesce(ruled, CASE WHEN purity >= 0.75 THEN 'block' ELSE 'allow' END) AS verdict
+FROM s LEFT JOIN f ON s.host = f.host AND s.path = f.path LEFT JOIN z ON f.host = z.host AND z.d = len(string_split(f.template, '/')) AND f.template = z.node"""
 
 
 ORACLE_SQL = {
@@ -97,7 +97,7 @@ ORACLE_SQL = {
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
     coalesce(greatest(1 - 1.8 * (len(regexp_extract_all(text, '[0-9#$%&*|!=<>{}]')) / greatest(length(text), 1)), 0.1), 1.0)::DOUBLE AS w,
-    concat('0x', substr(md5(concat('17:', coalesce(doc_id::VARCHAR, ''))), 1, 13))::BIGINT AS bits
+    concat('0x', substr(md5(concat('17:', coalesce(doc_id::VARCHAR, ':' || md5(text), ''))), 1, 13))::BIGINT AS bits
   FROM documents),
 k AS (SELECT doc_id, source, size, -ln((bits + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE) / w AS key FROM d),
 s AS (
