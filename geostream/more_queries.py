@@ -52,11 +52,11 @@ def submitted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return network.submitted(sheets, ids).distinct().withColumnRenamed("client_uuid", "conv_id")
 
 
-@_query("SELECT l_orderkey AS client_uuid, string_agg(s_name, ',' ORDER BY s_name) AS observers FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_orderkey % 10 = 3 GROUP BY 1")
+@_query("SELECT l_orderkey AS client_uuid, string_agg(s_name, ',' ORDER BY s_name) AS observers FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1")
 def logsheet_observers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names on a many-to-many link: orders with status by their suppliers."""
     links = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("client_uuid"), F.col("l_suppkey").alias("staff_id"))
-    sheets = links.select("client_uuid").distinct().filter("client_uuid % 10 = 3")
+    sheets = links.select("client_uuid").distinct()
     staff = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("staff_id"), F.col("s_name").alias("full_name"))
     return network.logsheet_observers(sheets, links, staff).withColumn("observers", F.array_join("observers", ","))
 

@@ -10,10 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geostream.functions.text import windows_relative
+from geostream.operators.ordered import running_sum
 
-#: Categories and their extensions; observation and navigation files by year follow from a rule.
+#: Categories and their extensions.
 PROFILES: dict[str, str] = {
-    "GNSS Data": ".gns .gps .nav .obs .rinex .crx .crinex .rnx .sp3 .clk .ion .bia .erp .snx " + " ".join(f".{year}{kind}" for kind in "ong" for year in range(15, 23)),
+    "GNSS Data": ".gns .gps .nav .obs .rinex .crx .crinex .rnx .sp3 .clk .ion .bia .erp .snx .15o .16o .17o .18o .19o .20o .21o .22o .15n .16n .17n .18n .19n .20n .21n .22n .15g .16g .17g .18g .19g .20g .21g .22g",
     "GNSS Raw (Trimble)": ".t01 .t02 .t04 .tgd",
     "GIS Data": ".shp .shx .dbf .prj .sbn .sbx .gpx .kml .kmz .geojson .topojson .gml .gpkg .mbtiles .fgb .pmtiles",
     "Seismic Data": ".segy .sgy .mseed .sac",
@@ -162,9 +163,10 @@ def flag_duplicates(df: DataFrame, key: str = "file_hash", order: str = "path")
     return df.withColumn("duplicate", F.row_number().over(Window.partitionBy(key).orderBy(order)) > 1)
 
 
-def flag_inconsistent(df: DataFrame, capacity: int) -> DataFrame:
-    """One row: claimed bytes of all files, and whether they exceed the capacity."""
-    return df.agg(F.sum("size_bytes").alias("claimed_bytes")).withColumn("inconsistent", F.col("claimed_bytes") > capacity)
+def flag_inconsistent(df: DataFrame, capacity: int, order: str = "path") -> DataFrame:
+    """df with claimed_bytes, the running sum of sizes in order (a null counts as 0), and inconsistent from the row on at which they exceed the capacity."""
+    claimed = running_sum(df, (order,), F.coalesce("size_bytes", F.lit(0)), "claimed_bytes")
+    return claimed.withColumn("inconsistent", F.col("claimed_bytes") > capacity)
 
 
 def pair_deleted(catalog: DataFrame, metadata: DataFrame, dest_root: str = "", categories: Sequence[str] = GNSS) -> DataFrame:

@@ -102,19 +102,34 @@ def compact_ranges(df: DataFrame, by: Sequence[str], col: str, name: str = "rang
     days = df.select(*by, col).distinct()
     islands = days.withColumn("_run", F.col(col) - F.row_number().over(Window.partitionBy(*by).orderBy(col)))
     runs = islands.groupBy(*by, "_run").agg(F.min(col).alias("lo"), F.max(col).alias("hi"))
-    text = F.when(F.col("lo") == F.col("hi"), F.col("lo").cast("string")).otherwise(F.concat_ws("---", F.col("lo").cast("string"), F.col("hi").cast("string")))
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("lo", text.alias("text")))), lambda x: x["text"])
-    return runs.groupBy(*by).agg(F.array_join(ordered, ", ").alias(name))
+    return runs.groupBy(*by).agg(range_text(F.sort_array(F.collect_list(F.struct("lo", "hi")))).alias(name))
 
 
 def distinct_days(df: DataFrame, by: Sequence[str] = ("station", "year", "doy")) -> DataFrame:
     return df.select(*by).distinct()
 
 
+def gap_ranges(days: DataFrame, by: Sequence[str] = ("station", "year")) -> DataFrame:
+    """(by, gaps): the ranges (lo, hi) of days that each station-year present lacks, between the days (by, doy) that it has.
+
+    A station-year has 366 days at most, so that its days fit a row: one shuffle of the distinct days, without a row for
+    each day that is missing.
+    """
+    had = days.filter("doy is not null").groupBy(*by).agg(F.sort_array(F.collect_set("doy")).alias("_had")).withColumn("_end", year_length(F.col("year")) + 1)
+    ends = had.withColumn("_ends", F.concat(F.array(F.lit(0)), "_had", F.array("_end")))
+    steps = F.zip_with(F.slice("_ends", F.lit(1), F.size("_ends") - 1), F.slice("_ends", F.lit(2), F.size("_ends") - 1), lambda a, b: F.struct((a + 1).alias("lo"), (b - 1).alias("hi")))
+    return ends.select(*by, F.filter(steps, lambda x: (x["lo"] <= x["hi"])).alias("gaps"))
+
+
 def day_gaps(days: DataFrame, by: Sequence[str] = ("station", "year")) -> DataFrame:
     """(by, doy) of all days of each station-year present that days (by, doy) lacks."""
-    every = days.select(*by).distinct().withColumn("doy", F.explode(F.sequence(F.lit(1), year_length(F.col("year")))))
-    return every.join(days.select(*by, "doy").distinct(), [*by, "doy"], "left_anti")
+    gaps = gap_ranges(days, by).select(*by, F.explode("gaps").alias("_gap"))
+    return gaps.select(*by, F.explode(F.sequence("_gap.lo", "_gap.hi")).alias("doy"))
+
+
+def range_text(ranges: Column) -> Column:
+    """Ranges (lo, hi) in order as 'a---b, c'."""
+    return F.array_join(F.transform(ranges, lambda r: F.when(r["lo"] == r["hi"], r["lo"].cast("string")).otherwise(F.concat_ws("---", r["lo"].cast("string"), r["hi"].cast("string")))), ", ")
 
 
 def coverage(days: DataFrame, by: Sequence[str] = ("station", "year")) -> DataFrame:
@@ -125,7 +140,7 @@ def coverage(days: DataFrame, by: Sequence[str] = ("station", "year")) -> DataFr
 def coverage_report(days: DataFrame, by: Sequence[str] = ("station", "year")) -> DataFrame:
     """coverage with the ranges of days with data and of gaps."""
     out = coverage(days, by).join(compact_ranges(days, by, "doy", "with_data"), list(by))
-    return out.join(compact_ranges(day_gaps(days, by), by, "doy", "gaps"), list(by), "left").withColumn("gaps", F.coalesce("gaps", F.lit("")))
+    return out.join(gap_ranges(days, by).withColumn("gaps", range_text(F.col("gaps"))), list(by))
 
 
 def equipment_at(history: DataFrame, probes: DataFrame) -> DataFrame:

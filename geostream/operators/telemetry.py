@@ -31,9 +31,24 @@ def filter_complete(df: DataFrame, least: float = 0.5) -> DataFrame:
     return df.filter(F.col("overall_completeness") >= least)
 
 
-def over_threshold(value: Column, mm_s: float = 15.0) -> Column:
-    """Events need more than the threshold."""
-    return value > mm_s
+def with_config(df: DataFrame, stations: DataFrame, mm_s: float = 15.0, decay: float = 1.0) -> DataFrame:
+    """df with mm_s and decay of its station (see sources.telemetry.read_stations); the given ones where a station has none.
+
+    A filter that isn't enabled doesn't decay.
+    """
+    own = stations.select("station_code", F.col("threshold_mm_s").alias("mm_s"), F.when(F.col("filter.enabled"), F.col("filter.decay")).when(F.col("filter.enabled") == False, F.lit(1.0)).alias("decay"))  # noqa: E712
+    joined = df.join(own.dropDuplicates(["station_code"]), "station_code", "left")
+    return joined.withColumn("mm_s", F.coalesce("mm_s", F.lit(float(mm_s)))).withColumn("decay", F.coalesce("decay", F.lit(float(decay))))
+
+
+def _given(value: float | str | Column) -> Column:
+    """A number, or a column by its name."""
+    return F.col(value) if isinstance(value, str) else value if isinstance(value, Column) else F.lit(float(value))
+
+
+def over_threshold(value: Column, mm_s: float | str | Column = 15.0) -> Column:
+    """Events need more than the threshold, a number or a column."""
+    return value > _given(mm_s)
 
 
 def series_window(df: DataFrame, station: str, t0: str, t1: str, cols: Sequence[str] = (), factor: float = 1000.0) -> DataFrame:
@@ -59,10 +74,10 @@ def asof_last(left: DataFrame, right: DataFrame, cols: Sequence[str], by: str =
     return filled.filter("_left").drop("_left")
 
 
-def classify_signal(df: DataFrame, mm_s: float = 15.0) -> DataFrame:
+def classify_signal(df: DataFrame, mm_s: float | str | Column = 15.0) -> DataFrame:
     """df (dE, dN and the last velocity's vE, vN) with signal; null without a velocity."""
     same = (F.abs(F.col("vE") - F.col("dE")) < 1e-9) & (F.abs(F.col("vN") - F.col("dN")) < 1e-9)
-    return df.withColumn("signal", F.when(F.col("vE").isNull(), None).when(same, IDENTICAL).when(F.hypot("vE", "vN") * 1000 >= mm_s, HIGH).otherwise(LOW))
+    return df.withColumn("signal", F.when(F.col("vE").isNull(), None).when(same, IDENTICAL).when(F.hypot("vE", "vN") * 1000 >= _given(mm_s), HIGH).otherwise(LOW))
 
 
 def with_dt(df: DataFrame, max_gap: float = 5.0, order: Sequence[str] = ARRIVAL) -> DataFrame:
@@ -85,10 +100,11 @@ def receiver_mode(df: DataFrame, order: Sequence[str] = ARRIVAL, manual: bool =
     return rows.withColumn("mode", mode).withColumn("frozen", F.coalesce((F.col("mode") == "MANUAL") & (F.col("signal") == LOW), F.lit(False))).drop("_new", "_run", "_length")
 
 
-def integrate(df: DataFrame, decay: float = 1.0, order: Sequence[str] = ARRIVAL) -> DataFrame:
+def integrate(df: DataFrame, decay: float | str = 1.0, order: Sequence[str] = ARRIVAL) -> DataFrame:
     """Velocity rows (gate, frozen, dt, vE, vN, vU) with iE, iN, iU, the leaky integral after each row.
 
-    d <- d * decay + v * dt where the gate is open and nothing is frozen. Written as a sum over the open rows, weighted by
+    d <- d * decay + v * dt where the gate is open and nothing is frozen. decay, a number or a column that is the same in all
+    rows of a station, is above 0 and at most 1. Written as a sum over the open rows, weighted by
     decay to the number of open rows since; blocks of rows keep the powers in range, and what lies two blocks back weighs
     less than 1e-150.
     """
@@ -98,14 +114,15 @@ def integrate(df: DataFrame, decay: float = 1.0, order: Sequence[str] = ARRIVAL)
     steps = {a: F.when(F.col("_open") == 1, F.col(f"v{a}") * F.col("dt")).otherwise(0.0) for a in "ENU"}
     if decay == 1.0:
         return rows.withColumns({f"i{a}": F.sum(x).over(_order(order).rowsBetween(Window.unboundedPreceding, 0)) for a, x in steps.items()}).drop("_open", "_count")
-    block = max(1, int(150 * math.log(10) / -math.log(decay)))
+    kept = _given(decay)
+    block = F.when(kept < 1, F.greatest(F.floor(F.lit(150 * math.log(10)) / -F.log(kept)), F.lit(1))).otherwise(F.lit(1 << 62)).cast("long")
     rows = rows.withColumn("_block", F.floor(F.col("_count") / block)).withColumn("_place", F.col("_count") % block)
     inside = Window.partitionBy("station_code", "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    down = F.pow(F.lit(decay), F.col("_place"))
+    down = F.pow(kept, F.col("_place"))
     rows = rows.withColumns({f"_own{a}": down * F.sum(x / down).over(inside) for a, x in steps.items()})
     ends = rows.groupBy("station_code", (F.col("_block") + 1).alias("_block")).agg(*[F.max_by(f"_own{a}", F.struct("_place", *order)).alias(f"_end{a}") for a in "ENU"])
     rows = rows.join(ends, ["station_code", "_block"], "left")
-    carried = {f"i{a}": F.col(f"_own{a}") + F.coalesce(F.col(f"_end{a}"), F.lit(0.0)) * down * decay for a in "ENU"}
+    carried = {f"i{a}": F.col(f"_own{a}") + F.coalesce(F.col(f"_end{a}"), F.lit(0.0)) * down * kept for a in "ENU"}
     return rows.withColumns(carried).drop("_open", "_count", "_block", "_place", *[f"_{x}{a}" for x in ("own", "end") for a in "ENU"])
 
 
@@ -116,10 +133,10 @@ def label_displacement(df: DataFrame) -> DataFrame:
     return df.withColumn("displacement_source", label).withColumns({f"d{a}": F.when(manual, F.coalesce(f"i{a}", F.lit(0.0))).otherwise(F.col(f"d{a}")) for a in "ENU"})
 
 
-def process_telemetry(velocities: DataFrame, displacements: DataFrame, mm_s: float = 15.0, decay: float = 1.0, max_gap: float = 5.0, manual: bool = False, order: Sequence[str] = ARRIVAL) -> tuple[DataFrame, DataFrame]:
+def process_telemetry(velocities: DataFrame, displacements: DataFrame, mm_s: float | str = 15.0, decay: float | str = 1.0, max_gap: float = 5.0, manual: bool = False, order: Sequence[str] = ARRIVAL) -> tuple[DataFrame, DataFrame]:
     """(velocities, displacements) as the station state machine leaves them, from parsed rows with station_code.
 
-    Displacements learn the last velocity, their signal and the mode; velocities learn from the last displacement whether
+    mm_s and decay: numbers, or names of columns of both (see with_config). Displacements learn the last velocity, their signal and the mode; velocities learn from the last displacement whether
     integration is frozen; displacements then take the last integral.
     """
     marked = receiver_mode(classify_signal(asof_last(filter_complete(displacements), velocities, ("vE", "vN"), order=order), mm_s), order, manual)
@@ -128,16 +145,16 @@ def process_telemetry(velocities: DataFrame, displacements: DataFrame, mm_s: flo
     return moved.withColumn("v_horizontal", F.hypot("vE", "vN")), labelled.withColumn("d_horizontal", F.hypot("dE", "dN")).drop("vE", "vN", "iE", "iN", "iU")
 
 
-def detect_events(velocities: DataFrame, displacements: DataFrame | None = None, mm_s: float = 15.0, order: Sequence[str] = ARRIVAL) -> DataFrame:
+def detect_events(velocities: DataFrame, displacements: DataFrame | None = None, mm_s: float | str = 15.0, order: Sequence[str] = ARRIVAL) -> DataFrame:
     """station_code, detection_time, peak_velocity_horizontal, peak_displacement_horizontal (mm/s, mm), duration_seconds.
 
     A run opens at the first velocity (v_horizontal, m/s) over the threshold and closes at the first that is not;
     displacements (d_horizontal, m) that arrive in between count. A run that is open at the end is not reported.
     """
-    rows = velocities.select("station_code", "time", *order, (F.col("v_horizontal") * 1000).alias("v"), F.lit(None).cast("double").alias("d"))
+    rows = velocities.select("station_code", "time", *order, (F.col("v_horizontal") * 1000).alias("v"), F.lit(None).cast("double").alias("d"), _given(mm_s).alias("limit"))
     if displacements is not None:
-        rows = rows.union(displacements.select("station_code", "time", *order, F.lit(None).cast("double"), F.col("d_horizontal") * 1000))
-    rows = rows.withColumn("over", F.when(F.col("v").isNotNull(), over_threshold(F.col("v"), mm_s)))
+        rows = rows.union(displacements.select("station_code", "time", *order, F.lit(None).cast("double"), F.col("d_horizontal") * 1000, F.lit(None).cast("double")))
+    rows = rows.withColumn("over", F.when(F.col("v").isNotNull(), over_threshold(F.col("v"), "limit")))
     before = F.coalesce(F.last("over", ignorenulls=True).over(_order(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
     rows = rows.withColumn("active", before).withColumn("_start", F.coalesce(F.col("over") & ~F.col("active"), F.lit(False)).cast("int"))
     rows = rows.withColumn("run", F.sum("_start").over(_order(order))).filter(F.coalesce("over", F.lit(False)) | F.col("active"))

@@ -6,20 +6,36 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from geostream.operators import faults, network, series, telemetry
 from geostream.sources import archive, coordinates, reports
+from geostream.sources import sinks as files
 from geostream.sources import telemetry as sentences
+from geostream.sources.sinks import Sink
+from geostream.streaming import telemetry as live
 
 
-def ingest(spark: SparkSession, root: str, log: DataFrame, stations: DataFrame, qc: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(new catalog rows, failures): discovered files that aren't done, with header, station and quality figures."""
+def ingest(spark: SparkSession, root: str, log: DataFrame, stations: DataFrame, qc: DataFrame | None = None, catalog: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(new catalog rows, failures with error_message, log with an event for each): discovered files that aren't done.
+
+    A file fails without the format's mark in its first ten lines, without a station, or with an unknown one. qc: quality
+    figures by file_path (scan_qc_reports with_path of reports that bear the files' paths); catalog: rows that are there.
+    """
     found = network.pending_files(archive.discover_files(spark, root), log)
-    headers = reports.scan_rinex_headers(spark, root).withColumnRenamed("file_name", "filename")
-    joined = found.join(headers, "filename", "left")
-    joined = joined.join(qc.withColumnRenamed("file_name", "filename"), "filename", "left") if qc is not None else joined
-    good, failed = network.resolve_stations(joined, stations)
-    return good.dropDuplicates(["file_hash"]), failed
+    headers = reports.scan_rinex_headers(spark, root).withColumn("filepath", F.regexp_replace("file_path", "^file:/*", "/")).drop("file_path", "file_name")
+    joined = found.join(headers, "filepath", "left")
+    if qc is not None:
+        joined = joined.join(qc.withColumn("filepath", F.regexp_replace("file_path", "^file:/*", "/")).drop("file_path", "file_name"), "filepath", "left")
+    marked = F.coalesce("has_marker", F.lit(False))
+    good, failed = network.resolve_stations(joined.filter(marked), stations)
+    failed = failed.unionByName(joined.filter(~marked).withColumn("error_message", F.lit("no format marker")))
+    new = good.dropDuplicates(["file_hash"]) if catalog is None else network.new_catalog_rows(good, catalog)
+    qc_columns = [(F.col(c) if c in joined.columns else F.lit(None)).cast("int" if i < 2 else "double").alias(c) for i, c in enumerate(("obs_count", "cycle_slips", "mp1_rms", "mp2_rms"))]
+    queued = found.dropDuplicates(["file_hash"]).join(network.current_state(log).select("file_hash", F.col("seq").alias("_seq")), "file_hash", "left")
+    queued = queued.select("file_hash", "filename", "filepath", F.lit("pending").alias("status"), (F.coalesce("_seq", F.lit(0)) + 1).cast("long").alias("seq"))
+    results = good.select("file_hash", F.lit(True).alias("ok"), F.lit(None).cast("string").alias("error_message"), *qc_columns).unionByName(failed.select("file_hash", F.lit(False).alias("ok"), "error_message", *qc_columns)).dropDuplicates(["file_hash"])
+    return new, failed, network.advance_log(log.unionByName(queued, allowMissingColumns=True), results)
 
 
 def velocities_from_coordinates(spark: SparkSession, crd_path: str, ref: str, offsets: DataFrame, selection: DataFrame | None = None, **params) -> DataFrame:
@@ -29,14 +45,59 @@ def velocities_from_coordinates(spark: SparkSession, crd_path: str, ref: str, of
     return series.final_velocity(series.estimate_velocity(local.select("station", "t", *series.ENU), offsets, **params))
 
 
-def telemetry_backfill(spark: SparkSession, path: str, **params) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(velocities, displacements, events, rejects) of a folder of sentences; the station is the file name's first part."""
+ARRIVAL = ("file_name", "file_path", "line_no")
+
+
+def telemetry_backfill(spark: SparkSession, path: str, stations: DataFrame | None = None, **params) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(velocities, displacements, events, rejects) of a folder of sentences; the station is the file name's first part.
+
+    stations: threshold and decay of each (see sources.telemetry.read_stations); the given mm_s and decay hold for others.
+    """
     lines = sentences.route_sentences(sentences.read_nmea(spark, path))
     lvm, bad_v = sentences.parse_lvm(lines.filter("kind = 'LVM'"))
     ldm, bad_d = sentences.parse_ldm(lines.filter("kind = 'LDM'"))
     station = F.substring_index("file_name", "_", 1)
-    v, d = telemetry.process_telemetry(lvm.withColumn("station_code", station), ldm.withColumn("station_code", station), **params)
-    return v, d, telemetry.detect_events(v, d, params.get("mm_s", 15.0)), bad_v.unionByName(bad_d)
+    rows = [x.withColumn("station_code", station) for x in (lvm, ldm)]
+    if stations is not None:
+        config = {k: params.pop(k) for k in ("mm_s", "decay") if k in params}
+        rows = [telemetry.with_config(x, stations, **config) for x in rows]
+        params |= {"mm_s": "mm_s", "decay": "decay"}
+    v, d = telemetry.process_telemetry(*rows, order=ARRIVAL, **params)
+    return v, d, telemetry.detect_events(v, d, params.get("mm_s", 15.0), ARRIVAL), bad_v.unionByName(bad_d)
+
+
+def live_telemetry(spark: SparkSession, path: str, out: str, checkpoint: str, stations: DataFrame, every: str | None = "1 second", files_per_trigger: int = 100, delay: str = "10 minutes", sinks: Sequence[Sink] = (), **params) -> list[StreamingQuery]:
+    """Start the live job over a folder into which files of sentences fall, and return its two queries.
+
+    The first parses, holds each station's state, and gives every batch to all sinks: velocities, displacements and events
+    appended by key under out, and those given. The second counts rejected sentences by reason under out/rejects. every:
+    interval of batches; None runs over what is there and stops, with the same logic. Both are idempotent after a restart:
+    the checkpoint holds the state, and appends skip keys that are there.
+    """
+    parsed = live.parse_stream(sentences.stream_nmea(spark, path, files_per_trigger))
+    rejected = live.rejects_stream(live.parse_stream(sentences.stream_nmea(spark, path, files_per_trigger))[1])
+    rows = live.with_event_time(telemetry.with_config(parsed[0], stations), delay)
+    results = live.process_station_stream(rows, **params)
+
+    def velocities(df: DataFrame, batch: int) -> None:
+        own = df.filter("kind = 'velocity'").select("time", "station_code", F.col("east").alias("v_east"), F.col("north").alias("v_north"), F.col("up").alias("v_up"), F.col("horizontal").alias("v_horizontal"))
+        files.append_velocities(own, f"{out}/velocities")
+
+    def displacements(df: DataFrame, batch: int) -> None:
+        own = df.filter("kind = 'displacement'").select("time", "station_code", F.col("east").alias("d_east"), F.col("north").alias("d_north"), F.col("up").alias("d_up"), F.col("horizontal").alias("d_horizontal"), F.col("source").alias("displacement_source"))
+        files.append_displacements(own, f"{out}/displacements")
+
+    def events(df: DataFrame, batch: int) -> None:
+        own = df.filter("kind = 'event'").select("station_code", F.col("time").alias("detection_time"), F.col("peak_velocity").alias("peak_velocity_horizontal"), F.col("peak_displacement").alias("peak_displacement_horizontal"), F.col("duration").alias("duration_seconds"))
+        files.append_events(own, f"{out}/events")
+
+    def counts(df: DataFrame, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{out}/rejects")
+
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    first = results.writeStream.foreachBatch(files.fan_out([velocities, displacements, events, *sinks])).option("checkpointLocation", f"{checkpoint}/telemetry").trigger(**trigger).start()
+    second = rejected.writeStream.outputMode("complete").foreachBatch(counts).option("checkpointLocation", f"{checkpoint}/rejects").trigger(**trigger).start()
+    return [first, second]
 
 
 def bootstrap_uncertainty(profile: DataFrame, ref: DataFrame, axes: Mapping[str, Sequence[float]], rates: Sequence[float], n_draws: int = 100, size: int | None = None, seed: int = 1, length: float = 1000.0) -> tuple[DataFrame, DataFrame]:
@@ -50,6 +111,6 @@ def bootstrap_uncertainty(profile: DataFrame, ref: DataFrame, axes: Mapping[str,
     kernel = faults.with_green(faults.expand_grid(stations, grid).withColumn("_dip", F.col("dip") - 180), {"length": length, "width": "width", "depth": "depth", "dip": "_dip", "strike": 0.0, "east": "east", "north": 0.0, "x": "dist_km", "y": 0.0}).select("grid_id", "sites", "green_n", *axes)
     draws = faults.with_reference(faults.bootstrap(profile, n_draws, size or profile.count(), seed), ref)
     rated = faults.back_slip(draws.withColumn("rate", F.explode(F.array(*map(F.lit, map(float, rates))))), F.col("rate"))
-    scored = faults.score_grid(kernel.join(F.broadcast(rated.select("draw", "rate", "sites", "d", "err")), "sites"), ["draw", "grid_id", *axes, "rate"])
+    scored = faults.score_grid(kernel.join(rated.select("draw", "rate", "sites", "d", "err"), "sites"), ["draw", "grid_id", *axes, "rate"])
     best = faults.best_by_wrms(scored, ["draw"])
     return best, faults.confidence_bounds(best, [*axes, "rate", "slip"])

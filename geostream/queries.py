@@ -101,11 +101,10 @@ def review_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flagged.groupBy("station").agg(F.count("*").alias("n_rows"), F.count_if("is_outlier").alias("n_outliers"), F.round(F.max("residual"), 3).alias("worst"))
 
 
-@_query(f"WITH {_ORDERS} SELECT station, round(CASE WHEN count(*) >= 2 THEN coalesce(regr_slope(y, t), 0) ELSE 0 END * 100, 3) AS slope_cm FROM o GROUP BY 1")
+@_query(f"WITH {_ORDERS} SELECT station, round(CASE WHEN count(*) >= 2 THEN coalesce(regr_slope(y, t), 0) ELSE 0 END * 1000, 1) AS rate FROM o GROUP BY 1")
 def review_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Review slopes in cm a year, with the demeaning of the review."""
-    cm = series.demean(_order_series(spark, sf_dir), ("y",))
-    return cm.groupBy("station").agg(F.round(F.coalesce(F.when(F.count("*") >= 2, F.regr_slope("y", "t")), F.lit(0.0)) * 100, 3).alias("slope_cm"))
+    """Rates of the review in mm a year."""
+    return series.review_fit(_order_series(spark, sf_dir), ("y",)).withColumnRenamed("rate_e", "rate")
 
 
 @_query(f"WITH {_ORDERS} SELECT station, o_orderkey, round(coalesce(stddev_samp(y) OVER (PARTITION BY station ORDER BY t, o_orderkey ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), 0), 6) AS y_std FROM o")
@@ -241,7 +240,8 @@ def coverage_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"WITH {_DAYS}, y AS (SELECT DISTINCT station, year FROM d), a AS (SELECT station, year, unnest(range(1, CASE WHEN year % 4 = 0 THEN 367 ELSE 366 END))::INT AS doy FROM y), p AS (SELECT * FROM a ANTI JOIN d USING (station, year, doy)), {_RUNS.format(src='p', name='gaps')} SELECT * FROM c")
 def day_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return network.compact_ranges(network.day_gaps(_days(spark, sf_dir)), ("station", "year"), "doy", "gaps")
+    gaps = network.gap_ranges(_days(spark, sf_dir))
+    return gaps.filter("size(gaps) > 0").withColumn("gaps", network.range_text(F.col("gaps")))
 
 
 _HISTORY = "h AS (SELECT o_custkey AS station_code, o_orderkey AS serial_number, o_orderdate::DATE AS date_installed, lead(o_orderdate::DATE) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS date_removed FROM orders)"

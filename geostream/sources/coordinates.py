@@ -16,7 +16,7 @@ def _double(parts: Column, place: int) -> Column:
 
 
 def read_crd(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """(file_name, station, x, y, z) of rows with a whole number first and five tokens at least.
+    """(file_path, file_name, station, x, y, z) of rows with a whole number first and five tokens at least.
 
     A third token that is no decimal number (a DOMES number, also one such as 12345E001) moves the coordinates by one.
     """
@@ -24,14 +24,14 @@ def read_crd(spark: SparkSession, path: str, glob: str | None = None) -> DataFra
     rows = rows.filter((F.size("t") >= 5) & F.regexp_like(token(F.col("t"), 0), F.lit(r"^[+-]?[0-9]+$")))
     plain = F.regexp_like(token(F.col("t"), 2), F.lit(r"^[+-]?[0-9]*\.[0-9]*([eE][+-]?[0-9]+)?$"))
     xyz = [F.when(plain, _double(F.col("t"), 2 + i)).otherwise(_double(F.col("t"), 3 + i)).alias(n) for i, n in enumerate("xyz")]
-    return rows.select("file_name", station_of(token(F.col("t"), 1)).alias("station"), *xyz).filter("x is not null and y is not null and z is not null")
+    return rows.select("file_path", "file_name", station_of(token(F.col("t"), 1)).alias("station"), *xyz).filter("x is not null and y is not null and z is not null")
 
 
 def read_kin(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """(file_name, session, station, time, x, y, z, flag) of rows with eight tokens below the first five lines."""
+    """(file_path, file_name, session, station, time, x, y, z, flag) of rows with eight tokens below the first five lines."""
     rows = read_lines(spark, path, glob).filter("line_no > 5").withColumn("t", tokens(F.col("line"))).filter(F.size("t") == 8)
     t = F.col("t")
-    return rows.select("file_name", F.substring("file_name", 5, 5).alias("session"), station_of(token(t, 0)).alias("station"), gps_time(_double(t, 2), _double(t, 3)).alias("time"), _double(t, 4).alias("x"), _double(t, 5).alias("y"), _double(t, 6).alias("z"), token(t, 7).alias("flag"))
+    return rows.select("file_path", "file_name", F.substring("file_name", 5, 5).alias("session"), station_of(token(t, 0)).alias("station"), gps_time(_double(t, 2), _double(t, 3)).alias("time"), _double(t, 4).alias("x"), _double(t, 5).alias("y"), _double(t, 6).alias("z"), token(t, 7).alias("flag"))
 
 
 def read_series(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
@@ -52,8 +52,8 @@ def read_offsets(spark: SparkSession, path: str) -> DataFrame:
 
 def read_sites(spark: SparkSession, path: str) -> DataFrame:
     """(site) of a site list in file order."""
-    rows = read_lines(spark, path).filter("trim(line) != ''").select("file_name", "line_no", station_of(F.col("line")).alias("site"))
-    return rows.orderBy("file_name", "line_no").select("site")
+    rows = read_lines(spark, path).filter("trim(line) != ''").select("file_name", "file_path", "line_no", station_of(F.col("line")).alias("site"))
+    return rows.orderBy("file_name", "file_path", "line_no").select("site")
 
 
 def read_profile(spark: SparkSession, path: str, sep: str = ",", skip_first: bool = True) -> DataFrame:
@@ -62,8 +62,9 @@ def read_profile(spark: SparkSession, path: str, sep: str = ",", skip_first: boo
     if skip_first:
         names = [x.strip().split()[0] for x in schemas.PROFILE.split(",")]
         lines = read_lines(spark, path).filter("line_no > 2 and trim(line) != ''")
-        parts = F.split("line", sep)
-        rows = lines.select(*[(F.trim(F.get(parts, i)) if i == 0 else F.trim(F.get(parts, i)).try_cast("double")).alias(n) for i, n in enumerate(names)])
+        # from_csv knows quotes and takes the separator as it is.
+        fields = F.from_csv(F.col("line"), F.lit(", ".join(f"{n} string" for n in names)), {"sep": sep, "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}).alias("f")
+        rows = lines.select(fields).select(*[(F.col(f"f.{n}") if i == 0 else F.col(f"f.{n}").try_cast("double")).alias(n) for i, n in enumerate(names)])
     return rows
 
 
@@ -80,38 +81,42 @@ def read_velocity_field(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_polylines(spark: SparkSession, path: str) -> DataFrame:
-    """(file_name, segment_id, seq, lon, lat) of multi-segment text with > between segments."""
+    """(file_path, file_name, segment_id, seq, lon, lat) of multi-segment text with > between segments."""
     t = F.col("t")
-    in_file = Window.partitionBy("file_name").orderBy("line_no")
+    in_file = Window.partitionBy("file_path").orderBy("line_no")
     rows = read_lines(spark, path).filter("trim(line) != ''").withColumn("mark", F.startswith(F.ltrim("line"), F.lit(">")))
     rows = rows.withColumn("segment_id", F.sum(F.col("mark").cast("int")).over(in_file)).filter("not mark").withColumn("t", tokens(F.col("line")))
-    rows = rows.withColumn("seq", F.row_number().over(Window.partitionBy("file_name", "segment_id").orderBy("line_no")))
-    return rows.select("file_name", "segment_id", "seq", _double(t, 0).alias("lon"), _double(t, 1).alias("lat")).filter("lon is not null and lat is not null")
+    rows = rows.withColumn("seq", F.row_number().over(Window.partitionBy("file_path", "segment_id").orderBy("line_no")))
+    return rows.select("file_path", "file_name", "segment_id", "seq", _double(t, 0).alias("lon"), _double(t, 1).alias("lat")).filter("lon is not null and lat is not null")
 
 
 def read_columns(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
-    """(row, *names) of a table of numbers, row being the place of the line among the numeric ones of its file."""
+    """(file, row, *names) of tables of numbers, row being the place of the line among the numeric ones of its file.
+
+    file: the path below the folder that is read, by which the files of several folders belong together; empty for one file.
+    """
     t = F.col("t")
     rows = read_lines(spark, path).withColumn("t", tokens(F.col("line"))).filter((F.size("t") >= len(names)) & _double(t, 0).isNotNull())
-    place = F.row_number().over(Window.partitionBy("file_name").orderBy("line_no"))
-    return rows.select(place.alias("row"), *[_double(t, i).alias(n) for i, n in enumerate(names)])
+    place = F.row_number().over(Window.partitionBy("file_path").orderBy("line_no"))
+    root = F.regexp_replace(F.lit(path), "^[a-z]+:/*", "/")
+    file = F.substring_index(F.col("file_path"), F.rtrim(root, F.lit("/")), -1)
+    return rows.select(file.alias("file"), place.alias("row"), *[_double(t, i).alias(n) for i, n in enumerate(names)])
 
 
 def read_patches(spark: SparkSession, geometry: str, xs: str, ys: str, zs: str, slips: str) -> DataFrame:
-    """One row for each fault patch: geometry, four corners and slip, aligned by line."""
+    """One row for each fault patch: geometry, four corners and slip, aligned by line, and by file where folders are given."""
     parts = [read_columns(spark, geometry, ["length", "width", "lower", "dip", "strike"])]
     parts += [read_columns(spark, p, [f"{axis}{i}" for i in range(1, 5)]) for axis, p in zip("xyz", (xs, ys, zs))]
     parts.append(read_columns(spark, slips, ["slip_strike", "slip_dip", "slip"]))
     out = parts[0]
     for part in parts[1:]:
-        out = out.join(part, "row")
+        out = out.join(part, ["file", "row"])
     return out
 
 
 def read_baselines(spark: SparkSession, ends: str, observed: str, calculated: str, residual: str) -> DataFrame:
-    """One row for each baseline: end points and observed, calculated and residual change, aligned by line."""
+    """One row for each baseline: end points and observed, calculated and residual change, aligned by line, and by file where folders are given."""
     out = read_columns(spark, ends, ["lon1", "lat1", "lon2", "lat2"])
     for name, path in (("obs", observed), ("cal", calculated), ("res", residual)):
-        out = out.join(read_columns(spark, path, [name]), "row")
+        out = out.join(read_columns(spark, path, [name]), ["file", "row"])
     return out
-

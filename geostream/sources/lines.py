@@ -1,4 +1,7 @@
-"""Text corpora as rows of (file_name, line_no, line), in file order."""
+"""Text corpora as rows of (file_path, file_name, line_no, line), in file order.
+
+Archives repeat base names from folder to folder: the path tells files apart, the name is what a file says of itself.
+"""
 
 from __future__ import annotations
 
@@ -6,19 +9,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read_lines(spark: SparkSession, path: str, glob: str | None = None, until: str | None = None) -> DataFrame:
-    """Lines of all files, numbered from 1. until: a marker behind which nothing of a file is read into rows.
+def _reader(spark: SparkSession, glob: str | None):
+    reader = spark.read.option("recursiveFileLookup", True)
+    return reader.option("pathGlobFilter", glob) if glob else reader
+
+
+def read_lines(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """Lines of all files, numbered from 1.
 
     Files are the unit of reading, so that lines keep their numbers; these corpora hold many small files.
     """
-    reader = spark.read.option("recursiveFileLookup", True)
-    files = (reader.option("pathGlobFilter", glob) if glob else reader).text(path, wholetext=True)
-    text = F.substring_index("value", until, 1) if until else F.col("value")
-    return files.select(F.col("_metadata.file_name").alias("file_name"), F.posexplode(F.split(text, "\r?\n")).alias("pos", "line")).select("file_name", (F.col("pos") + 1).alias("line_no"), "line")
+    files = _reader(spark, glob).text(path, wholetext=True)
+    rows = files.select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_name").alias("file_name"), F.posexplode(F.split("value", "\r?\n")).alias("pos", "line"))
+    return rows.select("file_path", "file_name", (F.col("pos") + 1).alias("line_no"), "line")
+
+
+def stream_lines(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """(file_path, file_name, place, line) of files of any size, line by line; place orders the lines of a file.
+
+    place is (start of the split, running number), numbers within a split having no gaps.
+    """
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n")).alias("place")
+    return _reader(spark, glob).text(path).select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_name").alias("file_name"), place, F.col("value").alias("line"))
 
 
 def whole_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """(file_name, text) of each file."""
-    reader = spark.read.option("recursiveFileLookup", True)
-    files = (reader.option("pathGlobFilter", glob) if glob else reader).text(path, wholetext=True)
-    return files.select(F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("text"))
+    """(file_path, file_name, text) of each file."""
+    files = _reader(spark, glob).text(path, wholetext=True)
+    return files.select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("text"))

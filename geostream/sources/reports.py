@@ -7,40 +7,59 @@ from pyspark.sql import functions as F
 
 from geostream.functions.text import first_token
 from geostream.functions.times import header_time
-from geostream.sources.lines import read_lines, whole_files
+from geostream.sources.lines import read_lines, stream_lines, whole_files
 
+#: Labels and marks of the formats, and how reports word their figures.
 END = "END OF HEADER"
+MARKER = "RINEX VERSION / TYPE"
+OBSERVATIONS = r"(?i)#[ \t]*obs[ \t]*:[ \t]*([0-9]+)"
+ALL_OBSERVATIONS = r"(?i)total[ \t]+obs[ \t]*:[ \t]*([0-9]+)"
+SLIPS = r"(?i)slips[^:\n]*:[ \t]*([0-9]+)"
+MULTIPATH = r"(?i)MP{0}\s*:\s*([0-9.]+)"
+UNIT_WEIGHT = r"RMS OF UNIT WEIGHT\s*:\s*([0-9.]+)"
+BAD_SHARE = r"BAD OBSERVATIONS\s*:\s*([0-9.]+)"
+USED = r"USED OBSERVATIONS\s*:\s*([0-9]+)"
+ACCEPTED = r"(?i)stations\s+accepted\s*:\s*([0-9]+)"
+FIXING = r"(?i)fixing\s+rate\s*:\s*([0-9.]+)"
+FINISHED, HELMERT, COMPARISON = r"(?i)BPE\s+finished", r"(?i)HELMCHK\s*:\s*failed", r"(?i)COMPARF\s*:\s*failed"
 
 
 def _found(pattern: str, kind: str = "string", text: str = "text") -> Column:
     return F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")).try_cast(kind)
 
 
+def _names(with_path: bool) -> list[str]:
+    return ["file_path", "file_name"] if with_path else ["file_name"]
+
+
 def scan_rinex_headers(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """(file_name, station_code, sampling_interval, receiver_type, antenna_type, start_time, end_time) of each file.
+    """(file_path, file_name, station_code, sampling_interval, receiver_type, antenna_type, start_time, end_time, has_marker) of each file.
 
-    A header line has its value in columns 1-60 and its label in 61-80; types stand in 21-40.
+    A header line has its value in columns 1-60 and its label in 61-80; types stand in 21-40; station codes are put in upper
+    case, as everywhere here. Of each label the first line
+    counts, if it stands before the end of the header. has_marker: the format's mark is in the first ten lines. Files are
+    read line by line, so that they may have any size, and aggregated by path before any shuffle.
     """
-    lines = read_lines(spark, path, glob, until=END).filter(F.length("line") >= 60)
-    label = F.trim(F.substring("line", 61, 20))
-    value, kind = F.substring("line", 1, 60), F.trim(F.substring("line", 21, 20))
-
-    def of(name: str, col: Column) -> Column:
-        return F.first(F.when(label == name, col), ignorenulls=True)
-
-    return lines.groupBy("file_name").agg(
-        of("MARKER NAME", F.upper(first_token(value))).alias("station_code"),
-        of("INTERVAL", F.trim(F.substring("line", 1, 10)).try_cast("double")).alias("sampling_interval"),
-        of("REC # / TYPE / VERS", kind).alias("receiver_type"),
-        of("ANT # / TYPE", kind).alias("antenna_type"),
-        of("TIME OF FIRST OBS", header_time(F.substring("line", 1, 43))).alias("start_time"),
-        of("TIME OF LAST OBS", header_time(F.substring("line", 1, 43))).alias("end_time"),
-    )
+    lines = stream_lines(spark, path, glob)
+    label, value = F.trim(F.substring("line", 61, 20)), F.substring("line", 1, 60)
+    kind, time = F.trim(F.substring("line", 21, 20)), F.substring("line", 1, 43)
+
+    def first(name: str, col: Column) -> Column:
+        here = F.when(label == name, F.struct("place", col.alias("value")))
+        return F.min_by(here, F.when(label == name, F.col("place")))
+
+    wanted = {"station_code": ("MARKER NAME", F.upper(first_token(value))), "sampling_interval": ("INTERVAL", F.trim(F.substring("line", 1, 10))), "receiver_type": ("REC # / TYPE / VERS", kind), "antenna_type": ("ANT # / TYPE", kind), "start_time": ("TIME OF FIRST OBS", time), "end_time": ("TIME OF LAST OBS", time)}
+    marked = F.min(F.when(F.contains("line", F.lit(MARKER)), F.col("place")))
+    found = lines.groupBy("file_path", "file_name").agg(F.min("place").alias("begin"), marked.alias("mark"), F.min(F.when(F.startswith(label, F.lit(END)), F.col("place"))).alias("end"), *[first(*x).alias(name) for name, x in wanted.items()])
+    before = {name: F.when(F.col("end").isNull() | (F.col(f"{name}.place") < F.col("end")), F.col(f"{name}.value")) for name in wanted}
+    casts = {"sampling_interval": lambda c: c.try_cast("double"), "start_time": header_time, "end_time": header_time}
+    early = (F.col("mark.block") == F.col("begin.block")) & (F.col("mark.n") - F.col("begin.n") < 10)
+    return found.select("file_path", "file_name", *[casts.get(name, lambda c: c)(c).alias(name) for name, c in before.items()], F.coalesce(early, F.lit(False)).alias("has_marker"))
 
 
 def scan_station_info(spark: SparkSession, path: str) -> DataFrame:
     """(station_code, receiver_type, antenna_type) of the TYPE 002 section; rows of under 141 characters are skipped."""
-    in_file = Window.partitionBy("file_name").orderBy("line_no")
+    in_file = Window.partitionBy("file_path").orderBy("line_no")
     section = F.last(F.when(F.regexp_like("line", F.lit(r"^TYPE [0-9]{3}:")), F.substring("line", 6, 3)), ignorenulls=True).over(in_file)
     rows = read_lines(spark, path).withColumn("section", section).filter("section = '002' and length(line) >= 141 and line not like 'TYPE %' and line not like '*%' and line not like 'STATION NAME%'")
     cut = [("station_code", 1, 4), ("receiver_type", 70, 20), ("antenna_type", 122, 20)]
@@ -53,18 +72,18 @@ def scan_antenna_types(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.trim(F.substring("line", 1, 20)).alias("antenna_type")).filter("antenna_type != ''").distinct()
 
 
-def scan_qc_reports(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """(file_name, obs_count, cycle_slips, mp1_rms, mp2_rms) of quality reports; what a report lacks is null.
+def scan_qc_reports(spark: SparkSession, path: str, glob: str | None = None, with_path: bool = False) -> DataFrame:
+    """(file_name, obs_count, cycle_slips, mp1_rms, mp2_rms) of quality reports, with_path behind file_path; what a report lacks is null.
 
     Observations stand behind '# obs :' or 'total obs :'; of several columns the first counts.
     """
-    count = F.coalesce(_found(r"(?i)#[ \t]*obs[ \t]*:[ \t]*([0-9]+)", "int"), _found(r"(?i)total[ \t]+obs[ \t]*:[ \t]*([0-9]+)", "int"))
-    slips = _found(r"(?i)slips[^:\n]*:[ \t]*([0-9]+)", "int")
-    paths = [_found(rf"(?i)MP{i}\s*:\s*([0-9.]+)", "double").alias(f"mp{i}_rms") for i in (1, 2)]
-    return whole_files(spark, path, glob).select("file_name", count.alias("obs_count"), slips.alias("cycle_slips"), *paths)
+    count = F.coalesce(_found(OBSERVATIONS, "int"), _found(ALL_OBSERVATIONS, "int"))
+    slips = _found(SLIPS, "int")
+    paths = [_found(MULTIPATH.format(i), "double").alias(f"mp{i}_rms") for i in (1, 2)]
+    return whole_files(spark, path, glob).select(*_names(with_path), count.alias("obs_count"), slips.alias("cycle_slips"), *paths)
 
 
-def scan_spp_reports(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+def scan_spp_reports(spark: SparkSession, path: str, glob: str | None = None, with_path: bool = False) -> DataFrame:
     """(file_name, station, rms_m, bad_pct, used_obs, dx, dy, dz); a truncated report has nulls.
 
     The shift is the third of the four numbers behind an axis; the station's code begins the X row.
@@ -72,38 +91,38 @@ def scan_spp_reports(spark: SparkSession, path: str, glob: str | None = None) ->
     number = r"\s+-?[0-9]+\.[0-9]+"
     shifts = [_found(rf"(?m)\b{axis}{number}{number}\s+(-?[0-9]+\.[0-9]+){number}", "double").alias(f"d{axis.lower()}") for axis in "XYZ"]
     return whole_files(spark, path, glob).select(
-        "file_name",
+        *_names(with_path),
         _found(rf"(?m)^\s*([A-Z0-9]{{4}})\b[^\n]*?\bX{number}{number}{number}").alias("station"),
-        _found(r"RMS OF UNIT WEIGHT\s*:\s*([0-9.]+)", "double").alias("rms_m"),
-        _found(r"BAD OBSERVATIONS\s*:\s*([0-9.]+)", "double").alias("bad_pct"),
-        _found(r"USED OBSERVATIONS\s*:\s*([0-9]+)", "int").alias("used_obs"),
+        _found(UNIT_WEIGHT, "double").alias("rms_m"),
+        _found(BAD_SHARE, "double").alias("bad_pct"),
+        _found(USED, "int").alias("used_obs"),
         *shifts,
     )
 
 
-def scan_spp_summary(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+def scan_spp_summary(spark: SparkSession, path: str, glob: str | None = None, with_path: bool = False) -> DataFrame:
     """(file_name, max_rms, max_rms_station, max_bad, max_bad_station) of combined summaries."""
     columns = []
     for name, unit in (("RMS", "M"), ("BAD", "%")):
         head = rf"MAX\. {name}:\s*"
         columns += [_found(head + r"([0-9.]+)", "double").alias(f"max_{name.lower()}"), _found(head + rf"[0-9.]+\s*{unit}\s+FOR STATION:\s*([A-Z0-9]{{4}})").alias(f"max_{name.lower()}_station")]
-    return whole_files(spark, path, glob).select("file_name", *columns)
+    return whole_files(spark, path, glob).select(*_names(with_path), *columns)
 
 
-def scan_run_logs(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+def scan_run_logs(spark: SparkSession, path: str, glob: str | None = None, with_path: bool = False) -> DataFrame:
     """(file_name, finished, stations_accepted, fixing_rate in 0..1, helmert_failed, comparison_failed) of processing runs."""
-    rate = _found(r"(?i)fixing\s+rate\s*:\s*([0-9.]+)", "double")
-    percent = F.regexp_like("text", F.lit(r"(?i)fixing\s+rate\s*:\s*[0-9.]+\s*%"))
+    rate = _found(FIXING, "double")
+    percent = F.regexp_like("text", F.lit(FIXING + r"\s*%"))
     return whole_files(spark, path, glob).select(
-        "file_name",
-        F.regexp_like("text", F.lit(r"(?i)BPE\s+finished")).alias("finished"),
-        _found(r"(?i)stations\s+accepted\s*:\s*([0-9]+)", "int").alias("stations_accepted"),
+        *_names(with_path),
+        F.regexp_like("text", F.lit(FINISHED)).alias("finished"),
+        _found(ACCEPTED, "int").alias("stations_accepted"),
         F.when(percent | (rate > 1), rate / 100).otherwise(rate).alias("fixing_rate"),
-        F.regexp_like("text", F.lit(r"(?i)HELMCHK\s*:\s*failed")).alias("helmert_failed"),
-        F.regexp_like("text", F.lit(r"(?i)COMPARF\s*:\s*failed")).alias("comparison_failed"),
+        F.regexp_like("text", F.lit(HELMERT)).alias("helmert_failed"),
+        F.regexp_like("text", F.lit(COMPARISON)).alias("comparison_failed"),
     )
 
 
-def has_format_marker(text: Column, marker: str = "RINEX VERSION / TYPE") -> Column:
+def has_format_marker(text: Column, marker: str = MARKER) -> Column:
     """True if the marker stands in the first ten lines."""
     return F.exists(F.slice(F.split(text, "\n"), 1, 10), lambda line: F.contains(line, F.lit(marker)))

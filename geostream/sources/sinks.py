@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +27,7 @@ def _append(df: DataFrame, path: str, keys: Sequence[str], time: str) -> None:
         there = None
     if there is not None:
         days = rows.select("obs_date").distinct()
-        rows = rows.join(there.join(F.broadcast(days), "obs_date", "left_semi").select(*keys), list(keys), "left_anti")
+        rows = rows.join(there.join(days, "obs_date", "left_semi").select(*keys), list(keys), "left_anti")
     rows.sortWithinPartitions("obs_date", *keys).write.mode("append").partitionBy("obs_date").parquet(path)
 
 
@@ -120,10 +121,24 @@ def append_best(best: DataFrame, path: str) -> None:
 
 
 def apply_retention(spark: SparkSession, path: str, as_of: str, days: int = 60) -> DataFrame:
-    """The rows of the last days; older day partitions are pruned from the plan, for the caller to write or drop."""
+    """The rows of the last days; older day partitions are pruned from the plan. drop_expired deletes them."""
     return spark.read.parquet(path).filter(F.col("obs_date") >= F.date_sub(F.lit(as_of).cast("date"), days))
 
 
+def drop_expired(spark: SparkSession, path: str, as_of: str, days: int = 60) -> list[str]:
+    """Delete the partitions obs_date of a table that are older than the last days, and return their dates; rows aren't read."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    first = (date.fromisoformat(as_of) - timedelta(days=days)).isoformat()
+    gone = []
+    for entry in system.listStatus(root):
+        name, _, day = entry.getPath().getName().partition("=")
+        if name == "obs_date" and day < first:
+            system.delete(entry.getPath(), True)
+            gone.append(day)
+    return sorted(gone)
+
+
 def write_segments(df: DataFrame, path: str, value: str, points: Sequence[tuple[str, str]]) -> None:
     """Map-ready segments: a header with the value and a line for each point (pairs of column names)."""
     lines = [F.format_string("> -Z%.4f", F.col(value))] + [F.format_string("%9.5f %9.5f", F.col(x), F.col(y)) for x, y in points]

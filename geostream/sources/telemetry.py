@@ -15,9 +15,9 @@ _DISPLACEMENT = ("dE", "dN", "dU", "varE", "varN", "varU", "covEN", "covEU", "co
 
 
 def read_nmea(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """(file_name, line_no, sentence): trimmed, without blank lines; arrival order is (file_name, line_no)."""
+    """(file_path, file_name, line_no, sentence): trimmed, without blank lines; arrival order is (file_name, file_path, line_no)."""
     lines = read_lines(spark, path, glob)
-    return lines.select("file_name", "line_no", F.trim("line").alias("sentence")).filter("sentence != ''")
+    return lines.select("file_path", "file_name", "line_no", F.trim("line").alias("sentence")).filter("sentence != ''")
 
 
 def stream_nmea(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -25,8 +25,8 @@ def stream_nmea(spark: SparkSession, path: str, files_per_trigger: int | None =
     reader = spark.readStream
     reader = reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader
     files = reader.text(path, wholetext=True)
-    lines = files.select(F.col("_metadata.file_name").alias("file_name"), F.posexplode(F.split("value", "\r?\n")).alias("pos", "line"))
-    return lines.select("file_name", (F.col("pos") + 1).alias("line_no"), F.trim("line").alias("sentence")).filter("sentence != ''")
+    lines = files.select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_name").alias("file_name"), F.posexplode(F.split("value", "\r?\n")).alias("pos", "line"))
+    return lines.select("file_path", "file_name", (F.col("pos") + 1).alias("line_no"), F.trim("line").alias("sentence")).filter("sentence != ''")
 
 
 def route_sentences(lines: DataFrame) -> DataFrame:
@@ -95,7 +95,7 @@ def read_kin_series(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_tod_series(spark: SparkSession, path: str) -> DataFrame:
-    """Tab-separated HH:MM:SS, east, north, up (mm) with line_no; see operators.telemetry.resolve_dates for the day."""
+    """Tab-separated HH:MM:SS, east, north, up (mm) with line_no; see operators.telemetry.resolve_dates, by file_path, for the day."""
     lines = read_lines(spark, path).filter("trim(line) != ''")
     part = F.split(F.trim("line"), r"\s+")
-    return lines.select("file_name", "line_no", F.get(part, 0).alias("clock"), *[F.get(part, i + 1).try_cast("double").alias(n) for i, n in enumerate(("east", "north", "up"))])
+    return lines.select("file_path", "file_name", "line_no", F.get(part, 0).alias("clock"), *[F.get(part, i + 1).try_cast("double").alias(n) for i, n in enumerate(("east", "north", "up"))])

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from geostream.operators.telemetry import HIGH, IDENTICAL, LOW, TO_MANUAL, TO_MANUAL_SUSPECT, TO_RECEIVER, rollup
+from geostream.sources.telemetry import parse_ldm, parse_lvm, route_sentences
 
 OUTPUT = "station_code string, kind string, time timestamp, east double, north double, up double, horizontal double, source string, peak_velocity double, peak_displacement double, duration double"
 _STATE = "mode string, bad int, good int, suspect int, frozen boolean, e double, n double, u double, last double, ve double, vn double, open boolean, start double, peak_v double, peak_d double"
@@ -30,6 +31,21 @@ def stream_rollup(df: DataFrame, width: str, delay: str = "10 minutes") -> DataF
     return rollup(with_event_time(df, delay), width)
 
 
+def parse_stream(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows of both kinds for process_station_stream, rejects with reason) of a stream of sentences.
+
+    Both kinds are parsed in one pass over the stream, so that a station's rows keep their order of arrival.
+    """
+    routed = route_sentences(lines)
+    lvm, bad_v = parse_lvm(routed.filter("kind = 'LVM'"))
+    ldm, bad_d = parse_ldm(routed.filter("kind = 'LDM'"))
+    station = F.substring_index("file_name", "_", 1).alias("station_code")
+    keys = ["file_path", "file_name", "line_no", "kind", "time"]
+    velocities = lvm.select(station, *keys, F.col("vE").alias("east"), F.col("vN").alias("north"), F.col("vU").alias("up"), F.lit(1.0).alias("overall_completeness"))
+    displacements = ldm.select(station, *keys, F.col("dE").alias("east"), F.col("dN").alias("north"), F.col("dU").alias("up"), "overall_completeness")
+    return velocities.unionByName(displacements), bad_v.unionByName(bad_d)
+
+
 def rejects_stream(parsed_rejects: DataFrame) -> DataFrame:
     """Counts of rejected sentences by reason, for a query of its own."""
     return parsed_rejects.groupBy("reason").count()
@@ -62,7 +78,11 @@ def alert_stream(means: DataFrame) -> DataFrame:
 
 
 class StationProcessor(StatefulProcessor):
-    """The integrator, receiver mode and open event of one station, fed in arrival order (file_name, line_no)."""
+    """The integrator, receiver mode and open event of one station, fed in arrival order (file_name, file_path, line_no).
+
+    Rows may carry mm_s and decay of their station, which go before the given ones. A batch holds what its trigger admits
+    (files_per_trigger); history of any length belongs to the batch form in plans.jobs.telemetry_backfill.
+    """
 
     def __init__(self, mm_s: float = 15.0, decay: float = 1.0, max_gap: float = 5.0, least: float = 0.5):
         self.mm_s, self.decay, self.max_gap, self.least = mm_s, decay, max_gap, least
@@ -73,7 +93,10 @@ class StationProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         names = [x.split()[0] for x in _STATE.split(", ")]
         s = dict(zip(names, self.state.get())) if self.state.exists() else dict(zip(names, ("RECEIVER", 0, 0, 0, False, 0.0, 0.0, 0.0, None, None, None, False, None, 0.0, 0.0)))
-        frame = pd.concat(list(rows)).sort_values(["file_name", "line_no"])
+        frame = pd.concat(list(rows))
+        frame = frame.sort_values([c for c in ("file_name", "file_path", "line_no") if c in frame.columns])
+        own = {c: frame[c].iloc[0] for c in ("mm_s", "decay") if c in frame.columns}
+        self.now_mm_s, self.now_decay = float(own.get("mm_s", self.mm_s)), float(own.get("decay", self.decay))
         out: list[tuple] = []
         for r in frame.itertuples():
             t = pd.Timestamp(r.time).timestamp()
@@ -85,7 +108,7 @@ class StationProcessor(StatefulProcessor):
         s["ve"], s["vn"] = r.east, r.north
         v = hypot(r.east, r.north)
         out.append((station, "velocity", r.time, r.east, r.north, r.up, v, None, None, None, None))
-        if v * 1000 > self.mm_s:
+        if v * 1000 > self.now_mm_s:
             if not s["open"]:
                 s["open"], s["start"], s["peak_v"], s["peak_d"] = True, t, 0.0, 0.0
             s["peak_v"] = max(s["peak_v"], v * 1000)
@@ -95,7 +118,7 @@ class StationProcessor(StatefulProcessor):
         dt = None if s["last"] is None else t - s["last"]
         if dt is not None and 0 < dt < self.max_gap and not s["frozen"]:
             for axis, value in zip("enu", (r.east, r.north, r.up)):
-                s[axis] = s[axis] * self.decay + value * dt
+                s[axis] = s[axis] * self.now_decay + value * dt
         s["last"] = t
 
     def _displacement(self, s: dict, station: str, r, t: float, out: list[tuple]) -> None:
@@ -104,7 +127,7 @@ class StationProcessor(StatefulProcessor):
         signal = None
         if s["ve"] is not None:
             same = abs(s["ve"] - r.east) < 1e-9 and abs(s["vn"] - r.north) < 1e-9
-            signal = IDENTICAL if same else HIGH if hypot(s["ve"], s["vn"]) * 1000 >= self.mm_s else LOW
+            signal = IDENTICAL if same else HIGH if hypot(s["ve"], s["vn"]) * 1000 >= self.now_mm_s else LOW
             counts = {IDENTICAL: "bad", HIGH: "good", LOW: "suspect"}
             for kind, name in counts.items():
                 s[name] = s[name] + 1 if kind == signal else 0
@@ -126,7 +149,7 @@ class StationProcessor(StatefulProcessor):
 
 def process_station_stream(rows: DataFrame, **params) -> DataFrame:
     """Velocities, displacements and events (kind) of a stream of rows station_code, file_name, line_no, kind (LVM or LDM),
-    time, east, north, up, overall_completeness. Needs the RocksDB state store."""
+    time, east, north, up, overall_completeness, with file_path, mm_s and decay if there are. Needs the RocksDB state store."""
     return rows.groupBy("station_code").transformWithStateInPandas(StationProcessor(**params), OUTPUT, "Append", "None")
 
 
