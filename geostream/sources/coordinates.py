@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,10 +37,11 @@ def read_kin(spark: SparkSession, path: str, glob: str | None = None) -> DataFra
 
 
 def read_series(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """(station, t, east_m, north_m, up_m) of files named by site."""
+    """(station, t, east_m, north_m, up_m) of files named by site, or in folders station=SITE as sinks.write_series makes them."""
     t = F.col("t")
     rows = read_lines(spark, path, glob).withColumn("t", tokens(F.col("line"))).filter(F.size("t") >= 4)
-    rows = rows.select(station_of(F.col("file_name")).alias("station"), *[_double(t, i).alias(n) for i, n in enumerate(("t", "east_m", "north_m", "up_m"))])
+    site = F.coalesce(F.nullif(F.regexp_extract("file_path", "/station=([^/]+)/", 1), F.lit("")), F.col("file_name"))
+    rows = rows.select(station_of(site).alias("station"), *[_double(t, i).alias(n) for i, n in enumerate(("t", "east_m", "north_m", "up_m"))])
     return rows.filter("t is not null and east_m is not null and north_m is not null and up_m is not null")
 
 
@@ -93,13 +96,14 @@ def read_polylines(spark: SparkSession, path: str) -> DataFrame:
 def read_columns(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
     """(file, row, *names) of tables of numbers, row being the place of the line among the numeric ones of its file.
 
-    file: the path below the folder that is read, by which the files of several folders belong together; empty for one file.
+    file: the path below the folder that is read, by which the files of several folders belong together; empty for a file or
+    a pattern, which has to stand for one file.
     """
     t = F.col("t")
     rows = read_lines(spark, path).withColumn("t", tokens(F.col("line"))).filter((F.size("t") >= len(names)) & _double(t, 0).isNotNull())
     place = F.row_number().over(Window.partitionBy("file_path").orderBy("line_no"))
-    root = F.regexp_replace(F.lit(path), "^[a-z]+:/*", "/")
-    file = F.substring_index(F.col("file_path"), F.rtrim(root, F.lit("/")), -1)
+    root = re.sub("^[a-z]+:/*", "/", path).rstrip("/")
+    file = F.lit("") if re.search(r"[*?\[{]", path) else F.substring_index("file_path", root, -1)
     return rows.select(file.alias("file"), place.alias("row"), *[_double(t, i).alias(n) for i, n in enumerate(names)])
 
 

@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+import geostream.file_queries  # noqa: F401  adds to the queries
 import geostream.more_queries  # noqa: F401  adds to the queries
 from geostream.queries import ORACLE_SQL, QUERIES
 
