@@ -196,6 +196,16 @@ class Shingler:
                     yield np.zeros(0, np.uint64)
 
 
+def least_of_component(component: DataFrame, values: DataFrame, salts: int = 16) -> DataFrame:
+    """(node, least) of the nodes of component (node, component): the smallest value, of values (node, value), in its component.
+
+    A component may hold a third of all nodes: its least value is joined to so many parts of it.
+    """
+    own = component.join(values, "node").withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(salts)).cast("int"))
+    least = own.groupBy("component").agg(F.min("value").alias("least")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return own.join(least, ["component", "salt"]).select("node", "least")
+
+
 def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges between the nodes a and b, as an edge from each node to the smallest that it reaches by them."""
     nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geostream.llm.common import Shingler, connected_components, mix64, stage
+from geostream.llm.common import Shingler, connected_components, least_of_component, mix64, stage
 from geostream.llm.units import by_unit, cross_units, dealt, home_units, longs
 
 
@@ -211,8 +211,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, rows: in
         return dealt(units.join(lean, "node")).mapInArrow(_flag(sketch, rows, least), "unit long, band long, side long, node long, group long")
 
     def texts_of(units: DataFrame) -> DataFrame:
-        """The text of each node, that of its smallest doc_id."""
-        some = units.select("node").distinct().join(nodes.select("node", "first", "set_key"), "node")
+        """The text of each node, that of its smallest doc_id. The nodes are staged, so that Spark knows whether they are few enough to spare the shuffle of all texts."""
+        some = stage(units.select("node").distinct().join(nodes.select("node", "first", "set_key"), "node"), "sketch-some")
         texts = some.join(docs, F.col("first") == F.col("doc_id")).select("node", "text", "set_key")
         return stage(texts.mapInArrow(_own_text(width), "node long, text string").dropDuplicates(["node"]), "sketch-texts")
 
@@ -235,10 +235,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, rows: in
     large = homes.filter("chunks > 1 and deal = 0")
     if not large.isEmpty():
         across = stage(flagged(cross_units(grouped(large, component), chunk, ("band",))), "sketch-across")
-        component = joined(component, links(across, texts_of(across)))
-    of_node = nodes.select("node", "set_key", "first").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    smallest = of_node.groupBy("component").agg(F.min("first").alias("component_id"))
-    of_set = of_node.join(smallest, "component").select("set_key", "component_id")
+        texts = texts.unionByName(texts_of(across.join(texts.select("node"), "node", "left_anti")))
+        component = joined(component, links(across, texts))
+    least_id = least_of_component(component, nodes.select("node", F.col("first").alias("value")))
+    of_set = nodes.select("node", "set_key", "first").join(least_id, "node", "left").select("set_key", F.coalesce("least", "first").alias("component_id"))
     linked = known.select("doc_id", "n_shingles", "set_key").join(of_set, "set_key").select("doc_id", "n_shingles", "component_id")
     lone = sets.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionByName(lone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

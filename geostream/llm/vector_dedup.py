@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geostream.llm.common import connected_components, stage
+from geostream.llm.common import connected_components, least_of_component, stage
 from geostream.llm.units import by_unit, dealt, into_units, longs
 
 
@@ -151,9 +151,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
     found = stage(dealt(meet).mapInArrow(_compare(threshold), "node long, links long, root long"), "vector-links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     component = stage(connected_components(found.filter("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))), "vector-components")
-    joined = classes.select("node", "first").join(component, "node")
-    smallest = joined.groupBy("component").agg(F.min("first").alias("component_id"))
-    of_node = joined.join(smallest, "component").select("node", "component_id")
+    of_node = least_of_component(component, classes.select("node", F.col("first").alias("value"))).withColumnRenamed("least", "component_id")
     of_class = classes.join(links, "node", "left").join(of_node, "node", "left").select("vector", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component_id", "first").alias("component_id"))
     good = rows.filter("fine").join(of_class, "vector").select("vec_id", "n_links", "component_id")
     lone = rows.filter("not fine").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
