@@ -92,7 +92,8 @@ def pack(docs: DataFrame, length: int = 2048, tokenizer: str = "byte_bpe_50k", e
 
     A null text is empty and has the end id alone. A repeated row is a document of its own. Only the last sequence is not
     full, so that at most length - 1 ids of padding are needed in all. A document that crosses a border has a piece in
-    each sequence that it touches. No documents: no pieces. Other columns are ignored.
+    each sequence that it touches. No documents: no pieces. Other columns are ignored. Ids are stored in 16 bits: a tokenizer
+    with an id of 65,536 or more is an error.
     """
     ids = stage(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_tokenize(tokenizer, end_id), "doc_id long, part int, place long, doc_tokens long, ids binary"), "packing")
     totals = ids.groupBy("part").agg(F.sum("doc_tokens").alias("total"))
