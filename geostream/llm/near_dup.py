@@ -211,8 +211,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, rows: in
         return dealt(units.join(lean, "node")).mapInArrow(_flag(sketch, rows, least), "unit long, band long, side long, node long, group long")
 
     def texts_of(units: DataFrame) -> DataFrame:
-        """The text of each node, that of its smallest doc_id. The nodes are staged, so that Spark knows whether they are few enough to spare the shuffle of all texts."""
-        some = stage(units.select("node").distinct().join(nodes.select("node", "first", "set_key"), "node"), "sketch-some")
+        """The text of each node, that of its smallest doc_id."""
+        some = units.select("node").distinct().join(nodes.select("node", "first", "set_key"), "node")
         texts = some.join(docs, F.col("first") == F.col("doc_id")).select("node", "text", "set_key")
         return stage(texts.mapInArrow(_own_text(width), "node long, text string").dropDuplicates(["node"]), "sketch-texts")
 
@@ -227,15 +227,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, rows: in
         return stage(connected_components(component.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)), "sketch-components")
 
     likely = stage(flagged(homes.select("unit", "band", F.lit(0).alias("side"), "node", F.col("node").alias("group"))), "sketch-likely")
-    texts = texts_of(likely)
+    large = homes.filter("chunks > 1 and deal = 0")
+    # Texts are fetched once: those of larger buckets may be wanted later on.
+    texts = texts_of(likely.select("node").union(large.select("node")))
     component = stage(connected_components(links(likely.filter(F.col("band") < first_bands), texts)), "sketch-components")
     # The other bands matter only where they join what is still apart.
     rest = flagged(grouped(likely.filter(F.col("band") >= first_bands), component))
     component = joined(component, links(rest, texts))
-    large = homes.filter("chunks > 1 and deal = 0")
     if not large.isEmpty():
         across = stage(flagged(cross_units(grouped(large, component), chunk, ("band",))), "sketch-across")
-        texts = texts.unionByName(texts_of(across.join(texts.select("node"), "node", "left_anti")))
         component = joined(component, links(across, texts))
     least_id = least_of_component(component, nodes.select("node", F.col("first").alias("value")))
     of_set = nodes.select("node", "set_key", "first").join(least_id, "node", "left").select("set_key", F.coalesce("least", "first").alias("component_id"))
