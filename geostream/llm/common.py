@@ -196,7 +196,7 @@ class Shingler:
                     yield np.zeros(0, np.uint64)
 
 
-def least_of_component(component: DataFrame, values: DataFrame, salts: int = 16) -> DataFrame:
+def least_of_component(component: DataFrame, values: DataFrame, salts: int = 8) -> DataFrame:
     """(node, least) of the nodes of component (node, component): the smallest value, of values (node, value), in its component.
 
     A component may hold a third of all nodes: its least value is joined to so many parts of it.
