@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from contextlib import contextmanager
 
 import numpy as np
@@ -11,22 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from geostream.sources.shared import scratch_path, shared_dir  # noqa: F401  the latter for the other modules
+
 #: Words: runs of anything but blank, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session gets one of its own; a cluster has to name it."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir is unset: on a cluster it has to name a folder that all machines share")
-        base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.sparkContext.setCheckpointDir(base)
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
 _captured: list[list[str]] = []
 
 
@@ -54,18 +42,19 @@ def release(spark: SparkSession, paths: list[str]) -> None:
     paths.clear()
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it again: lineage ends here and a lost executor costs no recomputation.
-
-    The table goes when the application ends, or earlier by release.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder in the shared one. It goes when the application ends, or earlier by release."""
+    path = scratch_path(spark, label)
     for paths in _captured:
         paths.append(path)
+    return path
+
+
+def stage(df: DataFrame, label: str) -> DataFrame:
+    """Write df to the shared folder and read it again: lineage ends here and a lost executor costs no recomputation."""
+    spark = df.sparkSession
+    path = f"{scratch(spark, label)}/table"
     df.write.parquet(path)
-    system, there = _path(spark, path)
-    system.deleteOnExit(there)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geostream.llm import exact_dedup, language_id, license_scan, mixing, near_dup, packing, quality, toxicity, url_filter, vector_dedup
+from geostream.llm import exact_dedup, filter_audit, language_id, license_scan, mixing, near_dup, packing, quality, toxicity, url_filter, vector_codes, vector_dedup, warc
 from geostream.llm.common import table
 
 
@@ -50,13 +50,25 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(table(spark, sf_dir, "documents"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_near_duplicates, op3_mixing, op4_toxicity, op5_url_filter, op6_license_scan, op7_exact_dedup, op8_vector_dedup, op9_packing, op10_language_id, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_near_duplicates, op3_mixing, op4_toxicity, op5_url_filter, op6_license_scan, op7_exact_dedup, op8_vector_dedup, op9_packing, op10_language_id, op11_warc, op12_vector_codes, op13_filter_audit, pipeline)}
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -91,7 +103,55 @@ SELECT page_id, s.host, s.path, rule, coalesce(ruled, CASE WHEN purity >= 0.75 T
 FROM s LEFT JOIN f ON s.host = f.host AND s.path = f.path LEFT JOIN z ON f.host = z.host AND z.d = len(string_split(f.template, '/')) AND f.template = z.node"""
 
 
+def _codes_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """Integer k-means by a full search in each round."""
+    nearest = lambda book: f"""SELECT n, p, v, arg_min(e, (d, e)) AS e, min(d) AS d FROM (SELECT x.n, x.p, x.v, b.e, list_sum(list_transform(range(1, len(x.v) + 1), lambda i: (x.v[i] - b.v[i]) * (x.v[i] - b.v[i]))) AS d FROM x JOIN {book} b ON x.p = b.p) GROUP BY 1, 2, 3"""
+    steps = ""
+    for i in range(rounds):
+        steps += f"""
+a{i} AS MATERIALIZED ({nearest(f"c{i}")}),
+m{i} AS (SELECT p, e, list(s ORDER BY i) AS v FROM (SELECT p, e, i, floor(sum(v[i])::DOUBLE / count(*))::BIGINT AS s FROM (SELECT *, unnest(range(1, len(v) + 1)) AS i FROM a{i}) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+c{i + 1} AS MATERIALIZED (SELECT c.p, c.e, coalesce(m.v, c.v) AS v FROM c{i} c LEFT JOIN m{i} m ON c.p = m.p AND c.e = m.e),"""
+    return f"""
+WITH k AS (SELECT vec_id, label, embedding::DOUBLE[] AS w FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR isnan(v) OR isinf(v))) = 0),
+r AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, w) AS n, vec_id, label, list_transform(w, lambda v: floor(1024 * v)::BIGINT) AS w FROM k),
+x AS MATERIALIZED (SELECT n, p, w[p * len(w) // {parts} + 1:(p + 1) * len(w) // {parts}] AS v FROM r, range({parts}) t(p)),
+c0 AS (SELECT p, n - 1 AS e, v FROM x WHERE n <= {entries}),{steps}
+f AS ({nearest(f"c{rounds}")}),
+g AS (SELECT n, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM f GROUP BY 1),
+h AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM c{rounds})
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM r JOIN g USING (n), h"""
+
+
+def _audit_sql(names: str = "ABCDE") -> str:
+    orders = ", ".join(f"('{order}', {step}, {1 << names.index(order[step - 1])}, {sum(1 << names.index(c) for c in order[:step - 1])})" for order, _ in filter_audit.orders(names) for step in range(1, len(names) + 1))
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, coalesce(bool_or(quality = 1), FALSE) AS good, coalesce(bool_or(toxic = 1), FALSE) AS toxic FROM labels GROUP BY 1),
+m AS (
+  SELECT doc_id, part, (len(w) < 50)::INT + 2 * (100 * len(list_distinct(w)) < 65 * len(w))::INT + 4 * (100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 5 * length(t))::INT
+    + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), FALSE)::INT AS mask
+  FROM d),
+c AS (SELECT part, mask, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM m LEFT JOIN l USING (doc_id) GROUP BY 1, 2),
+o(filter_order, step, bit, before) AS (VALUES {orders}),
+s AS (
+  SELECT part, filter_order, step, bit, sum(n) FILTER (WHERE mask & (before | bit) = 0) AS kept, sum(n) FILTER (WHERE mask & before = 0 AND mask & bit > 0) AS removed, sum(n) FILTER (WHERE mask & before > 0 AND mask & bit > 0) AS redundant,
+    sum(n) FILTER (WHERE mask = bit) AS unique_fails, sum(good) FILTER (WHERE mask & before = 0 AND mask & bit > 0) AS good_lost, sum(toxic) FILTER (WHERE mask & before = 0 AND mask & bit > 0) AS toxic_lost
+  FROM c, o GROUP BY 1, 2, 3, 4)
+SELECT part, filter_order, step, {", ".join(f"coalesce({c}, 0)::BIGINT AS {c}" for c in ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost"))}, coalesce(sum(removed) OVER (PARTITION BY part, bit), 0)::BIGINT AS shapley
+FROM s"""
+
+
 ORACLE_SQL = {
+    "op11_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+r AS (SELECT *, sha1(h) AS x, row_number() OVER w AS k, first_value(page_id) OVER w AS top FROM p WINDOW w AS (PARTITION BY h ORDER BY page_id DESC NULLS LAST))
+SELECT page_id, octet_length(encode(h))::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((((instr('0123456789abcdef', x[5 * i // 4 + 1]) - 1) * 16 + instr('0123456789abcdef', x[5 * i // 4 + 2]) - 1) // (1 << (3 - (5 * i) % 4))) % 32 + 1)::INT, 1)), '') AS payload_digest,
+  CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN k > 1 THEN top END AS refers_to
+FROM r""",
+    "op12_vector_codes": _codes_sql(),
+    "op13_filter_audit": _audit_sql(),
     "op5_url_filter": _url_sql(),
     "op3_mixing": r"""
 WITH d AS (
