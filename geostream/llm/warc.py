@@ -197,15 +197,17 @@ def _read(gap: int, most: int):
     return run
 
 
-def read_archives(index: DataFrame, gap: int = 1 << 16, most: int = 1 << 25) -> DataFrame:
+def read_archives(index: DataFrame, gap: int = 1 << 16, most: int = 1 << 25, task_bytes: int = 1 << 27) -> DataFrame:
     """page_id, record_type, payload_bytes, payload_digest, refers_to, target_uri, payload of the records of index rows (file, offset, length).
 
     All columns come from the archives: bytes and digest of the full payload, of a revisit too, whose payload is null. The
-    rows are dealt by ranges of file and offset and sorted, so that a task reads stretches of files: records no more than gap bytes
+    rows are dealt by ranges of file and offset and sorted, task_bytes of archives to a task, so that it reads stretches of files: records no more than gap bytes
     apart are one read of at most most bytes (or one record). A response whose payload has another digest than its header is an error.
     No rows: no records; repeated rows are read each.
     """
-    ranged = index.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    total = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(index.sparkSession.sparkContext.defaultParallelism, total // task_bytes)
+    ranged = index.select("file", "offset", "length").repartitionByRange(int(tasks), "file", "offset").sortWithinPartitions("file", "offset")
     return ranged.mapInArrow(_read(gap, most), RECORD)
 
 
