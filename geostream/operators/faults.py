@@ -130,17 +130,26 @@ def expand_grid(stations: DataFrame, grid: DataFrame) -> DataFrame:
     return grid.repartition(grid.sparkSession.sparkContext.defaultParallelism).crossJoin(stations)
 
 
-def score_grid(expanded: DataFrame, by: Sequence[str], g: str = "green_n", d: str = "d", err: str = "err") -> DataFrame:
+def score_grid(expanded: DataFrame, by: Sequence[str], g: str = "green_n", d: str = "d", err: str = "err", sums: bool = False) -> DataFrame:
     """by with slip, chi2, rchi2 and wrms of the weighted one-parameter fit d = g * slip; slip 0 where g vanishes.
 
     One pass: chi2 = sum(d^2/s^2) - 2 slip sum(gd/s^2) + slip^2 sum(g^2/s^2), which is right to about 1e-15 of the first sum:
-    for fits that leave less than a millionth of it, use residual_chi2.
+    for fits that leave less than a millionth of it, use residual_chi2. sums: with _dd, the first sum, for near_best.
     """
     w = 1 / (F.col(err) * F.col(err))
-    sums = expanded.groupBy(*by).agg(F.sum(w * F.col(g) * F.col(g)).alias("gg"), F.sum(w * F.col(g) * F.col(d)).alias("gd"), F.sum(w * F.col(d) * F.col(d)).alias("dd"), F.sum(w).alias("ww"), F.count("*").alias("n"))
+    own = expanded.groupBy(*by).agg(F.sum(w * F.col(g) * F.col(g)).alias("gg"), F.sum(w * F.col(g) * F.col(d)).alias("gd"), F.sum(w * F.col(d) * F.col(d)).alias("dd"), F.sum(w).alias("ww"), F.count("*").alias("n"))
     slip = F.coalesce(F.try_divide("gd", "gg"), F.lit(0.0))
-    sums = sums.withColumn("slip", slip).withColumn("chi2", F.greatest(F.col("dd") - 2 * F.col("slip") * F.col("gd") + F.col("slip") ** 2 * F.col("gg"), F.lit(0.0)))
-    return sums.withColumn("rchi2", F.col("chi2") / F.col("n")).withColumn("wrms", F.sqrt(F.col("chi2") / F.col("ww"))).drop("gg", "gd", "dd", "ww", "n")
+    own = own.withColumn("slip", slip).withColumn("chi2", F.greatest(F.col("dd") - 2 * F.col("slip") * F.col("gd") + F.col("slip") ** 2 * F.col("gg"), F.lit(0.0)))
+    scored = own.withColumn("rchi2", F.col("chi2") / F.col("n")).withColumn("wrms", F.sqrt(F.col("chi2") / F.col("ww"))).withColumn("_dd", F.col("dd")).drop("gg", "gd", "dd", "ww", "n")
+    return scored if sums else scored.drop("_dd")
+
+
+def near_best(scored: DataFrame, by: Sequence[str] = (), slack: float = 1e-9) -> DataFrame:
+    """The plausible rows of score_grid that may be the best by wrms: within what cancellation can take from chi2, slack of the first sum (scored has it as _dd)."""
+    rows = plausible_models(scored)
+    least = rows.groupBy(*by).agg(F.min(F.col("chi2") + slack * F.col("_dd")).alias("_least"))
+    joined = rows.join(least, list(by)) if by else rows.crossJoin(F.broadcast(least))  # one row
+    return joined.filter(F.col("chi2") - slack * F.col("_dd") <= F.col("_least")).drop("_least", "_dd")
 
 
 def residual_chi2(expanded: DataFrame, scored: DataFrame, by: Sequence[str], g: str = "green_n", d: str = "d", err: str = "err") -> DataFrame:
@@ -172,19 +181,29 @@ def best_by_rchi(scored: DataFrame, by: Sequence[str] = (), order: str = "grid_i
     return rows.groupBy(*by).agg(best).select("b.*") if by else rows.agg(best).filter("b is not null").select("b.*")
 
 
-def bootstrap(df: DataFrame, n_draws: int, size: int, seed: int = 1, order: str = "sites") -> DataFrame:
-    """(draw, place, row of df) with replacement: the row's number is md5(seed:draw:place) modulo the row count, so that draws repeat."""
-    numbered = number_rows(df, (order,), "_row").withColumn("_row", F.col("_row") - 1)
-    draws = df.sparkSession.range(n_draws * size).select(F.floor(F.col("id") / size).cast("int").alias("draw"), (F.col("id") % size).cast("int").alias("place"))
+def draw_rows(n: DataFrame, n_draws: int, size: int | None, seed: int = 1) -> DataFrame:
+    """(draw, place, row): row numbers from 0 drawn with replacement, md5(seed:draw:place) modulo the count in n (one row, _size), so that draws repeat. size None: as many as n counts."""
+    spark = n.sparkSession
+    if size is None:
+        counted = spark.range(n_draws).withColumnRenamed("id", "draw").crossJoin(F.broadcast(n))  # one row
+        draws = counted.filter("_size > 0").select(F.col("draw").cast("int").alias("draw"), "_size", F.explode(F.sequence(F.lit(0), F.col("_size").cast("int") - 1)).alias("place"))
+    else:
+        placed = spark.range(n_draws * size).select(F.floor(F.col("id") / size).cast("int").alias("draw"), (F.col("id") % size).cast("int").alias("place"))
+        draws = placed.crossJoin(F.broadcast(n))  # one row
     key = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "draw", "place").cast("binary")), 1, 8), 16, 10).cast("long")
-    n = numbered.agg(F.count("*").alias("_size"))
-    picked = draws.withColumn("_key", key).crossJoin(F.broadcast(n)).withColumn("_row", F.col("_key") % F.col("_size"))  # one row
-    return picked.join(numbered, "_row").drop("_row", "_key", "_size")
+    return draws.select("draw", "place", (key % F.col("_size")).alias("row"))
+
+
+def bootstrap(df: DataFrame, n_draws: int, size: int | None, seed: int = 1, order: str = "sites") -> DataFrame:
+    """(draw, place, row of df) with replacement; see draw_rows."""
+    numbered = number_rows(df, (order,), "_row").withColumn("_row", F.col("_row") - 1)
+    picked = draw_rows(numbered.agg(F.count("*").alias("_size")), n_draws, size, seed).withColumnRenamed("row", "_row")
+    return picked.join(numbered, "_row").drop("_row")
 
 
 def with_reference(draws: DataFrame, ref: DataFrame) -> DataFrame:
-    """Each draw with the reference rows added at place -1."""
-    own = draws.select("draw").distinct().crossJoin(F.broadcast(ref)).withColumn("place", F.lit(-1))
+    """Each draw with the reference rows added at place -1. Spark decides by the sizes how the draws' numbers meet ref."""
+    own = draws.select("draw").distinct().crossJoin(ref).withColumn("place", F.lit(-1))
     return draws.unionByName(own, allowMissingColumns=True)
 
 

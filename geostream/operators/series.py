@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from geostream.functions.geodesy import ecef_to_enu, ecef_to_geodetic, geodetic_to_ecef
 from geostream.functions.times import session_of, session_year
+from geostream.sources.shared import staged
 
 ENU = ("east_m", "north_m", "up_m")
 
@@ -64,14 +65,83 @@ def demean(df: DataFrame, cols: Sequence[str] = ENU, by: str = "station") -> Dat
     return df.withColumns({c: F.col(c) - F.avg(c).over(whole) for c in cols})
 
 
-def flag_iqr(df: DataFrame, by: Sequence[str], cols: Sequence[str] = ENU, k: float = 3.0) -> DataFrame:
-    """df with is_outlier: any component outside q1 - k IQR ... q3 + k IQR of its group (exact, interpolated quartiles).
+#: Values of a group that one task may sort for exact quartiles; larger groups are ranked in brackets.
+BUFFERED = 1 << 17
 
-    Exact quartiles hold the different values of a group in one task: daily series have some thousand rows a station, and a
-    second of telemetry for a year is 32 million.
+
+def any_larger(df: DataFrame, by: Sequence[str], limit: int = BUFFERED) -> bool:
+    """Whether a group has more than limit rows; columns other than by aren't read."""
+    return not df.groupBy(*by).agg(F.count("*").alias("_n")).filter(F.col("_n") > limit).isEmpty()
+
+
+def group_quantiles(df: DataFrame, by: Sequence[str], cols: Sequence[str], qs: Sequence[float], accuracy: int = 10000) -> DataFrame:
+    """(by, q_{c} for each c of cols): the exact interpolated quantiles qs of each group, arrays in the order of qs; nulls don't count.
+
+    No task holds a group, whatever its size. A mergeable sketch of each group gives for each wanted rank two values
+    that bracket it; then values below the bracket are counted, and those inside, about 8 / accuracy of the group, are counted
+    by value and ranked by a running sum. A rank outside its bracket (a sketch may err) has its bracket
+    doubled until it is inside. The rows are staged once.
+    """
+    flat = df.select(*by, F.posexplode(F.array(*[F.col(c).cast("double") for c in cols])).alias("_c", "_v")).filter("_v is not null")
+    flat = staged(flat, "quantile-values")
+    keys = [*by, "_c"]
+    same = lambda a, b: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys]
+    points = lambda step: [min(1.0, max(0.0, q + d)) for q in qs for d in (-step, step)]
+
+    def brackets(of: DataFrame, step: float) -> DataFrame:
+        """(keys, n, place of q in qs, ranks lower and upper, ends lo and hi) by the sketch."""
+        grouped = of.groupBy(*keys).agg(F.count("*").alias("n"), F.min("_v").alias("_least"), F.max("_v").alias("_most"), F.percentile_approx("_v", points(step), accuracy).alias("_p"))
+        q = F.explode(F.array(*[F.struct(F.lit(i).alias("q"), (F.lit(x) * (F.col("n") - 1)).alias("rank"), (F.col("_least") if x - step <= 0 else F.get("_p", F.lit(2 * i))).alias("lo"), (F.col("_most") if x + step >= 1 else F.get("_p", F.lit(2 * i + 1))).alias("hi")) for i, x in enumerate(qs)]))
+        return grouped.select(*keys, q.alias("_b")).select(*keys, "_b.*")
+
+    def ranked(of: DataFrame, ends: DataFrame) -> DataFrame:
+        """(keys, q, whole and next: the values at the ranks around rank; null if outside the bracket)."""
+        met = of.alias("v").join(ends.alias("e"), same("v", "e")).select(*[F.col(f"e.{k}") for k in keys], "q", "rank", "_v", (F.col("_v") < F.col("lo")).alias("_under")).where(F.col("_v") <= F.col("hi"))
+        counted = met.groupBy(*keys, "q", "rank", F.when(~F.col("_under"), F.col("_v")).alias("_v")).agg(F.count("*").alias("_k"))
+        upto = F.sum("_k").over(Window.partitionBy(*keys, "q").orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
+        placed = counted.withColumn("_to", upto).withColumn("_from", F.col("_to") - F.col("_k")).filter("_v is not null")
+        at = lambda r: F.max(F.when((F.col("_from") <= r) & (r < F.col("_to")), F.col("_v")))
+        return placed.groupBy(*keys, "q", "rank").agg(at(F.floor("rank")).alias("_a"), at(F.ceil("rank")).alias("_b"))
+
+    step, todo, done = 4.0 / accuracy, flat, None
+    while True:
+        ends = staged(brackets(todo, step), "quantile-brackets")
+        found = staged(ranked(todo, ends), "quantile-ranks")
+        good = found.filter("_a is not null and _b is not null").select(*keys, "q", (F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("rank") - F.floor("rank"))).alias("_x"))
+        left = ends.alias("v").join(good.alias("e"), [*same("v", "e"), F.col("v.q") == F.col("e.q")], "left_anti").select(*keys).distinct()
+        done = good if done is None else done.unionByName(good)
+        if step >= 1 or left.isEmpty():
+            break
+        again = staged(left, "quantile-left")
+        done = done.alias("v").join(again.alias("e"), same("v", "e"), "left_anti")
+        todo, step = flat.alias("v").join(again.alias("e"), same("v", "e"), "left_semi"), min(1.0, 2 * step)
+    pick = lambda c, q: F.max(F.when((F.col("_c") == c) & (F.col("q") == q), F.col("_x")))
+    return done.groupBy(*by).agg(*[F.array(*[pick(i, j) for j in range(len(qs))]).alias(f"q_{c}") for i, c in enumerate(cols)])
+
+
+def with_quantiles(df: DataFrame, by: Sequence[str], cols: Sequence[str], qs: Sequence[float], large: bool | None = None, limit: int = BUFFERED) -> DataFrame:
+    """df with _q_{c}, the exact quantiles qs of each c of cols over the group by.
+
+    Groups of up to limit rows are sorted in a window, which serves what else is computed by the same keys; if there are
+    larger ones (large: whether there may be, None: to be counted), these go by group_quantiles and are joined.
     """
     group = Window.partitionBy(*by)
-    joined = df.withColumns({f"_q_{c}": F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))).over(group) for c in cols})
+    wanted = F.array(*map(F.lit, map(float, qs)))
+    if large is None:
+        large = any_larger(df, by, limit)
+    if not large:
+        return df.withColumns({f"_q_{c}": F.percentile(c, wanted).over(group) for c in cols})
+    sized = staged(df.withColumn("_size", F.count("*").over(group)), "quantile-rows")
+    small = sized.filter(F.col("_size") <= limit).withColumns({f"_q_{c}": F.percentile(c, wanted).over(group) for c in cols}).drop("_size")
+    big = sized.filter(F.col("_size") > limit).drop("_size")
+    quantiles = staged(group_quantiles(big, by, cols, qs).toDF(*by, *[f"_q_{c}" for c in cols]), "quantiles")
+    joined = big.alias("b").join(quantiles.alias("q"), [F.col(f"b.{k}").eqNullSafe(F.col(f"q.{k}")) for k in by]).select("b.*", *[F.col(f"q._q_{c}") for c in cols])
+    return small.unionByName(joined)
+
+
+def flag_iqr(df: DataFrame, by: Sequence[str], cols: Sequence[str] = ENU, k: float = 3.0, large: bool | None = None, limit: int = BUFFERED) -> DataFrame:
+    """df with is_outlier: any component outside q1 - k IQR ... q3 + k IQR of its group (exact, interpolated quartiles); see with_quantiles."""
+    joined = with_quantiles(df, by, cols, (0.25, 0.75), large, limit)
     out = F.lit(False)
     for c in cols:
         low, high = F.get(f"_q_{c}", F.lit(0)), F.get(f"_q_{c}", F.lit(1))
@@ -100,7 +170,7 @@ def fit_segments(df: DataFrame, by: Sequence[str] = ("station", "segment"), wher
     return df.groupBy(*by).agg(*aggs, F.count_if(used).alias("n_points"), F.min(F.when(used, F.col(t))).alias("t_start"), F.max(F.when(used, F.col(t))).alias("t_end"), outliers.alias("outlier_epochs"))
 
 
-def estimate_velocity(series: DataFrame, offsets: DataFrame, k: float = 3.0, mode: str = "clean", least: int = 3) -> DataFrame:
+def estimate_velocity(series: DataFrame, offsets: DataFrame, k: float = 3.0, mode: str = "clean", least: int = 3, limit: int = BUFFERED) -> DataFrame:
     """Offset-aware velocities: segments, fences, fits; one row for each station and segment of least points or more.
 
     clean: fits leave outliers out; a segment with fewer than least clean points has an error text and no velocity.
@@ -108,7 +178,7 @@ def estimate_velocity(series: DataFrame, offsets: DataFrame, k: float = 3.0, mod
     """
     segmented = assign_segments(series, offsets)
     size = F.count("*").over(Window.partitionBy("station", "segment"))
-    flagged = flag_iqr(segmented.withColumn("_n", size).filter(F.col("_n") >= least).drop("_n"), ("station", "segment"), k=k)
+    flagged = flag_iqr(segmented.withColumn("_n", size).filter(F.col("_n") >= least).drop("_n"), ("station", "segment"), k=k, large=any_larger(series, ("station",), limit), limit=limit)
     if mode == "legacy":
         fitted = fit_segments(flagged)
         whole = series.groupBy("station").agg(*[F.regr_syy(c, "t").alias(f"_whole_{a}") for a, c in zip("enu", ENU)])
@@ -138,13 +208,15 @@ def review_fit(series: DataFrame, cols: Sequence[str] = ENU) -> DataFrame:
     return cm.groupBy("station").agg(*[F.round(F.coalesce(F.when(F.count("*") >= 2, F.regr_slope(c, "t")), F.lit(0.0)) * 10, 1).alias(f"rate_{a}") for a, c in zip("enu", cols)])
 
 
-def flag_residual_iqr(series: DataFrame, cols: Sequence[str] = ENU, k: float = 3.0) -> DataFrame:
+def flag_residual_iqr(series: DataFrame, cols: Sequence[str] = ENU, k: float = 3.0, limit: int = BUFFERED) -> DataFrame:
     """series with residual (3-D, from each component's line, cm) and is_outlier: over k IQR, none with under 4 points or IQR 0."""
     whole = Window.partitionBy("station")
+    large = any_larger(series, ("station",), limit)
     joined = series.withColumns({"_n": F.count("*").over(whole)} | {f"_{name}_{c}": f(c, "t").over(whole) for c in cols for name, f in (("a", F.regr_slope), ("b", F.regr_intercept))})
     off = [F.col(c) - (F.coalesce(F.col(f"_a_{c}"), F.lit(0.0)) * F.col("t") + F.coalesce(F.col(f"_b_{c}"), F.col(c))) for c in cols]
     joined = joined.withColumn("residual", F.sqrt(sum((x * x for x in off[1:]), off[0] * off[0])) * 100)
-    joined = joined.withColumn("_iqr", F.percentile("residual", F.lit(0.75)).over(whole) - F.percentile("residual", F.lit(0.25)).over(whole))
+    joined = with_quantiles(joined, ("station",), ("residual",), (0.25, 0.75), large, limit)
+    joined = joined.withColumn("_iqr", F.get("_q_residual", F.lit(1)) - F.get("_q_residual", F.lit(0)))
     out = (F.col("_n") >= 4) & (F.col("_iqr") > 0) & (F.abs("residual") > k * F.col("_iqr"))
     return joined.withColumn("is_outlier", out).select(*series.columns, "residual", "is_outlier")
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from geostream.functions import geodesy, text, times
-from geostream.operators import archive, faults, network, series, telemetry
+from geostream.operators import archive, draws, faults, network, series, telemetry
 from geostream.sources import archive as archive_sources
 from geostream.sources import sinks
 from geostream.sources import telemetry as sentences
@@ -501,10 +501,54 @@ def seismic_moment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return faults.moment(patches).select(F.round(F.col("m0") / 1e30, 4).alias("m0"), F.round("mw", 6).alias("mw"))
 
 
-@_query()
+_OKADA = """
+c AS (SELECT *, unnest([1, -1, -1, 1]) AS sign, unnest([500.0::DOUBLE, 500, -500, -500]) AS xi, unnest([p, p - width, p, p - width]) AS eta FROM (SELECT *, -dist * cd + depth * sd AS p, -dist * sd - depth * cd AS q0 FROM m)),
+i AS (SELECT *, -dist * sd - depth * cd AS q, sqrt(xi * xi + eta * eta + q0 * q0) AS rr, sqrt(xi * xi + q0 * q0) AS big, eta * sd - q0 * cd AS dd FROM c),
+j AS (SELECT *, 2 * 0.5::DOUBLE / cd * atan((eta * (big + q * cd) + big * (rr + big) * sd) / (xi * (rr + big) * cd)) AS i5 FROM i),
+k AS (SELECT *, -0.5::DOUBLE * xi / (cd * (rr + dd)) - sd / cd * i5 AS i1 FROM j)"""
+
+
+def _okada_sql(source: str, keys: str) -> str:
+    """CTEs up to u (keys, green): motion along strike by unit strike slip of the rectangles of source (keys, dist, width, depth, dip in degrees, not upright), 1000 km long, strike 0; eqs. 25-30 of Okada (1985)."""
+    return f"""m AS (SELECT *, sin(radians(dip)) AS sd, cos(radians(dip)) AS cd FROM {source}),{_OKADA},
+u AS (SELECT {keys}, CASE WHEN bool_or(depth - sd * width < -1e-12) THEN 0 ELSE sum(sign * -(xi * q / (rr * (rr + eta)) + CASE WHEN q = 0 THEN 0 ELSE atan(xi * eta / (q * rr)) END + i1 * sd)) / (2 * pi()) END AS green FROM k GROUP BY ALL)"""
+
+
+@_query(f"""WITH {_PROFILE}, h AS (SELECT sites, dist, v_across, err FROM q WHERE abs(off) <= 15), n0 AS (
+SELECT p_partkey AS grid_id, p_size / 10.0::DOUBLE + 1 AS depth, (p_partkey % 11 + 10)::DOUBLE AS width, (p_partkey % 10 - 100)::DOUBLE AS dip, (p_partkey % 11 + 25)::DOUBLE AS rate, h.* FROM part, h),
+{_okada_sql("n0", "grid_id, depth, width, dip, rate, sites, dist, v_across, err")},
+x AS (SELECT *, v_across - CASE WHEN dist >= 0 THEN rate ELSE 0 END AS d, 1 / (err * err) AS w FROM u),
+s AS (SELECT grid_id, depth, width, dip, rate, coalesce(sum(w * green * d) / nullif(sum(w * green * green), 0), 0) AS slip, count(*) AS n, sum(w) AS ww, sum(w * green * d) AS gd, sum(w * d * d) AS dd FROM x GROUP BY 1, 2, 3, 4, 5)
+SELECT grid_id, depth, width, dip, rate, round(slip, 4) AS slip, round((dd - slip * gd) / n, 4) AS rchi2, round(sqrt((dd - slip * gd) / ww), 5) AS wrms FROM s""")
 def dislocation_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rectangular dislocations for each part under each station of the profile; tested against closed forms."""
+    """Rectangular dislocations for each part under each station of the profile."""
     grid = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("grid_id"), (F.col("p_size") / 10 + 1).alias("depth"), (F.col("p_partkey") % 11 + 10).cast("double").alias("width"), (F.col("p_partkey") % 10 - 100).cast("double").alias("dip"), (F.col("p_partkey") % 11 + 25).cast("double").alias("rate"))
     expanded = faults.expand_grid(_profile(spark, sf_dir).select("sites", "dist_km", "v_across", "err"), grid)
     moved = faults.with_green(expanded, {"length": 1000.0, "width": "width", "depth": "depth", "dip": "dip", "strike": 0.0, "east": 0.0, "north": 0.0, "x": "dist_km", "y": 0.0})
-    return faults.score_grid(faults.back_slip(moved, F.col("rate")), ["grid_id", "depth", "width", "dip", "rate"])
+    scored = faults.score_grid(faults.back_slip(moved, F.col("rate")), ["grid_id", "depth", "width", "dip", "rate"])
+    return scored.select("grid_id", "depth", "width", "dip", "rate", F.round("slip", 4).alias("slip"), F.round("rchi2", 4).alias("rchi2"), F.round("wrms", 5).alias("wrms"))
+
+
+_RATES = (25.0, 30.0, 35.0)
+
+
+@_query(f"""WITH {_PROFILE}, h AS (SELECT s_nationkey AS sites, round(5 * avg(dist), 6) AS dist, round(avg(v_across) / 5 + CASE WHEN avg(dist) >= 0 THEN 30 ELSE 0 END, 6) AS v_across, round(avg(err), 6) AS err FROM q JOIN supplier ON sites = s_suppkey WHERE abs(off) <= 15 GROUP BY 1),
+o AS (SELECT *, row_number() OVER (ORDER BY sites) - 1 AS k, count(*) OVER () AS n FROM h),
+z AS (SELECT range // (SELECT count(*) FROM h) AS draw, concat('0x', substr(md5(concat('7:', range // (SELECT count(*) FROM h), ':', range % (SELECT count(*) FROM h))), 1, 8))::BIGINT % (SELECT count(*) FROM h) AS k FROM range(100 * (SELECT count(*) FROM h))),
+b AS (SELECT draw, sites, count(*) AS times FROM z JOIN o USING (k) GROUP BY 1, 2 UNION ALL SELECT range, -1, 1 FROM range(100)),
+a AS (SELECT sites, dist, v_across, err FROM h UNION ALL SELECT -1, -0.001::DOUBLE, 0::DOUBLE, 0.1::DOUBLE),
+n0 AS (SELECT p_partkey AS grid_id, p_size / 10.0::DOUBLE + 1 + (p_partkey % 10007) / 100000.0::DOUBLE AS depth, (p_partkey % 11 + 10)::DOUBLE AS width, (p_partkey % 10 - 100)::DOUBLE AS dip, a.* FROM part, a),
+{_okada_sql("n0", "grid_id, depth, width, dip, sites, dist, v_across, err")},
+g AS (SELECT draw, rate, sum(times / (err * err)) AS ww, sum(times * (v_across - CASE WHEN dist >= 0 THEN rate ELSE 0 END) ** 2 / (err * err)) AS dd FROM b JOIN a USING (sites), (SELECT unnest([25.0::DOUBLE, 30, 35]) AS rate) GROUP BY 1, 2),
+f AS (SELECT draw, grid_id, sum(times * green * green / (err * err)) AS gg, sum(times * green * v_across / (err * err)) AS gv, sum(CASE WHEN dist >= 0 THEN times * green / (err * err) ELSE 0 END) AS gf FROM u JOIN b USING (sites) GROUP BY 1, 2),
+s AS (SELECT draw, grid_id, rate, coalesce((gv - rate * gf) / nullif(gg, 0), 0) AS slip, dd - coalesce((gv - rate * gf) ** 2 / nullif(gg, 0), 0) AS chi2, ww FROM f JOIN g USING (draw))
+SELECT draw::INT AS draw, grid_id, rate, round(slip, 4) AS slip, round(sqrt(chi2 / ww), 5) AS wrms FROM s WHERE slip <= rate QUALIFY chi2 = min(chi2) OVER (PARTITION BY draw)""")
+def bootstrap_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best model of 100 draws of the nations' mean velocities on two blocks, each with a reference station, among all parts as grid points and three block rates."""
+    rows = _profile(spark, sf_dir).join(_table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("sites"), "s_nationkey"), "sites")
+    side = F.when(F.avg("dist_km") >= 0, 30.0).otherwise(0.0)
+    profile = rows.groupBy(F.col("s_nationkey").alias("sites")).agg(F.round(5 * F.avg("dist_km"), 6).alias("dist_km"), F.round(F.avg("v_across") / 5 + side, 6).alias("v_across"), F.round(F.avg("err"), 6).alias("err"))
+    ref = spark.createDataFrame([(-1, -0.001, 0.0, 0.1)], "sites int, dist_km double, v_across double, err double")
+    grid = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("grid_id"), (F.col("p_size") / 10 + 1 + F.col("p_partkey") % 10007 / 100000).alias("depth"), (F.col("p_partkey") % 11 + 10).alias("width"), (F.col("p_partkey") % 10 - 100).alias("dip"))
+    best = draws.best_by_draw(grid, draws.weights(profile, ref, 100, None, 7), draws.strike_slip(turn=0.0), ("depth", "width", "dip"), _RATES)
+    return best.select("draw", "grid_id", "rate", F.round("slip", 4).alias("slip"), F.round("wrms", 5).alias("wrms"))

@@ -5,7 +5,7 @@ Archives repeat base names from folder to folder: the path tells files apart, th
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -14,26 +14,45 @@ def _reader(spark: SparkSession, glob: str | None):
     return reader.option("pathGlobFilter", glob) if glob else reader
 
 
-def read_lines(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """Lines of all files, numbered from 1.
+#: Files of up to so many bytes are read as one row; larger ones by splits.
+WHOLE = 16 << 20
 
-    Files are the unit of reading, so that lines keep their numbers; these corpora hold many small files.
+
+def true_path(path: Column) -> Column:
+    """The path that a file really has: _metadata.file_path is percent-encoded (binaryFile's path isn't), and its scheme goes for local files.
+
+    Bytes are decoded from their %XX alone; a plus stays a plus.
     """
-    files = _reader(spark, glob).text(path, wholetext=True)
-    rows = files.select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_name").alias("file_name"), F.posexplode(F.split("value", "\r?\n")).alias("pos", "line"))
-    return rows.select("file_path", "file_name", (F.col("pos") + 1).alias("line_no"), "line")
+    return F.regexp_replace(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), "^file:/*", "/")
+
+
+def named(*more: Column) -> list[Column]:
+    """file_path and file_name of the file that a row comes from, and more columns."""
+    return [true_path(F.col("_metadata.file_path")).alias("file_path"), F.regexp_extract(true_path(F.col("_metadata.file_path")), r"([^/]*)$", 1).alias("file_name"), *more]
 
 
-def stream_lines(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """(file_path, file_name, place, line) of files of any size, line by line; place orders the lines of a file.
+def read_lines(spark: SparkSession, path: str, glob: str | None = None, whole: int = WHOLE) -> DataFrame:
+    """(file_path, file_name, line_no, line) of all files; lines end at a line feed, a carriage return before it is no part of them, and are numbered from 1. The end of a file's last line begins no further one.
 
-    place is (start of the split, running number), numbers within a split having no gaps.
+    Files of up to whole bytes are rows that are split, so that lines keep their numbers without a shuffle. Larger ones are
+    read by splits: a line's number is its place in its split plus the lines of the splits before, of which there is a
+    row for each split. A file that can't be split (compressed) is one split.
     """
-    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n")).alias("place")
-    return _reader(spark, glob).text(path).select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_name").alias("file_name"), place, F.col("value").alias("line"))
+    small = _reader(spark, glob).text(path, wholetext=True).filter(F.col("_metadata.file_size") <= whole)
+    rows = small.select(*named(F.posexplode(F.split(F.regexp_replace("value", r"\n\z", ""), "\n")).alias("pos", "line"), (F.col("value") == "").alias("none"))).filter("not none")
+    strip = F.regexp_replace("line", r"\r\z", "").alias("line")
+    rows = rows.select("file_path", "file_name", (F.col("pos") + 1).cast("long").alias("line_no"), strip)
+    splits = _reader(spark, glob).option("lineSep", "\n").text(path).filter(F.col("_metadata.file_size") > whole)
+    splits = splits.select(*named(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"), F.col("value").alias("line")))
+    here = Window.partitionBy("file_path", "block")
+    numbered = splits.withColumn("at", F.row_number().over(here.orderBy("n")).cast("long"))
+    counts = splits.groupBy("file_path", "block").agg(F.count("*").alias("lines"))
+    before = counts.select("file_path", "block", (F.sum("lines").over(Window.partitionBy("file_path").orderBy("block")) - F.col("lines")).alias("before"))
+    large = numbered.join(before, ["file_path", "block"]).select("file_path", "file_name", (F.col("before") + F.col("at")).alias("line_no"), strip)
+    return rows.unionByName(large)
 
 
 def whole_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """(file_path, file_name, text) of each file."""
     files = _reader(spark, glob).text(path, wholetext=True)
-    return files.select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("text"))
+    return files.select(*named(F.col("value").alias("text")))

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from geostream.functions.text import first_token
 from geostream.functions.times import header_time
-from geostream.sources.lines import read_lines, stream_lines, whole_files
+from geostream.sources.headers import read_headers
+from geostream.sources.lines import read_lines, whole_files
 
 #: Labels and marks of the formats, and how reports word their figures.
-END = "END OF HEADER"
 MARKER = "RINEX VERSION / TYPE"
 OBSERVATIONS = r"(?i)#[ \t]*obs[ \t]*:[ \t]*([0-9]+)"
 ALL_OBSERVATIONS = r"(?i)total[ \t]+obs[ \t]*:[ \t]*([0-9]+)"
@@ -32,29 +32,26 @@ def _names(with_path: bool) -> list[str]:
     return ["file_path", "file_name"] if with_path else ["file_name"]
 
 
-def scan_rinex_headers(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """(file_path, file_name, station_code, sampling_interval, receiver_type, antenna_type, start_time, end_time, has_marker) of each file.
+def scan_rinex_headers(spark: SparkSession, path: str, glob: str | None = None, with_hash: bool = False) -> DataFrame:
+    """(file_path, file_name, station_code, sampling_interval, receiver_type, antenna_type, start_time, end_time, has_marker) of each file, with_hash behind file_hash.
 
     A header line has its value in columns 1-60 and its label in 61-80; types stand in 21-40; station codes are put in upper
-    case, as everywhere here. Of each label the first line
-    counts, if it stands before the end of the header. has_marker: the format's mark is in the first ten lines. Files are
-    read line by line, so that they may have any size, and aggregated by path before any shuffle.
+    case, as everywhere here. Of each label the first line counts. has_marker: the format's mark is in the first ten lines. A file is read to the end of its
+    header, or once to its own for the hash; see sources.headers.
     """
-    lines = stream_lines(spark, path, glob)
-    label, value = F.trim(F.substring("line", 61, 20)), F.substring("line", 1, 60)
-    kind, time = F.trim(F.substring("line", 21, 20)), F.substring("line", 1, 43)
-
-    def first(name: str, col: Column) -> Column:
-        here = F.when(label == name, F.struct("place", col.alias("value")))
-        return F.min_by(here, F.when(label == name, F.col("place")))
-
-    wanted = {"station_code": ("MARKER NAME", F.upper(first_token(value))), "sampling_interval": ("INTERVAL", F.trim(F.substring("line", 1, 10))), "receiver_type": ("REC # / TYPE / VERS", kind), "antenna_type": ("ANT # / TYPE", kind), "start_time": ("TIME OF FIRST OBS", time), "end_time": ("TIME OF LAST OBS", time)}
-    marked = F.min(F.when(F.contains("line", F.lit(MARKER)), F.col("place")))
-    found = lines.groupBy("file_path", "file_name").agg(F.min("place").alias("begin"), marked.alias("mark"), F.min(F.when(F.startswith(label, F.lit(END)), F.col("place"))).alias("end"), *[first(*x).alias(name) for name, x in wanted.items()])
-    before = {name: F.when(F.col("end").isNull() | (F.col(f"{name}.place") < F.col("end")), F.col(f"{name}.value")) for name in wanted}
-    casts = {"sampling_interval": lambda c: c.try_cast("double"), "start_time": header_time, "end_time": header_time}
-    early = (F.col("mark.block") == F.col("begin.block")) & (F.col("mark.n") - F.col("begin.n") < 10)
-    return found.select("file_path", "file_name", *[casts.get(name, lambda c: c)(c).alias(name) for name, c in before.items()], F.coalesce(early, F.lit(False)).alias("has_marker"))
+    headers = read_headers(spark, path, glob, with_hash)
+    value, kind, time = (lambda line, a=a, n=n: F.substring(line, a, n) for a, n in ((1, 60), (21, 20), (1, 43)))
+
+    def first(label: str, col) -> Column:
+        return col(F.get(F.filter("lines", lambda line: F.trim(F.substring(line, 61, 20)) == label), F.lit(0)))
+
+    columns = {
+        "station_code": first("MARKER NAME", lambda x: F.upper(first_token(value(x)))), "sampling_interval": first("INTERVAL", lambda x: F.trim(F.substring(x, 1, 10)).try_cast("double")),
+        "receiver_type": first("REC # / TYPE / VERS", lambda x: F.trim(kind(x))), "antenna_type": first("ANT # / TYPE", lambda x: F.trim(kind(x))),
+        "start_time": first("TIME OF FIRST OBS", lambda x: header_time(time(x))), "end_time": first("TIME OF LAST OBS", lambda x: header_time(time(x))),
+    }
+    marked = F.exists(F.slice("lines", 1, 10), lambda line: F.contains(line, F.lit(MARKER)))
+    return headers.select("file_path", "file_name", *[c.alias(name) for name, c in columns.items()], marked.alias("has_marker"), *(["file_hash"] if with_hash else []))
 
 
 def scan_station_info(spark: SparkSession, path: str) -> DataFrame:

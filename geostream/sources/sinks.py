@@ -11,16 +11,29 @@ from pyspark.sql.utils import AnalysisException
 
 from geostream.functions.times import calendar_decimal_year
 from geostream.operators.series import strip_outliers
+from geostream.sources.shared import staged
 
 Sink = Callable[[DataFrame, int], None]
 
 
-def _append(df: DataFrame, path: str, keys: Sequence[str], time: str) -> None:
-    """Append rows whose key is new, partitioned by obs_date; of equal keys one row of this batch.
+def first_of_keys(df: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """The first row of each key by order, which goes; ties, and rows without an order, by all other columns, so that it is always the same row. Groups are aggregated before any shuffle."""
+    rest = [c for c in df.columns if c not in keys and c not in order]
+    if not rest and not order:
+        return df.dropDuplicates(list(keys))
+    place = [x for c in order for x in (F.col(c).isNull(), F.col(c))]
+    first = F.min_by(F.struct(*rest) if rest else F.lit(1), F.struct(*place, *rest)).alias("_first")
+    grouped = df.groupBy(*keys).agg(first)
+    kept = [c for c in df.columns if c in keys or c in rest]
+    return grouped.select(*[F.col(c) if c in keys else F.col(f"_first.{c}").alias(c) for c in kept])
+
+
+def _append(df: DataFrame, path: str, keys: Sequence[str], time: str, order: Sequence[str] = ()) -> None:
+    """Append rows whose key is new, partitioned by obs_date; of equal keys the first of this batch by order (columns of df that aren't written).
 
     Only the days of the batch are read of the target.
     """
-    rows = df.withColumn("obs_date", F.to_date(time)).dropDuplicates(list(keys))
+    rows = first_of_keys(df, keys, order).withColumn("obs_date", F.to_date(time))
     try:
         there = df.sparkSession.read.parquet(path)
     except AnalysisException:
@@ -31,19 +44,19 @@ def _append(df: DataFrame, path: str, keys: Sequence[str], time: str) -> None:
     rows.sortWithinPartitions("obs_date", *keys).write.mode("append").partitionBy("obs_date").parquet(path)
 
 
-def append_velocities(df: DataFrame, path: str) -> None:
+def append_velocities(df: DataFrame, path: str, order: Sequence[str] = ()) -> None:
     """First write wins on (time, station_code)."""
-    _append(df, path, ("time", "station_code"), "time")
+    _append(df, path, ("time", "station_code"), "time", order)
 
 
-def append_displacements(df: DataFrame, path: str) -> None:
+def append_displacements(df: DataFrame, path: str, order: Sequence[str] = ()) -> None:
     """First write wins on (time, station_code)."""
-    _append(df, path, ("time", "station_code"), "time")
+    _append(df, path, ("time", "station_code"), "time", order)
 
 
-def append_events(df: DataFrame, path: str) -> None:
+def append_events(df: DataFrame, path: str, order: Sequence[str] = ()) -> None:
     """Keyed by (station_code, detection_time), so that replays add nothing."""
-    _append(df, path, ("station_code", "detection_time"), "detection_time")
+    _append(df, path, ("station_code", "detection_time"), "detection_time", order)
 
 
 def fan_out(sinks: Sequence[Sink]) -> Sink:
@@ -78,7 +91,7 @@ def write_outliers(df: DataFrame, path: str) -> None:
 
 def write_cleaned_series(original: DataFrame, selection: DataFrame, path: str) -> int:
     """Write the original less the selected epochs; returns how many rows went. Always from the original: running it again is the same."""
-    cleaned = strip_outliers(original, selection)
+    cleaned = staged(strip_outliers(original, selection), "cleaned")
     write_series(cleaned, path)
     return original.count() - cleaned.count()
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from geostream import schemas
 from geostream.functions.text import checksum_ok
 from geostream.functions.times import sentence_time
-from geostream.sources.lines import read_lines
+from geostream.sources.lines import named, read_lines
 
 _VELOCITY = ("vE", "vN", "vU", "varE", "varN", "varU", "covEN", "covEU", "covUN", "cq")
 _DISPLACEMENT = ("dE", "dN", "dU", "varE", "varN", "varU", "covEN", "covEU", "covUN", "cq")
@@ -25,8 +25,8 @@ def stream_nmea(spark: SparkSession, path: str, files_per_trigger: int | None =
     reader = spark.readStream
     reader = reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader
     files = reader.text(path, wholetext=True)
-    lines = files.select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_name").alias("file_name"), F.posexplode(F.split("value", "\r?\n")).alias("pos", "line"))
-    return lines.select("file_path", "file_name", (F.col("pos") + 1).alias("line_no"), F.trim("line").alias("sentence")).filter("sentence != ''")
+    lines = files.select(*named(F.posexplode(F.split("value", "\r?\n")).alias("pos", "line")))
+    return lines.select("file_path", "file_name", (F.col("pos") + 1).cast("long").alias("line_no"), F.trim("line").alias("sentence")).filter("sentence != ''")
 
 
 def route_sentences(lines: DataFrame) -> DataFrame:
