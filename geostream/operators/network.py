@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from geostream.functions.geodesy import antenna_height
 from geostream.functions.times import LONG_NAME_WEEK, gps_week, product_name, year_length
+from geostream.operators.rollups import days_of
+from geostream.operators.series import any_larger
+from geostream.sources.shared import staged
 
 METHODS = ("campaign", "continuous")
 MEASURED_BY = ("manual", "sensor")
@@ -143,11 +146,64 @@ def coverage_report(days: DataFrame, by: Sequence[str] = ("station", "year")) ->
     return out.join(gap_ranges(days, by).withColumn("gaps", range_text(F.col("gaps"))), list(by))
 
 
-def equipment_at(history: DataFrame, probes: DataFrame) -> DataFrame:
-    """probes (station_code, date) with the equipment in place: installed by then, not yet removed; an open end is null, an open start never matches."""
-    h, p = history.alias("h"), probes.alias("p")
-    inside = (F.col("p.date") >= F.col("h.date_installed")) & (F.col("h.date_removed").isNull() | (F.col("p.date") < F.col("h.date_removed")))
-    return p.join(h, (F.col("p.station_code") == F.col("h.station_code")) & inside).select("p.*", *[F.col(f"h.{c}") for c in history.columns if c not in probes.columns])
+def coverage_of_bits(stored: DataFrame, by: Sequence[str] = ("station", "year")) -> DataFrame:
+    """The columns of coverage_report from bitmaps (by, bits; see operators.rollups), in one pass without a shuffle: ranges are read off the bits."""
+    had = stored.withColumn("_days", days_of(F.col("bits"))).withColumn("year_days", year_length(F.col("year")))
+
+    def runs(days: Column) -> Column:
+        starts, ends = F.filter(days, lambda d: ~F.array_contains(days, d - 1)), F.filter(days, lambda d: ~F.array_contains(days, d + 1))
+        return range_text(F.arrays_zip(starts.alias("lo"), ends.alias("hi")))
+
+    gaps = F.array_except(F.sequence(F.lit(1), F.col("year_days")), F.col("_days"))
+    shown = had.withColumn("_gaps", gaps).withColumn("n_days", F.bitmap_count("bits"))
+    return shown.select(*by, "n_days", "year_days", (F.col("n_days") / F.col("year_days")).alias("share"), runs(F.col("_days")).alias("with_data"), runs(F.col("_gaps")).alias("gaps"))
+
+
+#: Days are counted from this many before 1970, so that all dates lie in 0 ... 2**_LEVELS - 1.
+_BEFORE, _LEVELS = 1 << 20, 22
+
+
+def _day(date: Column) -> Column:
+    return (F.unix_date(date) + _BEFORE).cast("long")
+
+
+def cover(lo: Column, hi: Column) -> Column:
+    """Array of (level, node): the fewest aligned blocks of 2**level days that make up the days lo <= d < hi, two of a level at most."""
+
+    def of(k: Column) -> Column:
+        size = F.call_function("shiftleft", F.lit(1).cast("long"), k)
+        left, right = F.call_function("shiftright", lo + size - 1, k), F.call_function("shiftright", hi, k)
+        node = lambda n: F.struct(k.alias("level"), n.alias("node"))
+        return F.array(F.when((left < right) & (left % 2 == 1), node(left)), F.when((left < right) & (right % 2 == 1), node(right - 1)))
+
+    return F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(_LEVELS)), of)))
+
+
+def equipment_at(history: DataFrame, probes: DataFrame, few: int = 64) -> DataFrame:
+    """probes (station_code, date) with the equipment in place: installed by then, not yet removed; an open end is null, an open start never matches.
+
+    Where no station has more than few spells, each probe meets all of its station's. Else spells, within the probes' dates, are
+    cut into aligned blocks of days, some 2 log2 of their length, and a probe lies in one block of each level: the two
+    meet by station, level and block, in exactly one block if at all. A station with many spells and probes makes no
+    product of them, and its rows are dealt by block. Levels that no spell uses have no probes (one row tells which).
+    """
+    spells = history.filter("date_installed is not null")
+    own = [c for c in history.columns if c not in probes.columns]
+    if not any_larger(spells, ("station_code",), few):
+        h, p = spells.alias("h"), probes.alias("p")
+        inside = (F.col("p.date") >= F.col("h.date_installed")) & (F.col("h.date_removed").isNull() | (F.col("p.date") < F.col("h.date_removed")))
+        return p.join(h, (F.col("p.station_code") == F.col("h.station_code")) & inside).select("p.*", *[F.col(f"h.{c}") for c in own])
+    first, last = probes.agg(F.min(_day(F.col("date").cast("date"))), F.max(_day(F.col("date").cast("date")))).first()
+    begin = F.greatest(_day(F.col("date_installed").cast("date")), F.lit(first))
+    end = F.least(_day(F.col("date_removed").cast("date")), F.lit(None if last is None else last + 1))  # a null is left out
+    blocks = staged(spells.select("station_code", *own, F.explode(cover(begin, end)).alias("_block")).select("station_code", *own, F.col("_block.level").alias("_level"), F.col("_block.node").alias("_node")), "spell-blocks")
+    levels = sorted(r[0] for r in blocks.select("_level").distinct().collect())  # 23 at most
+    if not levels:
+        return probes.join(spells.select("station_code", *own), "station_code").filter(F.lit(False)).select(*probes.columns, *own)
+    day = _day(F.col("date").cast("date"))
+    met = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.floor(day / (1 << k)).cast("long").alias("node")) for k in levels]))
+    placed = probes.filter("date is not null").withColumn("_at", met).withColumn("_level", F.col("_at.level")).withColumn("_node", F.col("_at.node")).drop("_at")
+    return placed.join(blocks, ["station_code", "_level", "_node"]).select(*probes.columns, *own)
 
 
 def day_available(status: DataFrame, probes: DataFrame) -> DataFrame:

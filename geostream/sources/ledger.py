@@ -28,52 +28,71 @@ class Table(NamedTuple):
     order: Sequence[str] = ()
 
 
+class Folder:
+    """What Hadoop's file systems do with a folder, and files that are there whole or not at all."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+        self.system = self.path("").getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def uri(self, name: str) -> str:
+        return f"{self.root}/{name}" if name else self.root
+
+    def path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(self.uri(name))
+
+    def exists(self, name: str) -> bool:
+        return self.system.exists(self.path(name))
+
+    def delete(self, name: str) -> None:
+        self.system.delete(self.path(name), True)
+
+    def names(self, name: str) -> list[str]:
+        """Sorted names in a folder, without hidden ones."""
+        return sorted(x for x in (f.getPath().getName() for f in self.system.listStatus(self.path(name))) if x[0] not in "._") if self.exists(name) else []
+
+    def lines(self, name: str) -> list[str]:
+        return [r[0] for r in self.spark.read.text(self.uri(name)).collect()]
+
+    def publish(self, folder: str, name: str, lines: Sequence[str] = ()) -> None:
+        """One new file, by rename: the first to name it has named it."""
+        draft, final = self.path(f"{folder}/.{name}"), self.path(f"{folder}/{name}")
+        out = self.system.create(draft, True)
+        out.write(bytearray("".join(f"{x}\n" for x in lines).encode()))
+        out.close()
+        if self.system.exists(final) or not self.system.rename(draft, final):
+            raise FileExistsError(f"{self.uri(folder)}/{name} is there already")
+
+
 class Ledger:
     def __init__(self, spark: SparkSession, root: str, tables: Mapping[str, Table]):
-        self.spark, self.root, self.tables = spark, root.rstrip("/"), dict(tables)
-        self.system = self._path("").getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def _path(self, name: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
+        self.spark, self.folder, self.tables = spark, Folder(spark, root), dict(tables)
 
     def _folder(self, table: str, entry: str) -> str:
         return f"{table}/batch={entry}"
 
     def _entries(self) -> list[str]:
-        folder = self._path("_ledger")
-        return sorted(x.getPath().getName() for x in self.system.listStatus(folder) if not x.getPath().getName().startswith(".")) if self.system.exists(folder) else []
+        return self.folder.names("_ledger")
 
     def published(self) -> list[str]:
         """Entries that count: the last compaction and the batches after it."""
         entries = self._entries()
         packed = [x for x in entries if x.startswith(PACKED)]
-        with_it = set(self._lines(packed[-1])) if packed else set()
+        with_it = set(self.folder.lines(f"_ledger/{packed[-1]}")) if packed else set()
         return [*packed[-1:], *[x for x in entries if not x.startswith(PACKED) and x not in with_it]]
 
-    def _lines(self, entry: str) -> list[str]:
-        return [r[0] for r in self.spark.read.text(f"{self.root}/_ledger/{entry}").collect()]
-
-    def _publish(self, entry: str, lines: Sequence[str] = ()) -> None:
-        """One new file, by rename: it is there whole or not at all, and the first to name an entry has named it."""
-        draft, final = self._path(f"_ledger/.{entry}"), self._path(f"_ledger/{entry}")
-        out = self.system.create(draft, True)
-        out.write(bytearray("".join(f"{x}\n" for x in lines).encode()))
-        out.close()
-        if not self.system.rename(draft, final) and not self.system.exists(final):
-            raise OSError(f"{entry} can't be named in the ledger")
-
     def read(self, table: str) -> DataFrame | None:
         """The published rows of a table, None before the first batch with rows of it."""
-        folders = [f"{self.root}/{self._folder(table, x)}" for x in self.published() if self.system.exists(self._path(self._folder(table, x)))]
-        return self.spark.read.option("basePath", f"{self.root}/{table}").parquet(*folders).drop("batch") if folders else None
+        folders = [self.folder.uri(f) for f in (self._folder(table, x) for x in self.published()) if self.folder.exists(f)]
+        return self.spark.read.option("basePath", self.folder.uri(table)).parquet(*folders).drop("batch") if folders else None
 
     def _write(self, rows: DataFrame, name: str, entry: str) -> None:
         """rows in their folder of a table, in place of what a lost attempt left there; no folder if there are none."""
         folder = self._folder(name, entry)
-        self.system.delete(self._path(folder), True)
-        rows.sortWithinPartitions("obs_date", *self.tables[name].keys).write.partitionBy("obs_date").parquet(f"{self.root}/{folder}")
-        if not any(x.isDirectory() for x in self.system.listStatus(self._path(folder))):
-            self.system.delete(self._path(folder), True)
+        self.folder.delete(folder)
+        rows.sortWithinPartitions("obs_date", *self.tables[name].keys).write.partitionBy("obs_date").parquet(self.folder.uri(folder))
+        if not self.folder.names(folder):
+            self.folder.delete(folder)
 
     def append(self, batch: str, rows: Mapping[str, DataFrame]) -> bool:
         """Publish a batch: of each table its rows whose keys no published row has, of equal keys the first; False if it has been published before."""
@@ -88,7 +107,7 @@ class Ledger:
                 days = new.select("obs_date").distinct()
                 new = new.join(there.join(days, "obs_date", "left_semi").select(*table.keys), list(table.keys), "left_anti")
             self._write(new, name, batch)
-        self._publish(batch)
+        self.folder.publish("_ledger", batch)
         return True
 
     def compact(self, label: str) -> str:
@@ -98,36 +117,33 @@ class Ledger:
             raise ValueError(f"{entry} is published already")
         done = set(folders)
         for x in folders[:1]:
-            done |= set(self._lines(x)) if x.startswith(PACKED) else set()
+            done |= set(self.folder.lines(f"_ledger/{x}")) if x.startswith(PACKED) else set()
         for name in self.tables:
             rows = self.read(name)
             if rows is not None:
                 self._write(rows.repartition("obs_date"), name, entry)
-        self._publish(entry, sorted(done))
+        self.folder.publish("_ledger", entry, sorted(done))
         return entry
 
     def clean(self) -> list[str]:
         """Delete folders of batches that are published no more, and return them; for a time without readers of an older state and without a batch on its way."""
         keep, gone = {f"batch={x}" for x in self.published()}, []
         for name in self.tables:
-            if self.system.exists(self._path(name)):
-                for x in self.system.listStatus(self._path(name)):
-                    if x.getPath().getName() not in keep and x.getPath().getName().startswith("batch="):
-                        self.system.delete(x.getPath(), True)
-                        gone.append(f"{name}/{x.getPath().getName()}")
+            for x in self.folder.names(name):
+                if x not in keep and x.startswith("batch="):
+                    self.folder.delete(f"{name}/{x}")
+                    gone.append(f"{name}/{x}")
         return sorted(gone)
 
 
 def replace_file(df: DataFrame, folder: str, name: str) -> None:
     """Put a table of a few rows into folder as one file, by a rename over the one before: a reader finds the old or the new."""
-    spark = df.sparkSession
-    jvm, path = spark._jvm, spark._jvm.org.apache.hadoop.fs.Path
-    draft = f"{folder}/_draft"
-    df.coalesce(1).write.mode("overwrite").parquet(draft)
-    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(path(folder).toUri(), spark._jsc.hadoopConfiguration())
-    system = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-    part = next(x.getPath() for x in system.listStatus(path(draft)) if x.getPath().getName().startswith("part-"))
-    how = spark._sc._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    how[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-    files.rename(part, system.makeQualified(path(f"{folder}/{name}")), how)
-    system.delete(path(draft), True)
+    spark, there = df.sparkSession, Folder(df.sparkSession, folder)
+    df.coalesce(1).write.mode("overwrite").parquet(there.uri("_draft"))
+    fs = spark._jvm.org.apache.hadoop.fs
+    files = fs.FileContext.getFileContext(there.system.makeQualified(there.path("")).toUri(), spark._jsc.hadoopConfiguration())
+    part = next(x for x in there.names("_draft") if x.startswith("part-"))
+    how = spark.sparkContext._gateway.new_array(fs.Options.Rename, 1)
+    how[0] = fs.Options.Rename.OVERWRITE
+    files.rename(there.system.makeQualified(there.path(f"_draft/{part}")), there.system.makeQualified(there.path(name)), how)
+    there.delete("_draft")

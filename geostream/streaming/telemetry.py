@@ -15,7 +15,7 @@ from geostream.operators.telemetry import HIGH, IDENTICAL, LOW, TO_MANUAL, TO_MA
 from geostream.sources.telemetry import parse_ldm, parse_lvm, route_sentences
 
 OUTPUT = "station_code string, kind string, time timestamp, east double, north double, up double, horizontal double, source string, peak_velocity double, peak_displacement double, duration double, seq long"
-_STATE = "mode string, bad int, good int, suspect int, frozen boolean, e double, n double, u double, last double, ve double, vn double, open boolean, start double, peak_v double, peak_d double, seq long"
+_STATE = "mode string, bad int, good int, suspect int, frozen boolean, e double, n double, u double, last long, ve double, vn double, open boolean, start long, peak_v double, peak_d double, seq long"
 _HELD = "micros long, kind string, east double, north double, up double, overall_completeness double, file_name string, file_path string, line_no long"
 
 
@@ -218,7 +218,7 @@ class StationProcessor(StatefulProcessor):
         (self._velocity if r.kind == "LVM" else self._displacement)(s, station, r, pd.Timestamp(time), out)
 
     def _velocity(self, s: dict, station: str, r, time: pd.Timestamp, out: list[tuple]) -> None:
-        t = time.timestamp()
+        t = time.value // 1000  # value is in nanoseconds, whatever the unit
         s["ve"], s["vn"] = r.east, r.north
         v = hypot(r.east, r.north)
         out.append((station, "velocity", time, r.east, r.north, r.up, v, None, None, None, None))
@@ -227,9 +227,9 @@ class StationProcessor(StatefulProcessor):
                 s["open"], s["start"], s["peak_v"], s["peak_d"] = True, t, 0.0, 0.0
             s["peak_v"] = max(s["peak_v"], v * 1000)
         elif s["open"]:
-            out.append((station, "event", pd.Timestamp(s["start"], unit="s"), None, None, None, None, None, s["peak_v"], s["peak_d"], t - s["start"]))
+            out.append((station, "event", pd.Timestamp(s["start"], unit="us"), None, None, None, None, None, s["peak_v"], s["peak_d"], (t - s["start"]) / 1e6))
             s["open"] = False
-        dt = None if s["last"] is None else t - s["last"]
+        dt = None if s["last"] is None else (t - s["last"]) / 1e6
         if dt is not None and 0 < dt < self.max_gap and not s["frozen"]:
             for axis, value in zip("enu", (r.east, r.north, r.up)):
                 s[axis] = s[axis] * self.now_decay + value * dt

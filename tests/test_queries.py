@@ -7,6 +7,7 @@ import pytest
 
 import geostream.file_queries  # noqa: F401  adds to the queries
 import geostream.more_queries  # noqa: F401  adds to the queries
+import geostream.state_queries  # noqa: F401  adds to the queries
 from geostream.queries import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
