@@ -62,6 +62,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(names) -> list:
+    """Columns by their names, whatever stands in them."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+
+
 def fold_ascii(col):
     """Lower-case A-Z and nothing else."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -185,14 +190,15 @@ class Shingler:
                     yield np.zeros(0, np.uint64)
 
 
-def least_of_component(component: DataFrame, values: DataFrame, salts: int = 8) -> DataFrame:
+def least_of_component(component: DataFrame, values: DataFrame) -> DataFrame:
     """(node, least) of the nodes of component (node, component): the smallest value, of values (node, value), in its component.
 
-    A component may hold a third of all nodes: its least value is joined to so many parts of it.
+    Least values are a table of one row for each component, whose size Spark knows: it is broadcast if small, and else
+    a component that holds many nodes is split by the join, at any size.
     """
-    own = component.join(values, "node").withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(salts)).cast("int"))
-    least = own.groupBy("component").agg(F.min("value").alias("least")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return own.join(least, ["component", "salt"]).select("node", "least")
+    own = component.join(values, "node")
+    least = stage(own.groupBy("component").agg(F.min("value").alias("least")), "least-of-component")
+    return own.join(least, "component").select("node", "least")
 
 
 def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
-from geostream.llm.common import stage
+from geostream.llm.common import quoted, stage
 
 _FOLD = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _SIGN = 1 << 63
@@ -210,7 +210,7 @@ def exact_survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     own = [(f"keep_{i}", f) for i, f in enumerate(docs.schema.fields)]
     schema = StructType([*ROWS.fields, *(StructField(name, f.dataType, True) for name, f in own)])
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *[F.col(f"`{f.name}`").alias(name) for name, f in own])
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *[c.alias(name) for c, (name, _) in zip(quoted(docs.columns), own)])
     buckets = _directory(rows, bucket_keys, max_depth, digest)
     shared = docs.sparkSession.sparkContext.broadcast(buckets)
     names = [name for name, _ in own]

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from geostream.llm.common import WORD, stage
+from geostream.llm.common import WORD, quoted, stage
 
 
 def word_count(text: Column) -> Column:
@@ -97,7 +97,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     text column -> weight column above 0. No documents: no rows. Reruns give the same result.
     """
     added = ["mix_size", "mix_source_size", "mix_target", "mix_copies"]
-    whole = [F.col(f"`{c}`") for c in docs.columns if c not in added]
+    whole = quoted([c for c in docs.columns if c not in added])
     frame = docs.select("doc_id", "text", "source", F.struct(*whole).alias("row"))  # no column of docs can clash with those made here
     frame = frame.withColumn("mix_size", word_count(F.col("text"))).withColumn("mix_key", sampling_key(F.col("doc_id"), F.col("text"), quality(F.col("text")), seed))
     narrow = stage(frame.select("doc_id", "source", "mix_size", "mix_key"), "mixing")

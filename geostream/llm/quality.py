@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from geostream.llm.common import held_out, label_sample
+from geostream.llm.common import held_out, label_sample, quoted
 
 BITS = 11
 SHAPES = 9
@@ -130,9 +130,10 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), na
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     with_text = "text" in keep
-    docs = docs.select(*keep) if with_text else docs.select(*keep, "text")
-    schema = StructType([*docs.select(*keep).schema.fields, StructField(name, DoubleType())])
-    return docs.mapInArrow(_score(shared, name, with_text), schema)
+    safe = ["text" if c == "text" else f"keep_{i}" for i, c in enumerate(keep)]  # mapInArrow takes no dots in names
+    docs = docs.select(*[c.alias(s) for c, s in zip(quoted(keep), safe)], *([] if with_text else ["text"]))
+    schema = StructType([*docs.select(*safe).schema.fields, StructField("score", DoubleType())])
+    return docs.mapInArrow(_score(shared, "score", with_text), schema).toDF(*keep, name)
 
 
 def classify(docs: DataFrame, labels: DataFrame, column: str = "quality", modulus: int = 3, remainder: int = 1, bad_docs: int = 1500, good_docs: int = 3500, **params) -> DataFrame:

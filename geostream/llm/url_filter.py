@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geostream.llm.common import fold_ascii, stage
+from geostream.llm.common import fold_ascii, quoted, stage
 
 #: (host and path prefix, verdict); a rule holds for its host and all subdomains.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
@@ -96,7 +96,7 @@ def template_purity(counts: DataFrame, prior_pages: float, trust: float, z: floa
     return line.crossJoin(F.broadcast(whole)).select("host", "template", down.alias("purity"))  # one row
 
 
-def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, least_pages: int = 5, few: int = 3, threshold: float = 0.75, prior_pages: float = 2.0, trust: float = 0.75, z: float = 1.96, salts: int = 16) -> DataFrame:
+def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, least_pages: int = 5, few: int = 3, threshold: float = 0.75, prior_pages: float = 2.0, trust: float = 0.75, z: float = 1.96) -> DataFrame:
     """pages with host, path, rule, template, purity and verdict (allow or block) of every row.
 
     The longest rule that fits decides; else the page's template does, blocked if its purity reaches the threshold. Pages
@@ -110,11 +110,9 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, least_page
     known = stage(known, "url-paths")
     placed = stage(templates(known, least_pages, few).join(known, ["host", "path"]), "url-templates")
     purity = template_purity(placed.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked")), prior_pages, trust, z)
-    # Most paths of a large host may have one template: its row is joined to so many parts of them.
-    purity = purity.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    parts = placed.select("host", "path", "template", F.pmod(F.xxhash64("path"), F.lit(salts)).cast("int").alias("part"))
-    of_path = parts.join(purity, ["host", "template", "part"]).select("host", "path", "template", "purity")
+    # One row for each template, of known size: broadcast if small, else the join splits a template with many paths.
+    of_path = placed.select("host", "path", "template").join(stage(purity, "url-purity"), ["host", "template"]).select("host", "path", "template", "purity")
     verdict = F.coalesce("ruled", F.when(F.col("purity") >= threshold, F.lit("block")).otherwise(F.lit("allow")))
     judged = ruled.filter("host != ''").join(of_path, ["host", "path"], "left")
     lone = ruled.filter("host = ''").withColumns({"template": F.lit(None).cast("string"), "purity": F.lit(None).cast("double")})
-    return judged.select(lone.columns).unionByName(lone).withColumn("verdict", verdict).drop("ruled")
+    return judged.select(*quoted(lone.columns)).unionByName(lone).withColumn("verdict", verdict).drop("ruled")

@@ -9,11 +9,12 @@ from collections import Counter
 from itertools import permutations
 from pathlib import Path
 
+import corpus_pipeline
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from geostream.llm import filter_audit, vector_codes, warc
+from geostream.llm import filter_audit, license_scan, url_filter, vector_codes, warc
 from geostream.llm.common import scratch
 
 # --- WARC ---
@@ -267,3 +268,61 @@ def test_audit_of_other_filters(spark):
     assert {tuple(r) for r in got.collect()} >= {("a", "XY", 1, 1, 2, 0, 1, 1, 3), ("a", "XY", 2, 1, 0, 1, 0, 0, 1), ("b", "YX", 1, 0, 1, 0, 1, 1, 2), ("b", "YX", 2, 0, 0, 0, 0, 0, 0)}
     with pytest.raises(ValueError):
         filter_audit.audit_orders(masks, "ABCDEFGH", {})
+
+
+# --- licences that need telling apart ---
+
+
+def test_licences_that_need_telling_apart(spark):
+    r = random.Random(21)
+    vocabulary = [f"wort{i}" for i in range(60)] + "the of and to in a is that for it as with on by at this be are from or an under terms".split()
+    prose = lambda n: " ".join(r.choice(vocabulary) for _ in range(n))
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
+    said = {
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License": ["cc-by-nc-sa"],
+        "Licensed under CC BY-NC-SA 4.0": ["cc-by-nc-sa"],
+        "SPDX-License-Identifier: CC-BY-NC-SA-4.0": ["cc-by-nc-sa"],
+        "SPDX-License-Identifier: CC-BY-NC-ND-4.0": ["cc-by-nc-nd"],
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License": ["cc-by-nc"],
+        "Licensed under CC BY-SA 4.0": ["cc-by-sa"],
+        f"Copyright (c) 2011, The Authors. All rights reserved. {bsd}": ["bsd"],
+        "Copyright (c) 2014 Example Corporation. All rights reserved.": ["proprietary"],
+        "that all rights reserved to the states remain with the people": [],
+        "SPDX-License-Identifier: MIT OR Apache-2.0": ["apache-2.0", "mit"],
+        "SPDX-License-Identifier: Apache-2.0 OR MIT": ["apache-2.0", "mit"],
+        "Licensed under the MIT license or the Apache License, Version 2.0": ["apache-2.0", "mit"],
+        "It is not released under the MIT License": [],
+        "this library was never licensed under the Apache License, Version 2.0": [],
+        "Licensed under the Eclipse Public License 2.0": ["epl"],
+        "SPDX-License-Identifier: EUPL-1.2": ["eupl"],
+        "SPDX-License-Identifier: Artistic-2.0": ["artistic-2.0"],
+        "SPDX-License-Identifier: GPL-2.0": ["gpl"],
+        "This work is licensed under the GNU Lesser General Public License, version 3": ["lgpl"],
+        "Released under the MIT License": ["mit"],
+    }
+    rows = [(i, "\n\n".join(prose(r.randint(20, 60)) for _ in range(4))) for i in range(100)]
+    rows += [(1000 + 10 * i + k, text if k == 0 else f"{prose(12)}\n{text}.\n{prose(25)}") for i, text in enumerate(said) for k in range(3)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    model = license_scan.fit(frame)
+    got = {x.doc_id: x.licenses for x in license_scan.scan(frame, model).collect()}
+    assert {(text, k): got[1000 + 10 * i + k] for i, text in enumerate(said) for k in range(3)} == {(text, k): own for text, own in said.items() for k in range(3)}
+    assert all(got[i] == [] for i in range(100))
+    found = license_scan.classified(license_scan.candidates(frame, model.templates).filter("found is not null"), model)
+    assert found.filter(F.col("licensed") < model.threshold).select("doc_id").distinct().count() >= 9  # confirmed by a template, unknown to the classifier
+
+
+# --- columns with dots ---
+
+
+def test_columns_with_dots_pass_through(spark, tmp_path):
+    r = random.Random(5)
+    rows = [(i, " ".join(r.choice(["haus", "baum", "see", "weg", "tal", "berg"]) + str(r.randrange(40)) for _ in range(60)), "de", "s", 1, i, f"x{i}", i * 2) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, `a.b` long, `c d` string, `doc_id.x` long")
+    spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "a.b", "c d", "doc_id.x"]
+    assert docs.count() >= 30 and all(x["a.b"] == x.doc_id and x["doc_id.x"] == 2 * x.doc_id for x in docs.collect())
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() > 0
+    pages = spark.createDataFrame([(1, "http://a.net/x", 5), (2, "http://b.de/y", 6)], "page_id long, url string, `a.b` long")
+    assert {(x.page_id, x["a.b"]) for x in url_filter.judge(pages).collect()} == {(1, 5), (2, 6)}
