@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geostream.llm import exact_dedup, mixing, near_dup, packing, quality
-from geostream.llm.common import captured, held_out, label_sample, release, stage, table
+from geostream.llm.common import captured, held_out, label_sample, quoted, release, stage, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +23,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     labels = table(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id"), 3, 1))
     model = quality.fit(label_sample(docs, labels, "quality", {0: 1500, 1: 3500}))
     name = "score_" + "_".join(docs.columns)  # no column of docs has it
-    return quality.score(docs, model, tuple(docs.columns), name).filter(F.col(name) >= 0.5).select(*docs.columns)
+    return quality.score(docs, model, tuple(docs.columns), name).filter(quoted([name])[0] >= 0.5).select(*quoted(docs.columns))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     stay; very long texts are compared by all their shingles.
     """
     kept = near_dup.near_duplicates(docs, **NEAR).filter("kept and doc_id is not null").select("doc_id").distinct()
-    return docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").select(docs.columns).unionByName(docs.filter("doc_id is null"))
+    return docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").select(*quoted(docs.columns)).unionByName(docs.filter("doc_id is null"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +55,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     A null or empty text has no words and is taken in complete epochs only; a null source is a source of its own; a very
     long text counts whole; repeated rows are taken each for itself.
     """
-    rows = docs.select("doc_id", "text", "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"))
+    rows = docs.select("doc_id", "text", "source", F.struct(*quoted(docs.columns)).alias("whole"))
     mixed = mixing.mix(rows).filter("mix_copies > 0")
     return mixed.select("whole", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select("whole.*")
 
