@@ -33,6 +33,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """df dealt to all cores where its files have fewer splits than there are cores, for work that outweighs a shuffle of its rows."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 # --- series -------------------------------------------------------------------------------------------------------
 
 _SERIES = """
@@ -210,7 +216,7 @@ def first_write_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("SELECT event_id, make_timestamp(epoch_us(ts) // 10000 * 10000) AS time, round(value * 0.0006, 6) AS v_east, round(value * 0.0008, 6) AS v_north, user_id % 30 AS n_sats FROM events")
 def nmea_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events written as sentences with checksums and parsed again."""
-    e = _table(spark, sf_dir, "events")
+    e = _spread(_table(spark, sf_dir, "events"))
     number = lambda x: F.format_string("%.6f", x)
     zero = F.lit("0.00000")
     body = F.concat_ws(",", F.lit("GNLVM"), F.date_format("ts", "HHmmss.SS"), F.date_format("ts", "MMddyy"), number(F.col("value") * 0.0006), number(F.col("value") * 0.0008), number(F.col("value") * 0.0001), *[zero] * 6, F.lit("0.0100"), (F.col("user_id") % 30).cast("string"))

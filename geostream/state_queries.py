@@ -11,13 +11,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from geostream.functions import text
-from geostream.operators import archive, network, rollups, telemetry
+from geostream.operators import archive, network, rollups, series, telemetry
 from geostream.plans import jobs
-from geostream.queries import _DAYS, _RUNS, _days, _query, _rollup_sql, _table, _velocities
+from geostream.queries import _DAYS, _RUNS, _days, _query, _rollup_sql, _spread, _table, _velocities
 from geostream.file_queries import _once
 from geostream.sources import archive as archive_sources
+from geostream.sources import lines
 from geostream.sources import telemetry as sentences
-from geostream.sources.shared import scratch_path
+from geostream.sources.shared import scratch_path, staged
 from geostream.streaming import telemetry as live
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -98,7 +99,7 @@ round(hypot_, 6) AS d_horizontal, (event_id % 2)::INT AS reset_indicator, round(
 FROM (SELECT *, sqrt(round(value * 0.0006, 6) ** 2 + round(value * 0.0008, 6) ** 2) AS hypot_ FROM events) WHERE event_type = 'view'""")
 def ldm_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Displacements written as sentences, parsed, and named as in their table."""
-    lines = _motion(_table(spark, sf_dir, "events").repartition(spark.sparkContext.defaultParallelism)).select("event_id", F.col("user_id").cast("string").alias("station_code"), "sentence")
+    lines = _motion(_spread(_table(spark, sf_dir, "events"))).select("event_id", F.col("user_id").cast("string").alias("station_code"), "sentence")
     good, _ = sentences.parse_ldm(sentences.route_sentences(lines).filter("kind = 'LDM'"))
     keys = good.select("event_id", "station_code", "time", _ntz("start_time"), "reset_indicator")
     rows = sentences.to_displacement_rows(good.withColumn("station_code", F.col("event_id").cast("string"))).withColumnsRenamed({"station_code": "event_id", "time": "_time"})
@@ -220,3 +221,30 @@ def own_extractor(spark: SparkSession, sf_dir: str) -> DataFrame:
     finally:
         archive.EXTRACTORS.pop(0)
     return rows.select(F.col("name").alias("url"), F.col("fields")["kind"].alias("kind"), F.col("fields")["host"].alias("host"))
+
+
+@_query("""SELECT l_returnflag, l_linestatus, round(quantile_cont(l_extendedprice, 0.25::DOUBLE), 6) AS price_low, round(quantile_cont(l_extendedprice, 0.75::DOUBLE), 6) AS price_high, round(quantile_cont(l_quantity, 0.25::DOUBLE), 6) AS quantity_low, round(quantile_cont(l_quantity, 0.75::DOUBLE), 6) AS quantity_high FROM lineitem GROUP BY 1, 2""")
+def large_quartiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact quartiles of few, large groups: ranks bracketed by a sketch, one column with many ties."""
+    q = series.group_quantiles(_table(spark, sf_dir, "lineitem"), ("l_returnflag", "l_linestatus"), ("l_extendedprice", "l_quantity"), (0.25, 0.75))
+    pick = lambda c, i, name: F.round(F.get(f"q_{c}", F.lit(i)), 6).alias(name)
+    return q.select("l_returnflag", "l_linestatus", pick("l_extendedprice", 0, "price_low"), pick("l_extendedprice", 1, "price_high"), pick("l_quantity", 0, "quantity_low"), pick("l_quantity", 1, "quantity_high"))
+
+
+@_query("SELECT l_suppkey % 40 AS file, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_suppkey % 40 ORDER BY l_orderkey, l_linenumber) AS line_no FROM lineitem")
+def lines_over_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line numbers of forty files of line items, read by splits of 4 kB."""
+
+    def write(path: str) -> None:
+        rows = _table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 40).alias("file"), "l_orderkey", "l_linenumber", F.concat_ws(" ", "l_orderkey", "l_linenumber", "l_extendedprice").alias("value"))
+        rows.repartition("file").sortWithinPartitions("file", "l_orderkey", "l_linenumber").select("file", "value").write.partitionBy("file").text(path)
+
+    folder, size = _once(spark, sf_dir, "items", write), "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "4k")
+    try:
+        read, part = lines.read_lines(spark, folder, whole=-1), F.split("line", " ")
+        file = F.regexp_extract("file_path", "file=([0-9]+)/", 1).cast("long")
+        return staged(read.select(file.alias("file"), F.get(part, 0).cast("long").alias("l_orderkey"), F.get(part, 1).cast("long").alias("l_linenumber"), "line_no"), "lines")
+    finally:
+        spark.conf.set(size, before)
