@@ -10,13 +10,13 @@ from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from geostream.functions import text
+from geostream.functions import geodesy, text
 from geostream.operators import archive, network, rollups, series, telemetry
 from geostream.plans import jobs
 from geostream.queries import _DAYS, _RUNS, _days, _query, _rollup_sql, _spread, _table, _velocities
 from geostream.file_queries import _once
 from geostream.sources import archive as archive_sources
-from geostream.sources import lines
+from geostream.sources import coordinates, lines
 from geostream.sources import telemetry as sentences
 from geostream.sources.shared import scratch_path, staged
 from geostream.streaming import telemetry as live
@@ -248,3 +248,28 @@ def lines_over_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
         return staged(read.select(file.alias("file"), F.get(part, 0).cast("long").alias("l_orderkey"), F.get(part, 1).cast("long").alias("l_linenumber"), "line_no"), "lines")
     finally:
         spark.conf.set(size, before)
+
+
+@_query("""SELECT c_custkey AS row, c_custkey % 180 + 0.25::DOUBLE AS lon1, c_nationkey + 0.5::DOUBLE AS lat1, c_custkey % 180 + 1.25::DOUBLE AS lon2, c_nationkey + 1.5::DOUBLE AS lat2,
+round(c_acctbal, 2) AS obs, round(c_acctbal + 3, 2) AS cal, round(7 - c_acctbal, 2) AS res FROM customer""")
+def baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Baselines from four tables that belong together by line."""
+
+    def write(path: str) -> None:
+        c = _table(spark, sf_dir, "customer").orderBy("c_custkey").coalesce(1)
+        ends = F.format_string("%.2f %.1f %.2f %.1f", F.col("c_custkey") % 180 + 0.25, F.col("c_nationkey") + 0.5, F.col("c_custkey") % 180 + 1.25, F.col("c_nationkey") + 1.5)
+        cents = lambda x: F.format_string("%.2f", F.round(x, 2))
+        for name, value in (("ends", ends), ("obs", cents(F.col("c_acctbal"))), ("cal", cents(F.col("c_acctbal") + 3)), ("res", cents(7 - F.col("c_acctbal")))):
+            c.select(value.alias("value")).write.text(f"{path}/{name}")
+
+    folder = _once(spark, sf_dir, "baselines", write)
+    rows = coordinates.read_baselines(spark, *[f"{folder}/{name}/part-*" for name in ("ends", "obs", "cal", "res")])
+    first = _table(spark, sf_dir, "customer").agg(F.min("c_custkey").alias("first"))
+    return rows.crossJoin(first).select((F.col("row") - 1 + F.col("first")).cast("long").alias("row"), "lon1", "lat1", "lon2", "lat2", "obs", "cal", "res")  # one row
+
+
+@_query("SELECT event_id, round(value * 0.6 * sin(radians(35)) + value * 0.8 * cos(radians(35)), 6) + 0.0 AS along, round(value * 0.6 * cos(radians(35)) - value * 0.8 * sin(radians(35)), 6) + 0.0 AS across FROM events")
+def along_azimuth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of velocities along an azimuth of 35 degrees and to its right."""
+    along, across = geodesy.azimuth_components(F.col("value") * 0.6, F.col("value") * 0.8, 35.0)
+    return _table(spark, sf_dir, "events").select("event_id", (F.round(along, 6) + 0.0).alias("along"), (F.round(across, 6) + 0.0).alias("across"))
