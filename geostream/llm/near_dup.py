@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geostream.llm.common import Shingler, connected_components, least_of_component, mix64, stage
-from geostream.llm.units import by_unit, cross_units, dealt, home_units, longs
+from geostream.llm.units import by_unit, cross_units, dealt, home_units, longs, strays_of
 
 
 class SetSketch:
@@ -81,7 +81,7 @@ def _fingerprint(own: np.ndarray) -> bytes:
 class _Unit:
     """Rows of a unit of one band; finds the likely partners of one row at a time among those that it has to meet here.
 
-    A pair meets in the first band that it shares only. Rows of other chunks of the bucket (side 2) meet those at home;
+    A pair meets in the first band that it shares only (in any, if band is negative). Rows of other chunks of the bucket (side 2) meet those at home;
     of two strays, the one with the smaller node is the guest.
     """
 
@@ -113,7 +113,7 @@ class _Unit:
         above = (own > there).sum(1)
         good = self.sketch.likely(above, self.sketch.size - equal - above, self.n[i], self.n[rows], self.least)
         bands = same[good].reshape(-1, self.sketch.size // self.rows, self.rows).all(2)
-        first = bands[:, self.band] & ~bands[:, : self.band].any(1)
+        first = bands[:, self.band] & ~bands[:, : self.band].any(1) if self.band >= 0 else bands.any(1)
         return rows[good][first][np.argsort(-equal[good][first], kind="stable")]
 
 
@@ -180,6 +180,70 @@ def _own_text(width: int):
     return run
 
 
+#: Cells in which shingles are counted: the rarer ones are told from the frequent ones by so many counts at most.
+CELLS = 18
+
+
+def _count_cells(width: int):
+    """Number of shingles in each cell, of a task's texts."""
+
+    def run(batches):
+        shingler, counts = Shingler(width), np.zeros(1 << CELLS, np.int64)
+        for batch in batches:
+            for own in shingler.rows(batch.column("text")):
+                np.add.at(counts, (own >> np.uint64(64 - CELLS)).astype(np.int64), 1)
+        cells = np.flatnonzero(counts)
+        yield longs([cells, counts[cells]], ["cell", "n"])
+
+    return run
+
+
+def prefix_lengths(n: int, numerator: int, denominator: int) -> tuple[int, int]:
+    """(probe, index): how many of the first of n shingles, in any order common to all sets, hold one that is common too.
+
+    Of two sets with denominator * intersection >= numerator * union, their first common shingle is among the first probe
+    of the larger one, as they share at least numerator / denominator of it, and among the first index of the smaller one,
+    as they share at least 2 * numerator / (numerator + denominator) of that. Of equal sizes, either way round.
+    """
+    return n - -(-numerator * n // denominator) + 1, n - -(-2 * numerator * n // (numerator + denominator)) + 1
+
+
+def _prefixes(width: int, counts: np.ndarray, numerator: int, denominator: int, most: int = 1 << 19):
+    """The first shingles of each set, rarest cells first: (node, group, bucket, indexed)."""
+
+    def run(batches):
+        shingler = Shingler(width)
+        for batch in batches:
+            held, size = [], 0
+            for node, group, own in zip(batch.column("node").to_pylist(), batch.column("group").to_pylist(), shingler.rows(batch.column("text"))):
+                probe, index = prefix_lengths(len(own), numerator, denominator)
+                first = own[np.lexsort((own, counts[(own >> np.uint64(64 - CELLS)).astype(np.int64)]))[:probe]]
+                held.append([np.full(probe, node), np.full(probe, group), first.view(np.int64), np.arange(probe) < index])
+                size += probe
+                if size > most:
+                    yield longs([np.concatenate(c) for c in zip(*held)], ["node", "group", "bucket", "indexed"])
+                    held, size = [], 0
+            if held:
+                yield longs([np.concatenate(c) for c in zip(*held)], ["node", "group", "bucket", "indexed"])
+
+    return run
+
+
+def _by_rare_shingles(rows: DataFrame, width: int, numerator: int, denominator: int) -> DataFrame:
+    """(bucket, node) of rows (node, group, text): buckets of a shingle in which rows of several groups may link.
+
+    Whatever pair links has its first common shingle in the prefixes of both, so that none is lost; shingles that many sets
+    share come last and are seldom there. The order goes by the counts of 2^CELLS cells of shingles, which reach the
+    driver and the tasks; ties of cells only cost time.
+    """
+    counts = np.zeros(1 << CELLS, np.uint32)
+    for cell, n in rows.select("text").mapInArrow(_count_cells(width), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        counts[cell] = min(n, 0xFFFFFFFF)
+    held = stage(rows.select("node", "group", "text").mapInArrow(_prefixes(width, counts, numerator, denominator), "node long, group long, bucket long, indexed long"), "sketch-prefixes")
+    several = held.groupBy("bucket").agg(F.min("group").alias("least"), F.max("group").alias("most"), F.max("indexed").alias("indexed")).filter("least < most and indexed = 1")
+    return held.join(several.select("bucket"), "bucket", "left_semi").select("bucket", "node")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, rows: int = 5, bands: int = 20, first_bands: int = 4, slack: float = 0.15, chunk: int = 512) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row.
 
@@ -192,8 +256,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, rows: in
     estimate may lie below the threshold for a pair to be verified (4 standard deviations of it).
 
     Buckets have no cap. Their rows meet in units of about chunk rows; in a larger bucket, what its largest component does
-    not hold then meets the other chunks (see units), so that a bucket of near copies costs in proportion to its rows. A
-    large bucket of texts that share a band but don't link costs the square of its rows by chunk.
+    not hold then meets the other chunks (see units), so that a bucket of near copies costs in proportion to its rows. If
+    that is more than a unit, as where texts share a template without linking, the bucket is split by the rarest shingles
+    of its rows: only what shares one of them, as every pair that links does, and a band meets, and the cost is in
+    proportion to the rows but for shingles that are in the prefixes of more than a unit of rows of several components.
     """
     sketch, threshold = SetSketch(rows * bands), percent / 100
     least = threshold - slack
@@ -235,8 +301,21 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, rows: in
     rest = flagged(grouped(likely.filter(F.col("band") >= first_bands), component))
     component = joined(component, links(rest, texts))
     if not large.isEmpty():
-        across = stage(flagged(cross_units(grouped(large, component), chunk, ("band",))), "sketch-across")
+        apart = stage(grouped(large, component), "sketch-apart")
+        strays = strays_of(apart)
+        few = apart.join(strays.filter(F.col("strays") <= chunk).select("bucket"), "bucket", "left_semi")
+        across = stage(flagged(cross_units(few, chunk, ("band",))), "sketch-across")
+        many = stage(apart.join(strays.filter(F.col("strays") > chunk).select("bucket"), "bucket", "left_semi").select("node", "group").distinct(), "sketch-many")
         component = joined(component, links(across, texts))
+        if not many.isEmpty():
+            hits = _by_rare_shingles(many.join(texts, "node"), width, percent, 100).withColumn("band", F.lit(-1))
+            homes = stage(home_units(hits, chunk, ("band",)), "sketch-rare-homes")
+            likely = stage(flagged(grouped(homes.withColumn("side", F.lit(0)).select("unit", "band", "side", "node"), component)), "sketch-rare-likely")
+            component = joined(component, links(likely, texts))
+            large = homes.filter("chunks > 1 and deal = 0")
+            if not large.isEmpty():
+                across = stage(flagged(cross_units(grouped(large, component), chunk, ("band",))), "sketch-rare-across")
+                component = joined(component, links(across, texts))
     least_id = least_of_component(component, nodes.select("node", F.col("first").alias("value")))
     of_set = nodes.select("node", "set_key", "first").join(least_id, "node", "left").select("set_key", F.coalesce("least", "first").alias("component_id"))
     linked = known.select("doc_id", "n_shingles", "set_key").join(of_set, "set_key").select("doc_id", "n_shingles", "component_id")

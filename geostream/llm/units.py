@@ -36,6 +36,12 @@ def home_units(hits: DataFrame, chunk: int, keep: tuple[str, ...] = ()) -> DataF
     return rows.select(F.xxhash64("bucket", "deal", "chunk").alias("unit"), "bucket", "chunks", "deal", "chunk", "node", *keep)
 
 
+def strays_of(homes: DataFrame) -> DataFrame:
+    """(bucket, largest, strays) of buckets with several groups: the largest one, and the number of rows that aren't in it."""
+    groups = homes.groupBy("bucket", "group").agg(F.count("*").alias("n"))
+    return groups.groupBy("bucket").agg(F.max_by("group", F.struct("n", "group")).alias("largest"), (F.sum("n") - F.max("n")).alias("strays")).filter("strays > 0")
+
+
 def cross_units(homes: DataFrame, chunk: int, keep: tuple[str, ...] = ()) -> DataFrame:
     """(unit, side, chunk, node, group, *keep) in which the rows of a bucket meet those of its other chunks, for components.
 
@@ -44,9 +50,7 @@ def cross_units(homes: DataFrame, chunk: int, keep: tuple[str, ...] = ()) -> Dat
     largest group, 1 strays). n rows with s strays make about 2 n s / chunk + n rows: in proportion to n where the bucket
     is one group but for some strays.
     """
-    groups = homes.groupBy("bucket", "group").agg(F.count("*").alias("n"))
-    largest = groups.groupBy("bucket").agg(F.max_by("group", F.struct("n", "group")).alias("largest"), (F.sum("n") - F.max("n")).alias("strays")).filter("strays > 0")
-    rows = homes.join(largest, "bucket").withColumn("parts", F.ceil(F.col("strays") / chunk).cast("int")).withColumn("side", (F.col("group") != F.col("largest")).cast("int"))
+    rows = homes.join(strays_of(homes), "bucket").withColumn("parts", F.ceil(F.col("strays") / chunk).cast("int")).withColumn("side", (F.col("group") != F.col("largest")).cast("int"))
     at_home = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("host", F.col("chunk"))
     guests = rows.filter("side = 1").withColumn("side", F.lit(2)).withColumn("part", F.pmod(F.xxhash64("node", "bucket", F.lit(7)), F.col("parts")).cast("int"))
     guests = guests.withColumn("host", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).filter("host != chunk")

@@ -93,6 +93,63 @@ def test_near_duplicates_in_one_large_bucket(spark):
     assert Counter((x.doc_id, x.n_shingles, x.component_id) for x in got) == near_brute(rows)
 
 
+@pytest.mark.parametrize("numerator,denominator", [(85, 100), (80, 100), (1, 2)])
+def test_prefixes_hold_a_common_shingle(numerator, denominator):
+    r = random.Random(5)
+    for _ in range(3000):
+        a, b = (set(r.sample(range(30), r.randint(1, 30))) for _ in range(2))
+        a, b = sorted((a, b), key=len)
+        if denominator * len(a & b) >= numerator * len(a | b):
+            probe, index = near_dup.prefix_lengths(len(b), numerator, denominator)[0], near_dup.prefix_lengths(len(a), numerator, denominator)[1]
+            assert set(sorted(b)[:probe]) & set(sorted(a)[:index])
+            assert 1 <= index <= len(a) and probe <= len(b)
+
+
+def templated(n):
+    """Texts that share 150 words and have some 30 of their own, and for each tenth a variant that links to it."""
+    r = random.Random(31)
+    shared, rows = [f"s{k}" for k in range(150)], []
+    for i in range(n):
+        own = [f"w{i}x{k}" for k in range(r.randint(25, 40))]
+        rows.append((10 * i, " ".join(shared + own)))
+        if i % 10 == 0:
+            rows.append((10 * i + 5, " ".join(shared + own[:-1] + ["other"])))
+    return rows
+
+
+def test_near_duplicates_of_templated_texts(spark, monkeypatch):
+    """Texts that share bands without linking cost in proportion to their number, and lose no link."""
+    met = []
+
+    def counted(rows):
+        met.append(rows.count())
+        return units.dealt(rows)
+
+    monkeypatch.setattr(near_dup, "dealt", counted)
+    rows_of = {}
+    for n in (150, 600):
+        rows, met[:] = templated(n), []
+        got = near_dup.near_duplicates(docs(spark, rows).repartition(4), chunk=16).collect()
+        assert Counter((x.doc_id, x.n_shingles, x.component_id) for x in got) == near_brute(rows)
+        rows_of[n] = sum(met)
+    assert rows_of[600] < 5 * rows_of[150]
+
+
+def test_near_duplicates_split_by_shingles_that_many_share(spark, monkeypatch):
+    """The path by rare shingles alone, its buckets many times the size of a unit, against brute force."""
+    monkeypatch.setattr(near_dup, "strays_of", lambda homes: units.strays_of(homes).withColumn("strays", F.lit(10**6)))
+    r = random.Random(8)
+    base = prose(r, 60).split()
+    rows = []
+    for i in range(150):
+        own = list(base)
+        for k in range(3):  # about as far from each other as the threshold
+            own[(5 + 20 * k + i) % 60] = f"y{i % 11}"
+        rows.append((i, " ".join(own)))
+    got = near_dup.near_duplicates(docs(spark, rows).repartition(4), chunk=4).collect()
+    assert Counter((x.doc_id, x.n_shingles, x.component_id) for x in got) == near_brute(rows)
+
+
 # --- edge rows for all ---
 
 
