@@ -306,12 +306,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, rows: in
         few = apart.join(strays.filter(F.col("strays") <= chunk).select("bucket"), "bucket", "left_semi")
         across = stage(flagged(cross_units(few, chunk, ("band",))), "sketch-across")
         many = stage(apart.join(strays.filter(F.col("strays") > chunk).select("bucket"), "bucket", "left_semi").select("node", "group").distinct(), "sketch-many")
-        component = joined(component, links(across, texts))
-        if not many.isEmpty():
+        more = links(across, texts)
+        if many.isEmpty():
+            component = joined(component, more)
+        else:
             hits = _by_rare_shingles(many.join(texts, "node"), width, percent, 100).withColumn("band", F.lit(-1))
             homes = stage(home_units(hits, chunk, ("band",)), "sketch-rare-homes")
             likely = stage(flagged(grouped(homes.withColumn("side", F.lit(0)).select("unit", "band", "side", "node"), component)), "sketch-rare-likely")
-            component = joined(component, links(likely, texts))
+            component = joined(component, more.union(links(likely, texts)))
             large = homes.filter("chunks > 1 and deal = 0")
             if not large.isEmpty():
                 across = stage(flagged(cross_units(grouped(large, component), chunk, ("band",))), "sketch-rare-across")
