@@ -149,14 +149,15 @@ def coverage_report(days: DataFrame, by: Sequence[str] = ("station", "year")) ->
 def coverage_of_bits(stored: DataFrame, by: Sequence[str] = ("station", "year")) -> DataFrame:
     """The columns of coverage_report from bitmaps (by, bits; see operators.rollups), in one pass without a shuffle: ranges are read off the bits."""
     had = stored.withColumn("_days", days_of(F.col("bits"))).withColumn("year_days", year_length(F.col("year")))
-
-    def runs(days: Column) -> Column:
-        starts, ends = F.filter(days, lambda d: ~F.array_contains(days, d - 1)), F.filter(days, lambda d: ~F.array_contains(days, d + 1))
-        return range_text(F.arrays_zip(starts.alias("lo"), ends.alias("hi")))
-
-    gaps = F.array_except(F.sequence(F.lit(1), F.col("year_days")), F.col("_days"))
-    shown = had.withColumn("_gaps", gaps).withColumn("n_days", F.bitmap_count("bits"))
-    return shown.select(*by, "n_days", "year_days", (F.col("n_days") / F.col("year_days")).alias("share"), runs(F.col("_days")).alias("with_data"), runs(F.col("_gaps")).alias("gaps"))
+    before = lambda i: F.get("_days", i - 1)
+    starts = F.filter("_days", lambda d, i: (i == 0) | (before(i) < d - 1))
+    ends = F.filter("_days", lambda d, i: (i == F.size("_days") - 1) | (F.get("_days", i + 1) > d + 1))
+    runs = F.arrays_zip(starts.alias("lo"), ends.alias("hi"))
+    # Each day begins what lies between it and the day before, and the end of the year what lies behind the last.
+    bounds = F.concat("_days", F.array(F.col("year_days") + 1))
+    lacking = F.transform(bounds, lambda d, i: F.struct((F.when(i == 0, 0).otherwise(before(i)) + 1).alias("lo"), (d - 1).alias("hi")))
+    shown = had.withColumn("n_days", F.bitmap_count("bits"))
+    return shown.select(*by, "n_days", "year_days", (F.col("n_days") / F.col("year_days")).alias("share"), range_text(runs).alias("with_data"), range_text(F.filter(lacking, lambda x: x["lo"] <= x["hi"])).alias("gaps"))
 
 
 #: Days are counted from this many before 1970, so that all dates lie in 0 ... 2**_LEVELS - 1.

@@ -7,7 +7,7 @@ and the batches that are in them by one file: a batch counts once, whenever a re
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geostream.sources.ledger import Folder
@@ -94,19 +94,39 @@ class RollupStore:
         return None if state is None else finished(state if width is None else merged(state, width))
 
 
+#: Days of a bitmap that one whole number holds while bitmaps are made: seven bytes; seven of them make up the 46 bytes and three more.
+_WORD, _WORDS = 56, 7
+
+
+def _bits(words: list[Column]) -> Column:
+    """The 46 bytes of _WORDS whole numbers, the first byte of each being its highest."""
+    return F.substring(F.concat(*[F.unhex(F.lpad(F.hex(F.coalesce(w, F.lit(0))), _WORD // 4, "0")) for w in words]), 1, 46)
+
+
 def day_bits(days: DataFrame, by: tuple[str, ...] = ("station", "year")) -> DataFrame:
-    """(by, bits): a bitmap of the days of year (doy, 1 to 366) of each station-year, 46 bytes; days may repeat. Null days don't count."""
-    return days.filter(F.col("doy").between(1, 366)).groupBy(*by).agg(F.substring(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("doy").cast("long") + 1)), 1, 46).alias("bits"))
+    """(by, bits): a bitmap of the days of year (doy, 1 to 366) of each station-year, 46 bytes; days may repeat. Null days don't count.
+
+    Bits are gathered in whole numbers: Spark's bitmap aggregates have a buffer of 4 KB for each group.
+    """
+    day = F.col("doy").cast("long")
+    place = (8 * (_WORD // 8 - 1 - F.floor(day % _WORD / 8)) + day % 8).cast("int")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), place)
+    words = [F.bit_or(F.when(F.floor(day / _WORD) == k, bit)).alias(f"_w{k}") for k in range(_WORDS)]
+    return days.filter(F.col("doy").between(1, 366)).groupBy(*by).agg(*words).select(*by, _bits([F.col(f"_w{k}") for k in range(_WORDS)]).alias("bits"))
 
 
 def merged_bits(bits: DataFrame, by: tuple[str, ...] = ("station", "year")) -> DataFrame:
-    return bits.groupBy(*by).agg(F.substring(F.bitmap_or_agg("bits"), 1, 46).alias("bits"))
+    word = lambda k: F.conv(F.rpad(F.hex(F.substring("bits", k * _WORD // 8 + 1, _WORD // 8)), _WORD // 4, "0"), 16, 10).cast("long")
+    words = [F.bit_or(word(k)).alias(f"_w{k}") for k in range(_WORDS)]
+    return bits.groupBy(*by).agg(*words).select(*by, _bits([F.col(f"_w{k}") for k in range(_WORDS)]).alias("bits"))
 
 
-def days_of(bits) -> F.Column:
-    """The days of a bitmap as a sorted array."""
-    byte = lambda d: F.conv(F.hex(F.substring(bits, F.floor(d / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return F.filter(F.sequence(F.lit(1), F.lit(366)), lambda d: F.getbit(byte(d), F.pmod(d, F.lit(8))) == 1)
+def days_of(bits) -> Column:
+    """The days of a bitmap as a sorted array; bytes without a day cost one comparison."""
+    at = lambda k: F.substring(bits, k + 1, F.lit(1))
+    used = F.filter(F.sequence(F.lit(0), F.lit(45)), lambda k: at(k) != F.lit(b"\x00"))
+    byte = F.transform(used, lambda k: F.struct(k.alias("k"), F.conv(F.hex(at(k)), 16, 10).cast("int").alias("b")))
+    return F.flatten(F.transform(byte, lambda x: F.filter(F.sequence(x["k"] * 8, x["k"] * 8 + 7), lambda d: F.getbit(x["b"], d % 8) == 1)))
 
 
 def append_days(spark: SparkSession, path: str, days: DataFrame) -> DataFrame:

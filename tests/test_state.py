@@ -291,3 +291,20 @@ def test_blocks_cover_their_days(spark):
             assert spans == []
         else:
             assert spans[0][0] == x.lo and spans[-1][1] == x.hi and all(a[1] == b[0] for a, b in zip(spans, spans[1:])) and len(spans) <= 44
+
+
+def test_bitmaps_have_small_buffers_and_ranges_by_neighbours(spark):
+    from geostream.operators import network, rollups
+
+    had = {("A", 2000): [1, 2, 3, 56, 57, 111, 112, 113, 366], ("B", 2001): [365], ("C", 2001): [8, 9, 16, 55, 56], ("D", 2001): list(range(1, 366)), ("E", 2000): list(range(2, 366, 2))}
+    days = spark.createDataFrame([(s, y, d) for (s, y), own in had.items() for d in own + own[:2]] + [("A", 2000, None), ("A", 2000, 0)], "station string, year int, doy int")
+    bits = rollups.day_bits(days)
+    assert "bitmap_" not in bits._jdf.queryExecution().toString() and "HashAggregate" in bits._jdf.queryExecution().executedPlan().toString()
+    stored = {(r["station"], r["year"]): bytes(r["bits"]) for r in bits.collect()}
+    assert all(len(b) == 46 for b in stored.values())
+    assert {k: [d for d in range(1, 367) if b[d // 8] >> d % 8 & 1] for k, b in stored.items()} == had
+    parts = rollups.day_bits(days.filter("doy % 2 = 0")).unionByName(rollups.day_bits(days.filter("doy % 2 = 1 or doy > 300")))
+    assert {(r["station"], r["year"]): bytes(r["bits"]) for r in rollups.merged_bits(parts).collect()} == stored
+    by = ("station", "year")
+    want = {tuple(r) for r in network.coverage_report(days.filter("doy > 0")).select(*by, "n_days", "year_days", "share", "with_data", "gaps").collect()}
+    assert {tuple(r) for r in network.coverage_of_bits(bits).collect()} == want
