@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from geostream.functions.geodesy import km_to_degrees
 from geostream.operators.ordered import number_rows
+from geostream.sources.shared import staged
 
 
 def project_profile(df: DataFrame, azimuth: float, reference: tuple[float, float], half_width_km: float) -> DataFrame:
@@ -144,6 +145,34 @@ def score_grid(expanded: DataFrame, by: Sequence[str], g: str = "green_n", d: st
     return scored if sums else scored.drop("_dd")
 
 
+def score_models(profile: DataFrame, grid: DataFrame, by: Sequence[str], shape: Sequence[str], green: Callable[[DataFrame], DataFrame], g: str = "green_n", err: str = "err") -> DataFrame:
+    """by with slip, chi2, rchi2 and wrms, as score_grid has them of expand_grid and back_slip, for a kernel that depends on shape and dist_km alone.
+
+    profile: dist_km, v_across, err; grid: by, with shape and rate among them, equal rows counting once; green adds the column g
+    to rows of shape and dist_km. Grid points of equal shape share their sums, and stations at equal distances act through the
+    sums of their weights: the kernel has a row for each different shape and distance, and none for a rate, and each grid point then meets its sums. Where all
+    shapes and distances differ, that is the product of grid and profile.
+    """
+    w, v = 1 / (F.col(err) * F.col(err)), F.col("v_across")
+    sums = {"ww": w, "wo": F.when(v.isNotNull(), w), "wv": w * v, "wvv": w * v * v}
+    sites = profile.groupBy("dist_km").agg(*[F.coalesce(F.sum(x), F.lit(0.0)).alias(f"_{k}") for k, x in sums.items()], F.count("*").alias("_n"))
+    sites = staged(sites, "profile-sums")
+    far = F.col("dist_km") >= 0
+    kernel = green(expand_grid(sites, grid.select(*shape).distinct()))
+    side = lambda k: [F.sum(F.when(far, F.col(g) * F.col(k))).alias(f"far{k}"), F.sum(F.when(~far, F.col(g) * F.col(k))).alias(f"near{k}")]
+    own = staged(kernel.groupBy(*shape).agg(F.sum(F.col(g) * F.col(g) * F.col("_ww")).alias("gg"), *side("_wv"), *side("_wo")), "kernel-sums")
+    total = sites.agg(F.sum("_ww").alias("ww"), F.sum("_n").alias("n"), F.sum(F.when(~far, F.col("_wvv"))).alias("near_vv"), F.sum(F.when(far, F.col("_wvv"))).alias("far_wvv"), F.sum(F.when(far, F.col("_wv"))).alias("v_far"), F.sum(F.when(far, F.col("_wo"))).alias("o_far"))
+    points = grid.select(*by).distinct().alias("p")
+    met = points.join(own.alias("o"), [F.col(f"p.{c}").eqNullSafe(F.col(f"o.{c}")) for c in shape]).select("p.*", *[F.col(f"o.{c}") for c in own.columns if c not in shape]).crossJoin(F.broadcast(total))  # one row
+    rate, zero = F.col("rate"), F.lit(0.0)
+    both = lambda near, beyond: F.coalesce(near, zero) + F.coalesce(beyond, zero)
+    gd = both(F.col("near_wv"), F.col("far_wv") - rate * F.col("far_wo"))
+    dd = both(F.col("near_vv"), F.col("far_wvv") - 2 * rate * F.col("v_far") + rate * rate * F.col("o_far"))
+    met = met.withColumns({"gd": gd, "dd": dd}).withColumn("slip", F.coalesce(F.try_divide("gd", "gg"), zero))
+    met = met.withColumn("chi2", F.greatest(F.col("dd") - 2 * F.col("slip") * F.col("gd") + F.col("slip") ** 2 * F.col("gg"), zero))
+    return met.select(*by, "slip", "chi2", (F.col("chi2") / F.col("n")).alias("rchi2"), F.sqrt(F.col("chi2") / F.col("ww")).alias("wrms"))
+
+
 def near_best(scored: DataFrame, by: Sequence[str] = (), slack: float = 1e-9) -> DataFrame:
     """The plausible rows of score_grid that may be the best by wrms: within what cancellation can take from chi2, slack of the first sum (scored has it as _dd)."""
     rows = plausible_models(scored)

@@ -468,8 +468,8 @@ r AS (SELECT grid_id, rate, gd / gg AS slip, greatest(dd - gd * gd / gg, 0) AS c
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A screw dislocation locked to a depth under the profile, for each part as a grid point."""
     grid = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("grid_id"), (5.0 + F.col("p_size")).alias("lock"), (F.col("p_partkey") % 11 + 25).cast("double").alias("rate"))
-    expanded = faults.back_slip(faults.expand_grid(_profile(spark, sf_dir), grid), F.col("rate")).withColumn("green_n", F.atan(F.col("dist_km") / F.col("lock")) / F.pi())
-    return faults.score_grid(expanded, ["grid_id", "lock", "rate"])
+    green = lambda rows: rows.withColumn("green_n", F.atan(F.col("dist_km") / F.col("lock")) / F.pi())
+    return faults.score_models(_profile(spark, sf_dir), grid, ["grid_id", "lock", "rate"], ["lock"], green)
 
 
 @_query(f"WITH {_GRID} SELECT grid_id, rate, round(slip, 5) AS slip, round(chi2 / n, 4) AS rchi2, round(sqrt(chi2 / ww), 5) AS wrms FROM r")
@@ -529,9 +529,8 @@ SELECT grid_id, depth, width, dip, rate, round(slip, 4) AS slip, round((dd - sli
 def dislocation_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rectangular dislocations for each part under each station of the profile."""
     grid = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("grid_id"), (F.col("p_size") / 10 + 1).alias("depth"), (F.col("p_partkey") % 11 + 10).cast("double").alias("width"), (F.col("p_partkey") % 10 - 100).cast("double").alias("dip"), (F.col("p_partkey") % 11 + 25).cast("double").alias("rate"))
-    expanded = faults.expand_grid(_profile(spark, sf_dir).select("sites", "dist_km", "v_across", "err"), grid)
-    moved = faults.with_green(expanded, {"length": 1000.0, "width": "width", "depth": "depth", "dip": "dip", "strike": 0.0, "east": 0.0, "north": 0.0, "x": "dist_km", "y": 0.0})
-    scored = faults.score_grid(faults.back_slip(moved, F.col("rate")), ["grid_id", "depth", "width", "dip", "rate"])
+    green = lambda rows: faults.with_green(rows, {"length": 1000.0, "width": "width", "depth": "depth", "dip": "dip", "strike": 0.0, "east": 0.0, "north": 0.0, "x": "dist_km", "y": 0.0})
+    scored = faults.score_models(_profile(spark, sf_dir), grid, ["grid_id", "depth", "width", "dip", "rate"], ["depth", "width", "dip"], green)
     return scored.select("grid_id", "depth", "width", "dip", "rate", F.round("slip", 4).alias("slip"), F.round("rchi2", 4).alias("rchi2"), F.round("wrms", 5).alias("wrms"))
 
 

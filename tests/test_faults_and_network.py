@@ -101,3 +101,31 @@ def test_cleaned_series(spark, tmp_path):
     assert sinks.write_cleaned_series(rows, selection, str(tmp_path)) == 1 == sinks.write_cleaned_series(rows, selection, str(tmp_path))
     sinks.write_outliers(selection, str(tmp_path / "o"))
     assert spark.read.text(str(tmp_path / "o")).first()[0] == "ABCD 2010.0100"
+
+
+def test_models_of_equal_shape_share_their_sums(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from geostream.operators import faults
+
+    rnd = random.Random(3)
+    rows = [(i, float(i % 5 - 2), None if i == 7 else rnd.uniform(-40, 40), rnd.uniform(0.1, 1)) for i in range(40)]
+    profile = spark.createDataFrame(rows, "sites int, dist_km double, v_across double, err double")
+    points = [(i, float(i % 3 + 5), None if i == 11 else float(i % 4 + 25)) for i in range(60)]
+    grid = spark.createDataFrame(points, "grid_id int, lock double, rate double")
+    seen = []
+
+    def green(df):
+        seen.append(df.count())
+        return df.withColumn("green_n", F.atan(F.col("dist_km") / F.col("lock")))
+
+    by = ["grid_id", "lock", "rate"]
+    own = {r["grid_id"]: r for r in faults.score_models(profile, grid, by, ["lock"], green).collect()}
+    expanded = faults.back_slip(faults.expand_grid(profile, grid), F.col("rate")).withColumn("green_n", F.atan(F.col("dist_km") / F.col("lock")))
+    whole = {r["grid_id"]: r for r in faults.score_grid(expanded, by).collect()}
+    assert seen == [3 * 5]  # shapes x distances
+    assert own.keys() == whole.keys() and len(own) == 60
+    for k, r in whole.items():
+        assert all(abs(own[k][c] - r[c]) <= 1e-9 * (1 + abs(r[c])) for c in ("slip", "chi2", "rchi2", "wrms")), (k, r, own[k])
