@@ -37,8 +37,7 @@ def _code(number: Column) -> Column:
 
 def _text(df: DataFrame, path: str, by: str | None = None) -> None:
     """Column value as lines; by: a folder for each value of that column."""
-    writer = df.write if by is None else df.repartition(by).write.partitionBy(by)
-    writer.text(path)
+    df.write.text(path) if by is None else sinks.write_folders(df, path, by)
 
 
 # --- coordinates --------------------------------------------------------------------------------------------------
@@ -308,7 +307,7 @@ def discovered_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def write(path: str) -> None:
         s = _table(spark, sf_dir, "supplier").select(F.col("s_name").alias("value"), F.col("s_suppkey").alias("folder"))
-        s.repartition("folder").write.partitionBy("folder").option("compression", "gzip").text(path)
+        sinks.write_folders(s, path, "folder", compression="gzip")
 
     found = archive_sources.discover_files(spark, _once(spark, sf_dir, "tree", write))
     return found.groupBy(F.regexp_extract("filepath", "folder=([0-9]+)/", 1).cast("long").alias("folder"), F.length("file_hash").alias("digits")).agg(F.count_distinct("file_hash").alias("contents"))

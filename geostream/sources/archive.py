@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from geostream import schemas
 from geostream.functions.text import content_hash, size_mb
+from geostream.sources.lines import listed
 
 
 def _tree(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    return listed(spark, lambda: spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root))
 
 
 def name_columns(path: Column) -> dict[str, Column]:

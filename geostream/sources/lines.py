@@ -5,13 +5,27 @@ Archives repeat base names from folder to folder: the path tells files apart, th
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def _reader(spark: SparkSession, glob: str | None):
+def listed(spark: SparkSession, load: Callable[[], DataFrame]) -> DataFrame:
+    """What load() yields, whose files are listed by four tasks for each core; Spark would start a task for each folder, up to 10,000 of them."""
+    tasks = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(tasks)
+    spark.conf.set(tasks, str(4 * spark.sparkContext.defaultParallelism))
+    try:
+        return load()
+    finally:
+        spark.conf.set(tasks, before)
+
+
+def _text(spark: SparkSession, path: str, glob: str | None, **options) -> DataFrame:
     reader = spark.read.option("recursiveFileLookup", True)
-    return reader.option("pathGlobFilter", glob) if glob else reader
+    reader = reader.option("pathGlobFilter", glob) if glob else reader
+    return listed(spark, lambda: reader.text(path, **options))
 
 
 #: Files of up to so many bytes are read as one row; larger ones by splits.
@@ -38,21 +52,23 @@ def read_lines(spark: SparkSession, path: str, glob: str | None = None, whole: i
     read by splits: a line's number is its place in its split plus the lines of the splits before, of which there is a
     row for each split. A file that can't be split (compressed) is one split.
     """
-    small = _reader(spark, glob).text(path, wholetext=True).filter(F.col("_metadata.file_size") <= whole)
-    rows = small.select(*named(F.posexplode(F.split(F.regexp_replace("value", r"\n\z", ""), "\n")).alias("pos", "line"), (F.col("value") == "").alias("none"))).filter("not none")
+    # Paths are decoded once for each file or split, before its lines are told apart.
+    small = _text(spark, path, glob, wholetext=True).filter(F.col("_metadata.file_size") <= whole).filter("value != ''").select(*named(F.col("value")))
+    rows = small.select("file_path", "file_name", F.posexplode(F.split(F.regexp_replace("value", r"\n\z", ""), "\n")).alias("pos", "line"))
     strip = F.regexp_replace("line", r"\r\z", "").alias("line")
     rows = rows.select("file_path", "file_name", (F.col("pos") + 1).cast("long").alias("line_no"), strip)
-    splits = _reader(spark, glob).option("lineSep", "\n").text(path).filter(F.col("_metadata.file_size") > whole)
-    splits = splits.select(*named(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"), F.col("value").alias("line")))
-    here = Window.partitionBy("file_path", "block")
+    splits = _text(spark, path, glob, lineSep="\n").filter(F.col("_metadata.file_size") > whole)
+    splits = splits.select(F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"), F.col("value").alias("line"))
+    here = Window.partitionBy("_path", "block")
     numbered = splits.withColumn("at", F.row_number().over(here.orderBy("n")).cast("long"))
-    counts = splits.groupBy("file_path", "block").agg(F.count("*").alias("lines"))
-    before = counts.select("file_path", "block", (F.sum("lines").over(Window.partitionBy("file_path").orderBy("block")) - F.col("lines")).alias("before"))
-    large = numbered.join(before, ["file_path", "block"]).select("file_path", "file_name", (F.col("before") + F.col("at")).alias("line_no"), strip)
+    counts = splits.groupBy("_path", "block").agg(F.count("*").alias("lines"))
+    before = counts.select("_path", true_path(F.col("_path")).alias("file_path"), "block", (F.sum("lines").over(Window.partitionBy("_path").orderBy("block")) - F.col("lines")).alias("before"))
+    before = before.withColumn("file_name", F.regexp_extract("file_path", r"([^/]*)$", 1))
+    large = numbered.join(before, ["_path", "block"]).select("file_path", "file_name", (F.col("before") + F.col("at")).alias("line_no"), strip)
     return rows.unionByName(large)
 
 
 def whole_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """(file_path, file_name, text) of each file."""
-    files = _reader(spark, glob).text(path, wholetext=True)
+    files = _text(spark, path, glob, wholetext=True)
     return files.select(*named(F.col("value").alias("text")))

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Callable, Sequence
 from datetime import date, timedelta
 
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyarrow.fs import FileType
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from geostream.functions.times import calendar_decimal_year
 from geostream.operators.series import strip_outliers
+from geostream.sources.headers import _system, _whole
 from geostream.sources.shared import staged
 
 Sink = Callable[[DataFrame, int], None]
@@ -77,10 +83,69 @@ def dry_run(df: DataFrame, mode: str = "noop") -> None:
     df.write.format(mode).mode("append").save()
 
 
+#: Folders that one task writes.
+FOLDERS = 256
+
+
+def _folder(by: str, key) -> str:
+    """The name of the folder of a value, as Spark writes it."""
+    text = "__HIVE_DEFAULT_PARTITION__" if key is None or key == "" else re.sub(r"""[\x01-\x1f"#%'*/:=?\\\x7f{\[\]^]""", lambda m: f"%{ord(m[0]):02X}", str(key))
+    return f"{by}={text}"
+
+
+def write_folders(df: DataFrame, path: str, by: str, order: Sequence[str] = (), compression: str | None = None) -> None:
+    """Column value of df (value, by) as lines, a folder by=... with one file for each value of by, its lines in order; what was at path goes.
+
+    A task has some FOLDERS folders, however small they are: Spark would join small partitions by their bytes, though files
+    cost by their number. Each file is written by its task under a hidden name and moved to its place, where the same task run again replaces it;
+    lines pass in batches, no file is held. path is complete when this returns, not before.
+    """
+    spark, name = df.sparkSession, "part-00000.txt" + (".gz" if compression == "gzip" else "")
+    whole = _whole(path)
+
+    def run(batches):
+        system, root, _ = _system(whole)
+        out, now, n = None, None, 0
+
+        def close():
+            out.close()
+            done = f"{root}/{_folder(by, now)}"
+            if system.get_file_info(f"{done}/{name}").type == FileType.File:
+                system.delete_file(f"{done}/{name}")
+            system.move(f"{done}/{hidden}", f"{done}/{name}")
+
+        hidden = f".{uuid.uuid4().hex}"
+        for batch in batches:
+            keys, values = batch.column(by), batch.column("value")
+            runs = pc.run_end_encode(keys)
+            at = 0
+            for key, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist()):
+                if out is None or key != now:
+                    if out is not None:
+                        close()
+                    now, n = key, n + 1
+                    system.create_dir(f"{root}/{_folder(by, key)}", recursive=True)
+                    out = system.open_output_stream(f"{root}/{_folder(by, key)}/{hidden}", compression=compression)
+                out.write("".join(f"{x}\n" for x in values.slice(at, end - at).to_pylist() if x is not None).encode())
+                at = end
+        if out is not None:
+            close()
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    system, root, _ = _system(whole)
+    if system.get_file_info(root).type == FileType.Directory:
+        system.delete_dir_contents(root)
+    system.create_dir(root, recursive=True)
+    n = df.select(by).distinct().count()
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // FOLDERS))
+    dealt = df.select("value", by).repartition(min(parts, max(1, n)), by).sortWithinPartitions(by, *order)
+    dealt.mapInArrow(run, "n long").agg(F.sum("n")).collect()  # one row
+
+
 def write_series(df: DataFrame, path: str) -> None:
     """A folder of blank-separated files for each site, and the site list."""
     rows = df.select("station", F.format_string("%.6f %.6f %.6f %.6f", "t", "east_m", "north_m", "up_m").alias("value"))
-    rows.repartition("station").sortWithinPartitions("station", "value").write.mode("overwrite").partitionBy("station").text(f"{path}/series")
+    write_folders(rows, f"{path}/series", "station", ("value",))
     df.select(F.col("station").alias("value")).distinct().orderBy("value").write.mode("overwrite").text(f"{path}/sites")
 
 

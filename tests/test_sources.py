@@ -113,3 +113,35 @@ def test_times(spark):
 def test_antenna_height(spark):
     h = spark.range(1).select(geodesy.antenna_height(F.lit("TRM41249.00"), [F.lit(1.5)] * 4), geodesy.antenna_height(F.lit("?"), [F.lit(1.5)] * 4)).first()
     assert h[0] == pytest.approx((1.5**2 - 0.1698**2) ** 0.5 - 0.0443) and h[1] is None
+
+
+def test_folders_are_dealt_by_their_number(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from geostream.sources import sinks
+    from geostream.sources.lines import read_lines
+
+    monkeypatch.setattr(sinks, "FOLDERS", 3)
+    path = str(tmp_path / "a b" / "tree")
+    names = [f"S{i:03d}" for i in range(60)] + ["x:y/z", None]
+    rows = spark.createDataFrame([(n, f"{n} {i}") for n in names for i in (2, 1)], "site string, value string")
+    for some in (rows.withColumn("value", F.lit("old")), rows):
+        sinks.write_folders(some, path, "site", ("value",))
+    files = sorted(p.relative_to(path).as_posix() for p in (tmp_path / "a b" / "tree").rglob("*") if p.is_file())
+    assert files == sorted([f"site={n}/part-00000.txt" for n in names[:60]] + ["site=x%3Ay%2Fz/part-00000.txt", "site=__HIVE_DEFAULT_PARTITION__/part-00000.txt"])
+    assert [(r.line_no, r.line) for r in read_lines(spark, path).filter("file_path like '%S007%'").orderBy("line_no").collect()] == [(1, "S007 1"), (2, "S007 2")]
+    assert sorted(r.line for r in read_lines(spark, path).collect()) == sorted(r.value for r in rows.collect())
+
+
+def test_listing_takes_few_tasks_for_many_folders(spark, tmp_path):
+    from geostream.sources.lines import read_lines
+
+    for i in range(120):
+        (tmp_path / f"d{i}").mkdir()
+        (tmp_path / f"d{i}" / "x.txt").write_text("a\n")
+    spark.sparkContext.setJobGroup("listing", "listing")
+    read_lines(spark, str(tmp_path))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds]
+    assert stages and max(s.numTasks for s in stages) <= 4 * spark.sparkContext.defaultParallelism
