@@ -233,15 +233,17 @@ def large_quartiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("SELECT l_suppkey % 40 AS file, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_suppkey % 40 ORDER BY l_orderkey, l_linenumber) AS line_no FROM lineitem")
 def lines_over_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line numbers of forty files of line items, read by splits of 4 kB."""
+    """Line numbers of forty files of line items, read by splits of 4 kB, or of a 500th of the files' bytes if that is more: each split is a task."""
 
     def write(path: str) -> None:
         rows = _table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 40).alias("file"), "l_orderkey", "l_linenumber", F.concat_ws(" ", "l_orderkey", "l_linenumber", "l_extendedprice").alias("value"))
         rows.repartition("file").sortWithinPartitions("file", "l_orderkey", "l_linenumber").select("file", "value").write.partitionBy("file").text(path)
 
     folder, size = _once(spark, sf_dir, "items", write), "spark.sql.files.maxPartitionBytes"
+    there = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    total = there.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(there).getLength()
     before = spark.conf.get(size)
-    spark.conf.set(size, "4k")
+    spark.conf.set(size, str(max(4096, total // 500)))
     try:
         read, part = lines.read_lines(spark, folder, whole=-1), F.split("line", " ")
         file = F.regexp_extract("file_path", "file=([0-9]+)/", 1).cast("long")

@@ -308,3 +308,17 @@ def test_bitmaps_have_small_buffers_and_ranges_by_neighbours(spark):
     by = ("station", "year")
     want = {tuple(r) for r in network.coverage_report(days.filter("doy > 0")).select(*by, "n_days", "year_days", "share", "with_data", "gaps").collect()}
     assert {tuple(r) for r in network.coverage_of_bits(bits).collect()} == want
+
+
+def test_splits_of_lines_grow_with_the_files(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from geostream import state_queries
+
+    n = F.col("id")
+    spark.range(150_000).select((n % 80).alias("l_suppkey"), n.alias("l_orderkey"), F.lit(1).alias("l_linenumber"), (n / 7).alias("l_extendedprice")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    seen, read = [], state_queries.lines.read_lines
+    monkeypatch.setattr(state_queries.lines, "read_lines", lambda s, path, **k: seen.append(s.conf.get("spark.sql.files.maxPartitionBytes")) or read(s, path, **k))
+    rows = state_queries.lines_over_splits(spark, str(tmp_path))
+    assert int(seen[0]) > 4096
+    assert rows.count() == 150_000 and rows.agg(F.max("line_no")).first()[0] == 3750
