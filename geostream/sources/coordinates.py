@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from geostream import schemas
 from geostream.functions.text import station_of, token, tokens
 from geostream.functions.times import gps_time
-from geostream.sources.lines import read_lines
+from geostream.sources.lines import bytes_of, read_lines
+from geostream.sources.shared import staged
 
 
 def _double(parts: Column, place: int) -> Column:
@@ -83,14 +84,30 @@ def read_velocity_field(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(*[_double(t, i).alias(n) for i, n in enumerate(("lon", "lat", "ve", "vn", "se", "sn", "corr"))], token(t, 7).alias("site")).filter("lon is not null and lat is not null")
 
 
-def read_polylines(spark: SparkSession, path: str) -> DataFrame:
-    """(file_path, file_name, segment_id, seq, lon, lat) of multi-segment text with > between segments."""
-    t = F.col("t")
-    in_file = Window.partitionBy("file_path").orderBy("line_no")
-    rows = read_lines(spark, path).filter("trim(line) != ''").withColumn("mark", F.startswith(F.ltrim("line"), F.lit(">")))
-    rows = rows.withColumn("segment_id", F.sum(F.col("mark").cast("int")).over(in_file)).filter("not mark").withColumn("t", tokens(F.col("line")))
-    rows = rows.withColumn("seq", F.row_number().over(Window.partitionBy("file_path", "segment_id").orderBy("line_no")))
-    return rows.select("file_path", "file_name", "segment_id", "seq", _double(t, 0).alias("lon"), _double(t, 1).alias("lat")).filter("lon is not null and lat is not null")
+def read_polylines(spark: SparkSession, path: str, block: int = 1 << 16) -> DataFrame:
+    """(file_path, file_name, segment_id, seq, lon, lat) of multi-segment text with > between segments.
+
+    Marks and points are counted within blocks of so many lines, which tasks sort; what the blocks before hold is added
+    by a row for each block. So no task holds a file or a segment, and a task has some 4 MB of text whatever there is.
+    """
+    t, keys = F.col("t"), ["file_path", "_block"]
+    rows = read_lines(spark, path).filter("trim(line) != ''")
+    rows = rows.select("file_path", F.floor(F.col("line_no") / block).alias("_block"), "line_no", "line", F.startswith(F.ltrim("line"), F.lit(">")).alias("mark"))
+    tasks = bytes_of(spark, path) >> 22
+    rows = rows.repartition(tasks, *keys) if tasks > int(spark.conf.get("spark.sql.shuffle.partitions")) else rows
+    upto = Window.partitionBy(*keys).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"_marks": F.count_if("mark").over(upto), "_points": F.count_if(~F.col("mark")).over(upto)})
+    rows = rows.withColumn("_at", F.max(F.when(F.col("mark"), F.col("_points"))).over(upto)).withColumn("t", tokens(F.col("line")))
+    counted = staged(rows.select(*keys, "mark", "_marks", "_points", "_at", _double(t, 0).alias("lon"), _double(t, 1).alias("lat")), "polylines")
+    own = counted.groupBy(*keys).agg(*[F.max(c).alias(f"{c}_in") for c in ("_marks", "_points", "_at")])
+    before = Window.partitionBy("file_path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    own = own.withColumns({f"{c}_before": F.coalesce(F.sum(f"{c}_in").over(before), F.lit(0)) for c in ("_marks", "_points")})
+    own = own.withColumn("_at_before", F.coalesce(F.max(F.col("_points_before") + F.col("_at_in")).over(before), F.lit(0)))
+    own = staged(own.select(*keys, "_marks_before", "_points_before", "_at_before"), "polyline-blocks")
+    met = counted.filter("not mark and lon is not null and lat is not null").join(own, keys)
+    total = F.col("_points_before") + F.col("_points")
+    seq = total - F.coalesce(F.col("_points_before") + F.col("_at"), F.col("_at_before"))
+    return met.select("file_path", F.regexp_extract("file_path", r"([^/]*)$", 1).alias("file_name"), (F.col("_marks_before") + F.col("_marks")).alias("segment_id"), seq.cast("int").alias("seq"), "lon", "lat")
 
 
 def read_columns(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
