@@ -14,6 +14,7 @@ from geostream.operators import archive, draws, faults, network, series, telemet
 from geostream.sources import archive as archive_sources
 from geostream.sources import sinks
 from geostream.sources import telemetry as sentences
+from geostream.sources.lines import bound
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -220,7 +221,8 @@ def nmea_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = lambda x: F.format_string("%.6f", x)
     zero = F.lit("0.00000")
     body = F.concat_ws(",", F.lit("GNLVM"), F.date_format("ts", "HHmmss.SS"), F.date_format("ts", "MMddyy"), number(F.col("value") * 0.0006), number(F.col("value") * 0.0008), number(F.col("value") * 0.0001), *[zero] * 6, F.lit("0.0100"), (F.col("user_id") % 30).cast("string"))
-    lines = e.select("event_id", F.lit("f").alias("file_name"), F.col("event_id").alias("line_no"), F.concat(F.lit("$"), body, F.lit("*"), text.xor_checksum(body)).alias("sentence"))
+    made = bound(e, _body=body, sentence=F.concat(F.lit("$"), F.col("_body"), F.lit("*"), text.xor_checksum(F.col("_body"))))
+    lines = made.select("event_id", F.lit("f").alias("file_name"), F.col("event_id").alias("line_no"), "sentence")
     good, _ = sentences.parse_lvm(sentences.route_sentences(lines))
     return good.select("event_id", F.col("time").cast("timestamp_ntz").alias("time"), F.round("vE", 6).alias("v_east"), F.round("vN", 6).alias("v_north"), F.col("n_sats").cast("long").alias("n_sats"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from geostream import schemas
 from geostream.functions.text import checksum_ok
 from geostream.functions.times import sentence_time
-from geostream.sources.lines import named, read_lines
+from geostream.sources.lines import bound, named, read_lines
 
 _VELOCITY = ("vE", "vN", "vU", "varE", "varN", "varU", "covEN", "covEU", "covUN", "cq")
 _DISPLACEMENT = ("dE", "dN", "dU", "varE", "varN", "varU", "covEN", "covEU", "covUN", "cq")
@@ -25,7 +25,8 @@ def stream_nmea(spark: SparkSession, path: str, files_per_trigger: int | None =
     reader = spark.readStream
     reader = reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader
     files = reader.text(path, wholetext=True)
-    lines = files.select(*named(F.posexplode(F.split("value", "\r?\n")).alias("pos", "line")))
+    # Paths are decoded once for each file, before its lines are told apart.
+    lines = files.select(*named(F.col("value"))).select("file_path", "file_name", F.posexplode(F.split("value", "\r?\n")).alias("pos", "line"))
     return lines.select("file_path", "file_name", (F.col("pos") + 1).cast("long").alias("line_no"), F.trim("line").alias("sentence")).filter("sentence != ''")
 
 
@@ -46,8 +47,9 @@ def _whole(place: int) -> Column:
 
 
 def _parse(lines: DataFrame, talkers: tuple[str, str], fields: list[tuple[str, Column]]) -> tuple[DataFrame, DataFrame]:
-    split = lines.withColumn("fields", F.split(F.substring_index("sentence", "*", 1), ","))
-    parsed = split.select(*lines.columns, *[col.alias(name) for name, col in fields], F.get("fields", F.lit(0)).isin(*talkers).alias("_ours"), checksum_ok(F.col("sentence")).alias("_sum"))
+    split = bound(lines, fields=F.split(F.substring_index("sentence", "*", 1), ","))
+    found = F.struct(*[col.alias(name) for name, col in fields], F.get("fields", F.lit(0)).isin(*talkers).alias("_ours"), checksum_ok(F.col("sentence")).alias("_sum"))
+    parsed = bound(split, _found=found).select(*lines.columns, "_found.*")
     reason = F.when(~F.col("_sum"), "checksum").when(~F.col("_ours"), "talker").when(F.greatest(*[F.col(name).isNull() for name, _ in fields]), "fields")
     parsed = parsed.withColumn("reason", reason).drop("_ours", "_sum")
     good = parsed.filter("reason is null").drop("reason", "sentence")

@@ -76,10 +76,6 @@ def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(live.alert_stream(means), "stream-alerts").select(_ntz("bucket"), "station_code", F.round("mean_v", 9).alias("mean_v"), "breach", "firing")
 
 
-def _sentence(body: Column) -> Column:
-    return F.concat(F.lit("$"), body, F.lit("*"), text.xor_checksum(body))
-
-
 def _number(x: Column) -> Column:
     return F.format_string("%.6f", x)
 
@@ -91,7 +87,8 @@ def _motion(e: DataFrame) -> DataFrame:
     begin = F.expr("ts - interval 90 seconds")
     ldm = F.concat_ws(",", F.lit("GPLDM"), *clock, F.date_format(begin, "HHmmss.SS"), F.date_format(begin, "MMddyy"), *parts, (F.col("event_id") % 2).cast("string"), F.lit("0.90"), F.format_string("%.2f", F.col("event_id") % 100 / 100))
     lvm = F.concat_ws(",", F.lit("GNLVM"), *clock, *parts)
-    return e.select("*", _sentence(F.when(F.col("event_type") == "view", ldm).otherwise(lvm)).alias("sentence"))
+    body = F.when(F.col("event_type") == "view", ldm).otherwise(lvm)
+    return lines.bound(e, _body=body, sentence=F.concat(F.lit("$"), F.col("_body"), F.lit("*"), text.xor_checksum(F.col("_body")))).drop("_body")
 
 
 @_query("""SELECT event_id, make_timestamp(epoch_us(ts) // 10000 * 10000) AS time, make_timestamp(epoch_us(ts) // 10000 * 10000 - 90000000) AS start_time, round(value * 0.0006, 6) AS d_east, round(value * 0.0008, 6) AS d_north, round(value * 0.0001, 6) AS d_up,
@@ -99,8 +96,8 @@ round(hypot_, 6) AS d_horizontal, (event_id % 2)::INT AS reset_indicator, round(
 FROM (SELECT *, sqrt(round(value * 0.0006, 6) ** 2 + round(value * 0.0008, 6) ** 2) AS hypot_ FROM events) WHERE event_type = 'view'""")
 def ldm_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Displacements written as sentences, parsed, and named as in their table."""
-    lines = _motion(_spread(_table(spark, sf_dir, "events"))).select("event_id", F.col("user_id").cast("string").alias("station_code"), "sentence")
-    good, _ = sentences.parse_ldm(sentences.route_sentences(lines).filter("kind = 'LDM'"))
+    made = _motion(_spread(_table(spark, sf_dir, "events"))).select("event_id", F.col("user_id").cast("string").alias("station_code"), "sentence")
+    good, _ = sentences.parse_ldm(sentences.route_sentences(made).filter("kind = 'LDM'"))
     keys = good.select("event_id", "station_code", "time", _ntz("start_time"), "reset_indicator")
     rows = sentences.to_displacement_rows(good.withColumn("station_code", F.col("event_id").cast("string"))).withColumnsRenamed({"station_code": "event_id", "time": "_time"})
     joined = keys.join(rows.withColumn("event_id", F.col("event_id").cast("long")), "event_id")
@@ -113,10 +110,10 @@ def live_velocities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The velocities that the live job publishes of files of sentences, each of which lands twice under two names; of equal times the first."""
 
     def write(path: str) -> None:
-        e = _motion(_table(spark, sf_dir, "events").filter("user_id is not null"))
-        lines = e.select((F.col("user_id") % 50).cast("string").alias("station_code"), "event_id", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("copy"), F.col("sentence").alias("value"))
-        lines = lines.withColumn("name", F.concat_ws("_", "station_code", "copy"))
-        _files(lines.groupBy("name").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("event_id", "value"))), lambda x: x["value"]), "\n").alias("content")), path)
+        e = _motion(_spread(_table(spark, sf_dir, "events").filter("user_id is not null")))
+        rows = e.select((F.col("user_id") % 50).cast("string").alias("station_code"), "event_id", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("copy"), F.col("sentence").alias("value"))
+        rows = rows.withColumn("name", F.concat_ws("_", "station_code", "copy"))
+        _files(rows.groupBy("name").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("event_id", "value"))), lambda x: x["value"]), "\n").alias("content")), path)
 
     folder, out = _once(spark, sf_dir, "sentences", write), scratch_path(spark, "live")
     before = spark.conf.get(PROVIDER, None)
