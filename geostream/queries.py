@@ -87,7 +87,7 @@ def iqr_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _series(spark, sf_dir)
     segmented = series.assign_segments(rows, _offsets(rows))
     size = F.count("*").over(Window.partitionBy("station", "segment"))
-    flagged = series.flag_iqr(segmented.withColumn("n", size).filter("n >= 3"), ("station", "segment"), k=0.5)
+    flagged = series.flag_iqr(segmented.withColumn("n", size).filter("n >= 3"), ("station", "segment"), k=0.5, large=series.any_larger(rows, ("station",)))
     return flagged.groupBy("station", "segment").agg(F.count("*").alias("n_rows"), F.count_if("is_outlier").alias("n_outliers"), F.round(F.min(F.when(F.col("is_outlier"), F.col("t"))), 6).alias("first_outlier"))
 
 
