@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from geostream.functions.geodesy import antenna_height
 from geostream.functions.times import LONG_NAME_WEEK, gps_week, product_name, year_length
 from geostream.operators.rollups import days_of
-from geostream.operators.series import any_larger
+from geostream.operators.series import any_larger, dealt
 from geostream.sources.shared import staged
 
 METHODS = ("campaign", "continuous")
@@ -194,7 +194,7 @@ def equipment_at(history: DataFrame, probes: DataFrame, few: int = 64) -> DataFr
         h, p = spells.alias("h"), probes.alias("p")
         inside = (F.col("p.date") >= F.col("h.date_installed")) & (F.col("h.date_removed").isNull() | (F.col("p.date") < F.col("h.date_removed")))
         return p.join(h, (F.col("p.station_code") == F.col("h.station_code")) & inside).select("p.*", *[F.col(f"h.{c}") for c in own])
-    first, last = probes.agg(F.min(_day(F.col("date").cast("date"))), F.max(_day(F.col("date").cast("date")))).first()
+    first, last, n = probes.agg(F.min(_day(F.col("date").cast("date"))), F.max(_day(F.col("date").cast("date"))), F.count("date")).first()
     begin = F.greatest(_day(F.col("date_installed").cast("date")), F.lit(first))
     end = F.least(_day(F.col("date_removed").cast("date")), F.lit(None if last is None else last + 1))  # a null is left out
     blocks = staged(spells.select("station_code", *own, F.explode(cover(begin, end)).alias("_block")).select("station_code", *own, F.col("_block.level").alias("_level"), F.col("_block.node").alias("_node")), "spell-blocks")
@@ -204,7 +204,8 @@ def equipment_at(history: DataFrame, probes: DataFrame, few: int = 64) -> DataFr
     day = _day(F.col("date").cast("date"))
     met = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.floor(day / (1 << k)).cast("long").alias("node")) for k in levels]))
     placed = probes.filter("date is not null").withColumn("_at", met).withColumn("_level", F.col("_at.level")).withColumn("_node", F.col("_at.node")).drop("_at")
-    return placed.join(blocks, ["station_code", "_level", "_node"]).select(*probes.columns, *own)
+    keys = ["station_code", "_level", "_node"]
+    return dealt(placed, *keys, rows=n * len(levels)).join(blocks, keys).select(*probes.columns, *own)
 
 
 def day_available(status: DataFrame, probes: DataFrame) -> DataFrame:

@@ -7,11 +7,11 @@ from __future__ import annotations
 
 import pyarrow as pa
 from pyarrow.fs import FileSystem
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geostream.functions import geodesy, text
-from geostream.operators import archive, network, rollups, series, telemetry
+from geostream.operators import archive, network, ordered, rollups, series, telemetry
 from geostream.plans import jobs
 from geostream.queries import _DAYS, _RUNS, _days, _query, _rollup_sql, _spread, _table, _velocities
 from geostream.file_queries import _once
@@ -187,11 +187,12 @@ def equipment_of_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equipment in place at each line item's date where a station, a nation, has spells from each order to the next but one: many, overlapping."""
     customers = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("station_code"))
     orders = _table(spark, sf_dir, "orders").join(customers, "o_custkey").select("station_code", "o_orderkey", F.col("o_orderdate").cast("date").alias("date_installed"))
-    after = F.lead("date_installed", 2).over(Window.partitionBy("station_code").orderBy("date_installed", "o_orderkey"))
-    history = orders.select("station_code", F.col("o_orderkey").alias("serial_number"), "date_installed", after.alias("date_removed"))
+    history = ordered.lead_by_ranges(orders, ("station_code",), ("date_installed", "o_orderkey"), "date_installed", 2, "date_removed", rows=_table(spark, sf_dir, "orders").count())
+    history = history.select("station_code", F.col("o_orderkey").alias("serial_number"), "date_installed", "date_removed")
     items = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", F.col("l_shipdate").cast("date").alias("date"))
-    probes = items.join(orders.select("o_orderkey", "station_code"), "o_orderkey").withColumnRenamed("o_orderkey", "l_orderkey")
-    return network.equipment_at(history, probes).groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"), F.min("serial_number").alias("first"), F.max("serial_number").alias("last"))
+    n = items.count()
+    probes = series.dealt(items, "o_orderkey", rows=n).join(orders.select("o_orderkey", "station_code"), "o_orderkey").withColumnRenamed("o_orderkey", "l_orderkey")
+    return series.dealt(network.equipment_at(history, probes), "l_orderkey", "l_linenumber", rows=n).groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"), F.min("serial_number").alias("first"), F.max("serial_number").alias("last"))
 
 
 @_query("SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE 'D:\\' || s_suppkey || '.05o' END AS original_path, CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE s_nationkey::BIGINT END AS size_bytes, CASE WHEN s_suppkey % 5 = 0 THEN 'truncated' END AS error FROM supplier")
