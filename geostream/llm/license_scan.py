@@ -16,10 +16,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geostream.llm.common import stage
+from geostream.operators.series import group_quantiles
 
 #: Sentences by which texts declare their licence, from the licences and the notices that they recommend.
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -187,15 +188,19 @@ def pairs_of(words: Column) -> Column:
     return F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
 
 
-def windows(text: Column) -> Column:
-    """(paragraph, place, words) of each window of a text; place counts the windows of a paragraph."""
+def windows(text: Column, pairs: bool = False) -> Column:
+    """(paragraph, place, words, pairs if wanted) of each window of a text; place counts the windows of a paragraph."""
 
-    def cut(words: Column, i: Column) -> Column:
+    def cut(words: Column, of: Column | None, i: Column) -> Column:
         last = F.greatest(F.ceil((F.size(words) - WINDOW) / STEP), F.lit(0)).cast("int")
-        return F.transform(F.sequence(F.lit(0), last), lambda k: F.struct(i.cast("int").alias("paragraph"), k.alias("place"), F.slice(words, k * STEP + 1, F.lit(WINDOW)).alias("words")))
+        own = lambda k: [] if of is None else [F.slice(of, k * STEP + 1, F.lit(WINDOW - 1)).alias("pairs")]
+        return F.transform(F.sequence(F.lit(0), last), lambda k: F.struct(i.cast("int").alias("paragraph"), k.alias("place"), F.slice(words, k * STEP + 1, F.lit(WINDOW)).alias("words"), *own(k)))
 
-    # The array of one binds the words, which are then made once.
-    return F.flatten(F.transform(F.split(text, r"\r?\n[ \t\r]*\n"), lambda p, i: F.flatten(F.transform(F.array(words_of(p)), lambda w: cut(w, i)))))
+    # Arrays of one bind the words and their pairs, which are then made once.
+    def cuts(words: Column, i: Column) -> Column:
+        return F.flatten(F.transform(F.array(pairs_of(words)), lambda of: cut(words, of, i))) if pairs else cut(words, None, i)
+
+    return F.flatten(F.transform(F.split(text, r"\r?\n[ \t\r]*\n"), lambda p, i: F.flatten(F.transform(F.array(words_of(p)), lambda w: cuts(w, i)))))
 
 
 def _known(templates: Mapping[str, Sequence[str]]) -> list[str]:
@@ -250,8 +255,8 @@ def examples(templates: Mapping[str, Sequence[str]]) -> tuple[list[tuple[str, st
 
 
 def _grams(df: DataFrame, templates: Mapping[str, Sequence[str]]) -> DataFrame:
-    """df (with words) with features, a sparse vector of the 1- and 2-grams that occur in templates, each counted once."""
-    df = df.withColumn("grams", F.concat("words", pairs_of(F.col("words"))))
+    """df (with words and pairs) with features, a sparse vector of the 1- and 2-grams that occur in templates, each counted once."""
+    df = df.withColumn("grams", F.concat("words", "pairs"))
     counter = CountVectorizerModel.from_vocabulary(vocabulary(templates), inputCol="grams", outputCol="features")
     return counter.setBinary(True).transform(df).drop("grams")
 
@@ -264,39 +269,49 @@ class LicenseModel:
 
 
 def fit(docs: DataFrame, templates: Mapping[str, Sequence[str]] = TEMPLATES, plain_windows: int = 4000, contexts: int = 12, quantile: float = 0.999, hard_quantile: float = 0.95) -> LicenseModel:
-    """Train on the templates in the context of the corpus.
+    """Train on the templates in the context of the corpus, of which every window counts.
 
     Class 0 is "unknown": windows of the corpus that hold no pair of words of any template, windows that hold some but not
     enough of any, and what examples() has of it. Each family has its examples. All stand bare and within the words of
-    contexts such plain windows each, sentences with two families within those of two. The threshold for "licensed" is that which of other windows of the corpus, half of
-    all, no more than 1 - quantile exceed that hold no pair, and no more than 1 - hard_quantile of those that hold some, and
-    0.5 at least. plain_windows (of either kind) and contexts bound what is learned from, by documents of smallest hashes.
+    plain windows, so that each plain window has some example in it and each example stands in contexts of them at least, if
+    there are so many. Half of all windows, by their hashes, are learned from. The threshold for "licensed" is that which of the
+    other half no more than 1 - quantile exceed that hold no pair, and no more than 1 - hard_quantile of those that hold some,
+    and 0.5 at least; both are exact. plain_windows and contexts are weights, so that the examples count as much beside a
+    large corpus: windows of either kind weigh half of plain_windows together, an example's contexts as much as contexts of
+    them (2 for sentences with two families), no window more than 1.
     """
     spark = docs.sparkSession
     classes = ["unknown", *sorted(templates)]
-    total = docs.count()
-    some = docs.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / float(1 << 20) < min(1.0, plain_windows / max(1, total))).select(F.explode(windows(F.col("text"))).alias("x")).select("x.words").filter(F.size("words") > 0)
-    touched = F.arrays_overlap(pairs_of(F.col("words")), F.array(*map(F.lit, _known(templates))))
-    marked = some.withColumn("hard", touched).filter(~F.col("hard") | (F.size(similarities(F.col("words"), templates)) == 0))
-    chosen = [marked.filter(F.col("hard") == kind).orderBy(F.xxhash64("words"), "words").limit(plain_windows) for kind in (False, True)]
-    known = stage(chosen[0].union(chosen[1]).withColumn("held_out", F.pmod(F.xxhash64("words", F.lit(1)), F.lit(2)) == 0), "licence-windows")
+    every = docs.select(F.explode(windows(F.col("text"), pairs=True)).alias("x")).select("x.words", "x.pairs").filter(F.size("words") > 0)
+    hard = F.arrays_overlap(F.col("pairs"), F.array(*map(F.lit, _known(templates))))
+    cue = F.arrays_overlap(F.col("words"), F.array(*map(F.lit, cue_words(templates))))
+    # Without a cue word a window can't hold enough of a template.
+    marked = every.withColumn("hard", hard).filter(~F.col("hard") | ~cue | (F.size(similarities(F.col("words"), templates)) == 0))
+    marked = _grams(marked.withColumn("held_out", F.pmod(F.xxhash64("words", F.lit(1)), F.lit(2)) == 0), templates)
+    known = stage(marked.select("hard", "held_out", F.when(~F.col("hard") & ~F.col("held_out"), F.col("words")).alias("context"), "features"), "licence-windows")
     own = known.filter("not held_out")
+    sizes = {r["hard"]: r["count"] for r in own.groupBy("hard").count().collect()}
+    plain = sizes.get(False, 0)
     single, both = examples(templates)
     seeds = [(float(classes.index(c)), t, n) for group, n in ((single, contexts), (both, min(contexts, 2))) for c, t in group]
-    seeds = spark.createDataFrame(seeds, "label double, line string, times int").select("label", "times", words_of(F.col("line")))
+    places = max(1, min(len(seeds), plain // max(1, contexts)))
+    seeds = spark.createDataFrame([(*seed, i % places) for i, seed in enumerate(seeds)], "label double, line string, times int, place long").select("label", "times", "place", words_of(F.col("line")))
     room = WINDOW - F.size("words")
     at = F.pmod(F.xxhash64("context", "words"), F.lit(WINDOW - STEP)).cast("int")
     around = F.concat(F.slice("context", F.lit(1), F.least(at, room)), F.col("words"), F.slice("context", at + 1, F.greatest(room - at, F.lit(0))))
-    # A bounded set of windows by the examples.
-    around_it = own.filter("not hard").orderBy("words").limit(contexts).select(F.col("words").alias("context")).withColumn("place", F.row_number().over(Window.orderBy("context")))
-    within = seeds.join(F.broadcast(around_it), F.col("place") <= F.col("times")).select("label", around.alias("words"))
-    data = _grams(own.select(F.lit(0.0).alias("label"), "words").union(seeds.select("label", "words")).union(within), templates).select("label", "features").repartition(4).persist()  # bounded: iterations cost less than tasks
-    model = LogisticRegression(family="multinomial", maxIter=40, regParam=1e-4).fit(data)
-    data.unpersist()
+    dealt = own.filter("context is not null").select("context", F.pmod(F.xxhash64("context", F.lit(2)), F.lit(places)).alias("place"))
+    dealt = dealt.join(F.broadcast(dealt.groupBy("place").agg(F.count("*").alias("n"))), "place")  # a row for each place
+    within = dealt.join(F.broadcast(seeds), "place").select("label", F.least(F.lit(1.0), F.col("times") / F.col("n")).alias("weight"), around.alias("words"))
+    made = seeds.select("label", F.lit(1.0).alias("weight"), "words").union(within)
+    made = stage(_grams(made.withColumn("pairs", pairs_of(F.col("words"))), templates).select("label", "weight", "features"), "licence-examples")
+    weight = F.when(F.col("hard"), F.lit(min(1.0, plain_windows / 2 / max(1, sizes.get(True, 0))))).otherwise(F.lit(min(1.0, plain_windows / 2 / max(1, plain))))
+    data = own.select(F.lit(0.0).alias("label"), weight.alias("weight"), "features").union(made)
+    tasks = max(spark.sparkContext.defaultParallelism, (sum(sizes.values()) + plain) >> 17)  # not more, as each iteration has them
+    model = LogisticRegression(family="multinomial", maxIter=40, regParam=1e-4, weightCol="weight").fit(data.coalesce(tasks))
     p = 1 - F.get(vector_to_array("probability"), F.lit(0))
-    held = model.transform(_grams(known.filter("held_out").select("words", "hard"), templates))
-    worst = held.agg(*[F.percentile(F.when(F.col("hard") == kind, p), F.lit(q)) for kind, q in ((False, quantile), (True, hard_quantile))]).first()
-    return LicenseModel(model, classes, max([0.5, *[w for w in worst if w is not None]]), templates)
+    held = stage(model.transform(known.filter("held_out").select("hard", "features")).select("hard", p.alias("p")), "licence-held-out")
+    worst = group_quantiles(held, ("hard",), ("p",), (quantile, hard_quantile)).collect()
+    return LicenseModel(model, classes, max([0.5, *[r["q_p"][1 if r["hard"] else 0] for r in worst]]), templates)
 
 
 def candidates(docs: DataFrame, templates: Mapping[str, Sequence[str]]) -> DataFrame:
@@ -321,7 +336,7 @@ def classified(found: DataFrame, model: LicenseModel) -> DataFrame:
     may name two. They count if the window is licensed by the threshold and their probabilities add up to 0.5 or more.
     """
     spans = found.select("row", "doc_id", F.explode("found").alias("x")).select("row", "doc_id", "x.*")
-    scored = model.model.transform(_grams(spans, model.templates)).withColumn("odds", vector_to_array("probability"))
+    scored = model.model.transform(_grams(spans.withColumn("pairs", pairs_of(F.col("words"))), model.templates)).withColumn("odds", vector_to_array("probability"))
     names = F.array(*map(F.lit, model.classes))
 
     def told(family: Column) -> Column:
