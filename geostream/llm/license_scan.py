@@ -11,7 +11,7 @@ holds enough of one of the family's templates; windows that hold enough of none
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel
@@ -151,7 +151,7 @@ WINDOW, STEP = 64, 32
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "").alias("words")
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "").alias("words")
 
 
 def template_pairs(template: str) -> list[str]:
@@ -188,19 +188,41 @@ def pairs_of(words: Column) -> Column:
     return F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
 
 
-def windows(text: Column, pairs: bool = False) -> Column:
-    """(paragraph, place, words, pairs if wanted) of each window of a text; place counts the windows of a paragraph."""
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), an array, with value made once however often use names it: an array of one binds it."""
+    return F.flatten(F.transform(F.array(value), use))
 
-    def cut(words: Column, of: Column | None, i: Column) -> Column:
+
+def known_words(words: Column, vocabulary: Sequence[str]) -> Column:
+    """The words, null where the vocabulary has no such word."""
+    own = [w for w in vocabulary if " " not in w]
+    return F.transform(words, lambda w: F.when(w.isin(own), w))
+
+
+def known_pairs(kept: Column, vocabulary: Sequence[str]) -> Column:
+    """For each place of known_words() the pair that begins there, null where the vocabulary has no such pair."""
+    own = [w for w in vocabulary if " " in w]
+    return F.transform(F.zip_with(kept, F.slice(kept, F.lit(2), F.size(kept)), lambda a, b: F.concat(a, F.lit(" "), b)), lambda p: F.when(p.isin(own), p))
+
+
+def windows(text: Column, vocabulary: Sequence[str] | None = None) -> Column:
+    """(paragraph, place, words) of each window of a text; place counts the windows of a paragraph.
+
+    With a vocabulary also kept and pairs, those words and pairs of the window that it has.
+    """
+
+    def cut(words: Column, i: Column, kept: Column | None = None, pairs: Column | None = None) -> Column:
         last = F.greatest(F.ceil((F.size(words) - WINDOW) / STEP), F.lit(0)).cast("int")
-        own = lambda k: [] if of is None else [F.slice(of, k * STEP + 1, F.lit(WINDOW - 1)).alias("pairs")]
+        own = lambda k: [] if kept is None else [F.array_compact(F.slice(of, k * STEP + 1, F.lit(n))).alias(name) for of, n, name in ((kept, WINDOW, "kept"), (pairs, WINDOW - 1, "pairs"))]
         return F.transform(F.sequence(F.lit(0), last), lambda k: F.struct(i.cast("int").alias("paragraph"), k.alias("place"), F.slice(words, k * STEP + 1, F.lit(WINDOW)).alias("words"), *own(k)))
 
-    # Arrays of one bind the words and their pairs, which are then made once.
+    # What overlapping windows share is looked up once.
     def cuts(words: Column, i: Column) -> Column:
-        return F.flatten(F.transform(F.array(pairs_of(words)), lambda of: cut(words, of, i))) if pairs else cut(words, None, i)
+        if vocabulary is None:
+            return cut(words, i)
+        return _once(known_words(words, vocabulary), lambda kept: _once(known_pairs(kept, vocabulary), lambda pairs: cut(words, i, kept, pairs)))
 
-    return F.flatten(F.transform(F.split(text, r"\r?\n[ \t\r]*\n"), lambda p, i: F.flatten(F.transform(F.array(words_of(p)), lambda w: cuts(w, i)))))
+    return F.flatten(F.transform(F.split(text, r"\r?\n[ \t\r]*\n"), lambda p, i: _once(words_of(p), lambda w: cuts(w, i))))
 
 
 def _known(templates: Mapping[str, Sequence[str]]) -> list[str]:
@@ -215,7 +237,8 @@ def similarities(words: Column, templates: Mapping[str, Sequence[str]]) -> Colum
         counted = F.transform(table, lambda t: F.struct(t["family"].alias("family"), F.size(F.array_intersect(some, t["pairs"])).alias("n"), t["needed"].alias("needed"), F.size(t["pairs"]).alias("size")))
         return F.transform(F.filter(counted, lambda x: x["n"] >= x["needed"]), lambda x: F.struct(x["family"].alias("family"), (x["n"] / x["size"]).alias("similarity")))
 
-    return F.flatten(F.transform(F.array(F.array_intersect(pairs_of(words), F.array(*map(F.lit, _known(templates))))), of))
+    known = _known(templates)
+    return _once(F.array_distinct(F.filter(pairs_of(words), lambda p: p.isin(known))), of)
 
 
 def denials(templates: Mapping[str, Sequence[str]]) -> list[str]:
@@ -254,13 +277,21 @@ def examples(templates: Mapping[str, Sequence[str]]) -> tuple[list[tuple[str, st
     return out, both
 
 
-def _grams(df: DataFrame, templates: Mapping[str, Sequence[str]]) -> DataFrame:
-    """df (with words and pairs) with features, a sparse vector of the 1- and 2-grams that occur in templates, each counted once."""
-    df = df.withColumn("grams", F.concat("words", "pairs"))
+def _grams(df: DataFrame, templates: Mapping[str, Sequence[str]], words: str = "words") -> DataFrame:
+    """df (with words and pairs) with features, a sparse vector of the 1- and 2-grams that occur in templates, each counted once.
+
+    Words and pairs that the vocabulary doesn't have may be left out.
+    """
+    df = df.withColumn("grams", F.concat(words, "pairs"))
     counter = CountVectorizerModel.from_vocabulary(vocabulary(templates), inputCol="grams", outputCol="features")
     return counter.setBinary(True).transform(df).drop("grams")
 
 
+def _merged(data: DataFrame) -> DataFrame:
+    """data (label, weight, features) with one row for all of equal label and features, of their whole weight."""
+    return data.groupBy("label", "features").agg(F.sum("weight").alias("weight")).select("label", "weight", "features")
+
+
 class LicenseModel:
     """A fitted regression, its classes and the probability below which a window is unknown."""
 
@@ -268,7 +299,7 @@ class LicenseModel:
         self.model, self.classes, self.threshold, self.templates = model, classes, threshold, templates
 
 
-def fit(docs: DataFrame, templates: Mapping[str, Sequence[str]] = TEMPLATES, plain_windows: int = 4000, contexts: int = 12, quantile: float = 0.999, hard_quantile: float = 0.95) -> LicenseModel:
+def fit(docs: DataFrame, templates: Mapping[str, Sequence[str]] = TEMPLATES, plain_windows: int = 4000, contexts: int = 12, quantile: float = 0.999, hard_quantile: float = 0.95, merge_from: int = 1 << 17) -> LicenseModel:
     """Train on the templates in the context of the corpus, of which every window counts.
 
     Class 0 is "unknown": windows of the corpus that hold no pair of words of any template, windows that hold some but not
@@ -278,16 +309,18 @@ def fit(docs: DataFrame, templates: Mapping[str, Sequence[str]] = TEMPLATES, pla
     other half no more than 1 - quantile exceed that hold no pair, and no more than 1 - hard_quantile of those that hold some,
     and 0.5 at least; both are exact. plain_windows and contexts are weights, so that the examples count as much beside a
     large corpus: windows of either kind weigh half of plain_windows together, an example's contexts as much as contexts of
-    them (2 for sentences with two families), no window more than 1.
+    them (2 for sentences with two families), no window more than 1. From merge_from windows on, windows and examples of
+    equal label and features are learned from as one row of their whole weight, which leaves the loss as it is.
     """
     spark = docs.sparkSession
     classes = ["unknown", *sorted(templates)]
-    every = docs.select(F.explode(windows(F.col("text"), pairs=True)).alias("x")).select("x.words", "x.pairs").filter(F.size("words") > 0)
-    hard = F.arrays_overlap(F.col("pairs"), F.array(*map(F.lit, _known(templates))))
-    cue = F.arrays_overlap(F.col("words"), F.array(*map(F.lit, cue_words(templates))))
+    terms, own_pairs, cues = vocabulary(templates), _known(templates), cue_words(templates)
+    every = docs.select(F.explode(windows(F.col("text"), terms)).alias("x")).select("x.words", "x.kept", "x.pairs").filter(F.size("words") > 0)
+    hard = F.exists("pairs", lambda p: p.isin(own_pairs))
+    cue = F.exists("kept", lambda w: w.isin(cues))
     # Without a cue word a window can't hold enough of a template.
     marked = every.withColumn("hard", hard).filter(~F.col("hard") | ~cue | (F.size(similarities(F.col("words"), templates)) == 0))
-    marked = _grams(marked.withColumn("held_out", F.pmod(F.xxhash64("words", F.lit(1)), F.lit(2)) == 0), templates)
+    marked = _grams(marked.withColumn("held_out", F.pmod(F.xxhash64("words", F.lit(1)), F.lit(2)) == 0), templates, "kept")
     known = stage(marked.select("hard", "held_out", F.when(~F.col("hard") & ~F.col("held_out"), F.col("words")).alias("context"), "features"), "licence-windows")
     own = known.filter("not held_out")
     sizes = {r["hard"]: r["count"] for r in own.groupBy("hard").count().collect()}
@@ -303,10 +336,14 @@ def fit(docs: DataFrame, templates: Mapping[str, Sequence[str]] = TEMPLATES, pla
     dealt = dealt.join(F.broadcast(dealt.groupBy("place").agg(F.count("*").alias("n"))), "place")  # a row for each place
     within = dealt.join(F.broadcast(seeds), "place").select("label", F.least(F.lit(1.0), F.col("times") / F.col("n")).alias("weight"), around.alias("words"))
     made = seeds.select("label", F.lit(1.0).alias("weight"), "words").union(within)
-    made = stage(_grams(made.withColumn("pairs", pairs_of(F.col("words"))), templates).select("label", "weight", "features"), "licence-examples")
+    made = made.withColumn("kept", known_words(F.col("words"), terms))
+    made = made.select("label", "weight", F.array_compact("kept").alias("kept"), F.array_compact(known_pairs(F.col("kept"), terms)).alias("pairs"))
+    made = _grams(made, templates, "kept").select("label", "weight", "features")
     weight = F.when(F.col("hard"), F.lit(min(1.0, plain_windows / 2 / max(1, sizes.get(True, 0))))).otherwise(F.lit(min(1.0, plain_windows / 2 / max(1, plain))))
     data = own.select(F.lit(0.0).alias("label"), weight.alias("weight"), "features").union(made)
-    tasks = max(spark.sparkContext.defaultParallelism, (sum(sizes.values()) + plain) >> 17)  # not more, as each iteration has them
+    rows = sum(sizes.values()) + plain
+    data = stage(_merged(data) if rows >= merge_from else data, "licence-examples")
+    tasks = max(spark.sparkContext.defaultParallelism, rows >> 17)  # not more, as each iteration has them
     model = LogisticRegression(family="multinomial", maxIter=40, regParam=1e-4, weightCol="weight").fit(data.coalesce(tasks))
     p = 1 - F.get(vector_to_array("probability"), F.lit(0))
     held = stage(model.transform(known.filter("held_out").select("hard", "features")).select("hard", p.alias("p")), "licence-held-out")
