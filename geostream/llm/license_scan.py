@@ -202,7 +202,7 @@ def known_words(words: Column, vocabulary: Sequence[str]) -> Column:
 def known_pairs(kept: Column, vocabulary: Sequence[str]) -> Column:
     """For each place of known_words() the pair that begins there, null where the vocabulary has no such pair."""
     own = [w for w in vocabulary if " " in w]
-    return F.transform(F.zip_with(kept, F.slice(kept, F.lit(2), F.size(kept)), lambda a, b: F.concat(a, F.lit(" "), b)), lambda p: F.when(p.isin(own), p))
+    return F.transform(F.zip_with(kept, F.slice(kept, F.lit(2), F.size(kept)), lambda a, b: F.when(a.isNotNull() & b.isNotNull(), F.concat(a, F.lit(" "), b))), lambda p: F.when(p.isin(own), p))
 
 
 def windows(text: Column, vocabulary: Sequence[str] | None = None) -> Column:
@@ -321,7 +321,7 @@ def fit(docs: DataFrame, templates: Mapping[str, Sequence[str]] = TEMPLATES, pla
     # Without a cue word a window can't hold enough of a template.
     marked = every.withColumn("hard", hard).filter(~F.col("hard") | ~cue | (F.size(similarities(F.col("words"), templates)) == 0))
     marked = _grams(marked.withColumn("held_out", F.pmod(F.xxhash64("words", F.lit(1)), F.lit(2)) == 0), templates, "kept")
-    known = stage(marked.select("hard", "held_out", F.when(~F.col("hard") & ~F.col("held_out"), F.col("words")).alias("context"), "features"), "licence-windows")
+    known = stage(marked.select("hard", "held_out", *[F.when(~F.col("hard") & ~F.col("held_out"), x).alias(name) for x, name in ((F.col("words"), "context"), (F.xxhash64("words", F.lit(2)), "deal"))], "features"), "licence-windows")
     own = known.filter("not held_out")
     sizes = {r["hard"]: r["count"] for r in own.groupBy("hard").count().collect()}
     plain = sizes.get(False, 0)
@@ -332,7 +332,7 @@ def fit(docs: DataFrame, templates: Mapping[str, Sequence[str]] = TEMPLATES, pla
     room = WINDOW - F.size("words")
     at = F.pmod(F.xxhash64("context", "words"), F.lit(WINDOW - STEP)).cast("int")
     around = F.concat(F.slice("context", F.lit(1), F.least(at, room)), F.col("words"), F.slice("context", at + 1, F.greatest(room - at, F.lit(0))))
-    dealt = own.filter("context is not null").select("context", F.pmod(F.xxhash64("context", F.lit(2)), F.lit(places)).alias("place"))
+    dealt = own.filter("deal is not null").select("context", F.pmod("deal", F.lit(places)).alias("place"))
     dealt = dealt.join(F.broadcast(dealt.groupBy("place").agg(F.count("*").alias("n"))), "place")  # a row for each place
     within = dealt.join(F.broadcast(seeds), "place").select("label", F.least(F.lit(1.0), F.col("times") / F.col("n")).alias("weight"), around.alias("words"))
     made = seeds.select("label", F.lit(1.0).alias("weight"), "words").union(within)
@@ -341,9 +341,8 @@ def fit(docs: DataFrame, templates: Mapping[str, Sequence[str]] = TEMPLATES, pla
     made = _grams(made, templates, "kept").select("label", "weight", "features")
     weight = F.when(F.col("hard"), F.lit(min(1.0, plain_windows / 2 / max(1, sizes.get(True, 0))))).otherwise(F.lit(min(1.0, plain_windows / 2 / max(1, plain))))
     data = own.select(F.lit(0.0).alias("label"), weight.alias("weight"), "features").union(made)
-    rows = sum(sizes.values()) + plain
-    data = stage(_merged(data) if rows >= merge_from else data, "licence-examples")
-    tasks = max(spark.sparkContext.defaultParallelism, rows >> 17)  # not more, as each iteration has them
+    data = stage(_merged(data) if sum(sizes.values()) + plain >= merge_from else data, "licence-examples")
+    tasks = max(spark.sparkContext.defaultParallelism, data.count() >> 17)  # not more, as each iteration has them
     model = LogisticRegression(family="multinomial", maxIter=40, regParam=1e-4, weightCol="weight").fit(data.coalesce(tasks))
     p = 1 - F.get(vector_to_array("probability"), F.lit(0))
     held = stage(model.transform(known.filter("held_out").select("hard", "features")).select("hard", p.alias("p")), "licence-held-out")
